@@ -112,6 +112,47 @@ AUDIT_FIELDS = (
     "problems", "notes",
 )
 
+# --- fixed values: report wording -------------------------------------------------------
+CHECK_LABELS = {
+    "maps": "Google Maps link",
+    "whatsapp": "WhatsApp link/button",
+    "booking": "online booking link or contact/enquiry form",
+    "jsonld": "LocalBusiness structured data",
+}
+CHECK_ADVICE = {
+    "maps": "makes it harder for customers to find the physical location.",
+    "whatsapp": "customers in this market expect one-tap WhatsApp contact.",
+    "booking": "customers must call during business hours to book.",
+    "jsonld": "Google/AI assistants can't read hours/address/phone directly.",
+}
+MESSAGES = {
+    "no_url": "No website on file.",
+    "robots": "robots.txt disallows automated checks; skipped the audit out of respect.",
+    "no_response": "Site did not respond ({}).",
+    "error_page": "Site returned an error page (HTTP {}).",
+    "parked": "Site looks parked or placeholder, not a real business page.",
+    "maintenance": "Site shows an under-maintenance / coming-soon page.",
+    "missing": "No {} on {}, {}",
+    "no_https": "No valid HTTPS{}, browsers mark it 'Not secure' or block it.",
+    "no_redirect": "HTTPS works, but http:// does not redirect to https://, so old links and typed "
+                   "addresses land on the 'Not secure' version.",
+    "points_to_http": "sitemap.xml/robots.txt still point to http:// URLs, search engines are told "
+                      "to index the insecure version.",
+    "no_viewport": "No mobile viewport tag, the site will look broken on phones.",
+    "no_title": "No <title>, hurts how the site shows up in search and when shared.",
+    "no_description": "No meta description on the home page, search engines show a random snippet "
+                      "instead.",
+    "no_sitemap": "No sitemap.xml, can slow down how fully search engines index the site.",
+    "slow": "Slow to load ({}ms), visitors tend to leave before it finishes.",
+    "heavy": "Heavy page ({}KB), slow on mobile data.",
+}
+NOTE_HOME_ONLY = "No {} on the home page, but found on {}."
+WHERE_HOME = "the home page (no contact/booking/location pages were found to check)"
+WHERE_PAGES = "any of the {} pages checked ({})"
+ERROR_NO_URL = "no url given"
+ERROR_NO_RESPONSE = "no response"
+ERROR_NO_HTTPS = "no response on https"
+
 # Whitespace as Unicode-aware trimming sees it.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
