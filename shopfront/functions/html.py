@@ -50,30 +50,44 @@ _ATTRIBUTE = (
 _SELF_CLOSED = r"""(?s)(?<!=[^\s"'>]{1,2000})/>\z"""
 
 
-def nodes(text: str) -> str:
-    """Cut HTML into nodes: ``pos``, lower-case ``name`` ('' for text), ``raw`` and ``data``.
+_TAGS_READ = ("html", "meta", "a", "script", "form", "input")
+_ATTRIBUTES_READ = ("href", "name", "content", "lang", "type", "role")
 
-    ``data`` is the decoded text of a text node, or the undecoded body of a script or style.
-    """
-    is_text = "(NOT startswith(t, '<') OR t = '<')"
-    return f"""transform(regexp_extract_all({text}, {regex(_NODE)}, 0), (t, pos) ->
-        named_struct('pos', pos,
-          'name', if({is_text}, '', lower(regexp_extract(t, {regex(_NAME)}, 1))),
-          'raw', t,
-          'data', CASE WHEN {is_text} THEN {decode_entities('t')}
-                       WHEN left(t, 7) ILIKE '<script' OR left(t, 6) ILIKE '<style'
-                       THEN regexp_extract(t, {regex(_RAW_TEXT)}, 1) ELSE '' END))"""
-
-
-def attribute(raw: str, name: str) -> str:
-    """Decoded value of an attribute of a tag; the last one wins, '' if absent."""
+
+def _attributes(raw: str) -> str:
+    """The attributes of a tag that some fact needs, in order, as (name, decoded value)."""
     inside = f"regexp_replace({raw}, r'^<[^\\s/>]*', '')"
     wanted = f"""filter(regexp_extract_all({inside}, {regex(_ATTRIBUTE)}, 0),
-        att -> att RLIKE r'^(?i:{name})(?:\\s*=|$)')"""
-    value = f"regexp_replace(try_element_at({wanted}, -1), r'(?s)^[^=]*=*\\s*', '')"
+        att -> att RLIKE r'^(?i:{"|".join(_ATTRIBUTES_READ)})(?:\\s*=|$)')"""
+    value = "regexp_replace(att, r'(?s)^[^=]*=*\\s*', '')"
     bare = f"""regexp_replace({value}, {regex(r'''(?s)^(["'])(.*)\1$''')}, '$2')"""
-    return f"""if(contains(lower({raw}), '{name}'), coalesce(transform(array({bare}), val ->
-        {decode_entities('val')})[0], ''), '')"""
+    return f"""transform({wanted}, att -> named_struct(
+        'name', lower(regexp_extract(att, '^[a-zA-Z]+', 0)),
+        'value', transform(array({bare}), val -> {decode_entities('val')})[0]))"""
+
+
+def nodes(text: str) -> str:
+    """Cut HTML into nodes: ``pos``, lower-case ``name`` ('' for text), ``raw``, ``data`` and
+    ``attributes``.
+
+    ``data`` is the decoded text of a text node, or the undecoded body of a script or style.
+    """
+    is_text = "(NOT startswith({0}, '<') OR {0} = '<')"
+    named = f"""transform(regexp_extract_all({text}, {regex(_NODE)}, 0), t -> named_struct(
+        't', t, 'name', if({is_text.format('t')}, '', lower(regexp_extract(t, {regex(_NAME)}, 1)))))"""
+    return f"""transform({named}, (r, pos) -> named_struct(
+        'pos', pos, 'name', r.name, 'raw', r.t,
+        'data', CASE WHEN {is_text.format('r.t')}
+                       THEN {decode_entities('r.t')}
+                     WHEN r.name IN ('script', 'style')
+                       THEN regexp_extract(r.t, {regex(_RAW_TEXT)}, 1) ELSE '' END,
+        'attributes', if(r.name IN ({any_of(_TAGS_READ)}), {_attributes('r.t')}, array())))"""
+
+
+def attribute(node: str, name: str) -> str:
+    """Decoded value of an attribute of a node; the last one wins, '' if absent."""
+    return f"""coalesce(try_element_at(
+        filter({node}.attributes, att -> att.name = '{name}'), -1).value, '')"""
 
 
 def _named(all_nodes: str, *names: str) -> str:
@@ -103,19 +117,19 @@ def title(all_nodes: str) -> str:
 def meta_description(all_nodes: str) -> str:
     """Content of the last description meta tag, trimmed."""
     tags = f"""filter({_named(all_nodes, 'meta')},
-        m -> lower({attribute('m.raw', 'name')}) = 'description')"""
-    content = f"transform({tags}, m -> {attribute('m.raw', 'content')})"
+        m -> lower({attribute('m', 'name')}) = 'description')"""
+    content = f"transform({tags}, m -> {attribute('m', 'content')})"
     return f"coalesce({strip(f'try_element_at({content}, -1)')}, '')"
 
 
 def has_viewport(all_nodes: str) -> str:
     return f"""exists({_named(all_nodes, 'meta')},
-        m -> lower({attribute('m.raw', 'name')}) = 'viewport')"""
+        m -> lower({attribute('m', 'name')}) = 'viewport')"""
 
 
 def language(all_nodes: str) -> str:
     """Language of the last html tag, lower-cased."""
-    tags = f"transform({_named(all_nodes, 'html')}, m -> lower({attribute('m.raw', 'lang')}))"
+    tags = f"transform({_named(all_nodes, 'html')}, m -> lower({attribute('m', 'lang')}))"
     return f"coalesce(try_element_at({tags}, -1), '')"
 
 
@@ -137,7 +151,7 @@ def anchor_marks(all_nodes: str) -> str:
     return f"""filter(transform({_named(all_nodes, 'a', '/a')}, m -> named_struct(
           'pos', m.pos, 'opens', m.name = 'a',
           'empty', m.name = 'a' AND {_self_closed('m.raw')},
-          'href', if(m.name = 'a', {attribute('m.raw', 'href')}, ''))),
+          'href', if(m.name = 'a', {attribute('m', 'href')}, ''))),
         m -> NOT m.opens OR m.href <> '')"""
 
 
@@ -158,7 +172,7 @@ def anchors(all_nodes: str, marks: str) -> str:
 def ldjson_blobs(all_nodes: str) -> str:
     """Bodies of the JSON-LD scripts."""
     return f"""transform(filter({_named(all_nodes, 'script')}, m ->
-        m.data <> '' AND lower({attribute('m.raw', 'type')}) = 'application/ld+json'),
+        m.data <> '' AND lower({attribute('m', 'type')}) = 'application/ld+json'),
         m -> m.data)"""
 
 
@@ -170,8 +184,8 @@ def has_form(all_nodes: str) -> str:
     kinds = f"""transform({_named(all_nodes, 'form', '/form', 'input', 'select', 'textarea')},
         m -> CASE
           WHEN m.name = 'form' AND {_self_closed('m.raw')} THEN 'ignored'
-          WHEN m.name = 'form' AND lower({attribute('m.raw', 'role')}) = 'search' THEN 'search'
-          WHEN m.name = 'input' AND lower({attribute('m.raw', 'type')})
+          WHEN m.name = 'form' AND lower({attribute('m', 'role')}) = 'search' THEN 'search'
+          WHEN m.name = 'input' AND lower({attribute('m', 'type')})
             IN ({any_of(fixed.NOT_REAL_INPUTS)}) THEN 'ignored'
           ELSE m.name END)"""
     outer = "slice(acc.open, 1, greatest(size(acc.open) - 1, 0))"
