@@ -27,13 +27,22 @@ def lookup(
     """``left`` left-joined to ``right``, which has one row per key.
 
     Rows of hot keys never meet in one task: they stay where they are and find the few
-    matching rows of ``right`` (at most one per hot key) by broadcast. The rest shuffles.
-    Call it on a staged ``left``: its keys are counted first.
+    matching rows of ``right`` (at most one per hot key) by broadcast. Rows without a key
+    stay too, as they match nothing. The rest shuffles. Call it on a staged ``left``: its
+    keys are counted first.
     """
-    hot = hot_keys(left.where(F.col(key).isNotNull()), key, min_hot_rows)
-    if not hot:
-        return left.join(right, key, "left")
-    is_hot = F.col(key).isin(hot)
-    spread = left.where(~is_hot | F.col(key).isNull()).join(right, key, "left")
-    local = left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, "left")
-    return spread.unionByName(local)
+    keyed = left.where(F.col(key).isNotNull())
+    added = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name != key]
+    parts = []
+    hot = hot_keys(keyed, key, min_hot_rows)
+    if hot:
+        is_hot = F.col(key).isin(hot)
+        parts.append(keyed.where(is_hot).join(F.broadcast(right.where(is_hot)), key, "left"))
+        keyed = keyed.where(~is_hot)
+    parts.append(keyed.join(right, key, "left"))
+    if left.schema[key].nullable:
+        parts.append(left.where(F.col(key).isNull()).select("*", *added))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
