@@ -5,25 +5,25 @@ from __future__ import annotations
 from shopfront.functions import fixed
 from shopfront.functions.text import any_of, at_first_letter, fold_case, quoted, regex
 
-# Detector name to (pattern, the letters a match can start with).
+# Detector name to: pattern, the letters a match can start with, and texts of which every
+# match holds at least one (a cheap test that spares most pages the pattern).
 _LINKED = {
-    "maps": (fixed.MAPS, "gm"),
-    "whatsapp": (fixed.WHATSAPP, "wajc"),
-    "booking": (fixed.BOOKING, "cbarfsvح"),
+    "maps": (fixed.MAPS, "gm", ("goo", "g.page/")),
+    "whatsapp": (fixed.WHATSAPP, "wajc", ("whatsapp", "wa.", "joinchat", "click-to-chat")),
+    "booking": (fixed.BOOKING, "cbarfsvح", ()),
 }
 
 
 def linked(check: str, folded: str, links: str) -> str:
-    """Does the case-folded text, or any decoded link, show the feature?
+    """Does the case-folded text, or a link with decoded references, show the feature?
 
-    A link can only differ from the text when a character reference was decoded in it.
+    ``links`` is the text of the links that differ from what the page's text shows.
     """
-    pattern, letters = _LINKED[check]
-    found = regex(at_first_letter(pattern, letters))
-    all_links = fold_case(f"array_join({links}, '\\n')")
-    return (
-        f"({folded} RLIKE {found} OR (contains({folded}, '&') AND {all_links} RLIKE {found}))"
-    )
+    pattern, letters, needed = _LINKED[check]
+    found = f"{{}} RLIKE {regex(at_first_letter(pattern, letters))}"
+    guard = " OR ".join(f"contains({folded}, {quoted(n)})" for n in needed)
+    in_text = f"(({guard}) AND {found.format(folded)})" if needed else found.format(folded)
+    return f"({in_text} OR ({links} <> '' AND {found.format(fold_case(links))}))"
 
 
 def is_local_business(types: str) -> str:

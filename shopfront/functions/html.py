@@ -47,23 +47,27 @@ _RAW_TEXT = (
 _ATTRIBUTE = (
     r"""[^\s/>"'=][^\s/=>]*+(?:\s*+=++\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^>\s]*+))?"""
 )
+_VALUE = r"""(?s)^[^=]*+=++\s*+(["']?)(.*)\1$"""
 _SELF_CLOSED = r"""(?s)(?<!=[^\s"'>]{1,2000})/>\z"""
 
 
 _TAGS_READ = ("html", "meta", "a", "script", "form", "input")
 _ATTRIBUTES_READ = ("href", "name", "content", "lang", "type", "role")
+_TAGS_KEPT = (
+    "html", "title", "/title", "meta", "a", "/a", "script", "/script", "/style", "noscript",
+    "/noscript", "form", "/form", "input", "select", "textarea",
+)
 
 
 def _attributes(raw: str) -> str:
     """The attributes of a tag that some fact needs, in order, as (name, decoded value)."""
-    inside = f"regexp_replace({raw}, r'^<[^\\s/>]*', '')"
-    wanted = f"""filter(regexp_extract_all({inside}, {regex(_ATTRIBUTE)}, 0),
+    # the tag's own name comes out like an attribute, but is never one that is read
+    wanted = f"""filter(regexp_extract_all({raw}, {regex(_ATTRIBUTE)}, 0),
         att -> att RLIKE r'^(?i:{"|".join(_ATTRIBUTES_READ)})(?:\\s*=|$)')"""
-    value = "regexp_replace(att, r'(?s)^[^=]*=*\\s*', '')"
-    bare = f"""regexp_replace({value}, {regex(r'''(?s)^(["'])(.*)\1$''')}, '$2')"""
     return f"""transform({wanted}, att -> named_struct(
         'name', lower(regexp_extract(att, '^[a-zA-Z]+', 0)),
-        'value', transform(array({bare}), val -> {decode_entities('val')})[0]))"""
+        'value', transform(array(regexp_extract(att, {regex(_VALUE)}, 2)), val ->
+          {decode_entities('val')})[0]))"""
 
 
 def nodes(text: str) -> str:
@@ -90,8 +94,8 @@ def attribute(node: str, name: str) -> str:
         filter({node}.attributes, att -> att.name = '{name}'), -1).value, '')"""
 
 
-def _named(all_nodes: str, *names: str) -> str:
-    return f"filter({all_nodes}, nd -> nd.name IN ({any_of(names)}))"
+def _named(tags: str, *names: str) -> str:
+    return f"filter({tags}, nd -> nd.name IN ({any_of(names)}))"
 
 
 def _self_closed(raw: str) -> str:
@@ -104,9 +108,9 @@ def _joined_data(all_nodes: str, after: str, before: str) -> str:
         greatest({before} - {after} - 1, 0)), nd -> nd.data), '')"""
 
 
-def title(all_nodes: str) -> str:
+def title(all_nodes: str, tags: str) -> str:
     """Text of every title element, concatenated and trimmed."""
-    marks = _named(all_nodes, "title", "/title")
+    marks = _named(tags, "title", "/title")
     end = f"coalesce(get(marks, k + 1).pos, size({all_nodes}))"
     joined = f"""transform(array({marks}), marks -> array_join(transform(marks, (m, k) ->
         if(m.name = 'title' AND NOT {_self_closed('m.raw')},
@@ -114,27 +118,40 @@ def title(all_nodes: str) -> str:
     return strip(joined)
 
 
-def meta_description(all_nodes: str) -> str:
+def meta_description(tags: str) -> str:
     """Content of the last description meta tag, trimmed."""
-    tags = f"""filter({_named(all_nodes, 'meta')},
+    found = f"""filter({_named(tags, 'meta')},
         m -> lower({attribute('m', 'name')}) = 'description')"""
-    content = f"transform({tags}, m -> {attribute('m', 'content')})"
+    content = f"transform({found}, m -> {attribute('m', 'content')})"
     return f"coalesce({strip(f'try_element_at({content}, -1)')}, '')"
 
 
-def has_viewport(all_nodes: str) -> str:
-    return f"""exists({_named(all_nodes, 'meta')},
+def has_viewport(tags: str) -> str:
+    return f"""exists({_named(tags, 'meta')},
         m -> lower({attribute('m', 'name')}) = 'viewport')"""
 
 
-def language(all_nodes: str) -> str:
+def language(tags: str) -> str:
     """Language of the last html tag, lower-cased."""
-    tags = f"transform({_named(all_nodes, 'html')}, m -> lower({attribute('m', 'lang')}))"
-    return f"coalesce(try_element_at({tags}, -1), '')"
+    found = f"transform({_named(tags, 'html')}, m -> lower({attribute('m', 'lang')}))"
+    return f"coalesce(try_element_at({found}, -1), '')"
+
 
+def kept_tags(all_nodes: str) -> str:
+    """The nodes that are tags some fact looks for."""
+    return f"filter({all_nodes}, nd -> nd.name IN ({any_of(_TAGS_KEPT)}))"
 
-def visible_chars(all_nodes: str) -> str:
+
+def visible_chars(all_nodes: str, tags: str) -> str:
     """Summed trimmed length of the text nodes outside script, style and noscript."""
+    hiding = "('noscript', '/noscript', '/script', '/style')"
+    length = f"length({strip('n.data')})"
+    plain = f"""aggregate({all_nodes}, 0, (chars, n) ->
+        if(n.name = '', chars + {length}, chars))"""
+    return f"""if(exists({tags}, t -> t.name IN {hiding}), {_visible_chars(all_nodes)}, {plain})"""
+
+
+def _visible_chars(all_nodes: str) -> str:
     return f"""aggregate({all_nodes}, named_struct('skip', 0, 'chars', 0), (acc, n) ->
         named_struct(
           'skip', CASE WHEN n.name = '' THEN acc.skip
@@ -146,11 +163,12 @@ def visible_chars(all_nodes: str) -> str:
         acc -> acc.chars)"""
 
 
-def anchor_marks(all_nodes: str) -> str:
+def anchor_marks(tags: str) -> str:
     """Opening ``<a>`` tags with a non-empty href, and closing ones, in document order."""
-    return f"""filter(transform({_named(all_nodes, 'a', '/a')}, m -> named_struct(
+    return f"""filter(transform({_named(tags, 'a', '/a')}, m -> named_struct(
           'pos', m.pos, 'opens', m.name = 'a',
           'empty', m.name = 'a' AND {_self_closed('m.raw')},
+          'decoded', m.name = 'a' AND contains(m.raw, '&'),
           'href', if(m.name = 'a', {attribute('m', 'href')}, ''))),
         m -> NOT m.opens OR m.href <> '')"""
 
@@ -160,6 +178,11 @@ def links(marks: str) -> str:
     return f"transform(filter({marks}, m -> m.opens), m -> m.href)"
 
 
+def decoded_links(marks: str) -> str:
+    """The links that the text may not show as such, one per line."""
+    return f"array_join(transform(filter({marks}, m -> m.opens AND m.decoded), m -> m.href), '\\n')"
+
+
 def anchors(all_nodes: str, marks: str) -> str:
     """(href, text) of every closed link; a nested link replaces the open one."""
     text = collapse(_joined_data(all_nodes, "m.pos", f"get({marks}, k + 1).pos"))
@@ -169,19 +192,19 @@ def anchors(all_nodes: str, marks: str) -> str:
         a -> a IS NOT NULL)"""
 
 
-def ldjson_blobs(all_nodes: str) -> str:
+def ldjson_blobs(tags: str) -> str:
     """Bodies of the JSON-LD scripts."""
-    return f"""transform(filter({_named(all_nodes, 'script')}, m ->
+    return f"""transform(filter({_named(tags, 'script')}, m ->
         m.data <> '' AND lower({attribute('m', 'type')}) = 'application/ld+json'),
         m -> m.data)"""
 
 
-def has_form(all_nodes: str) -> str:
+def has_form(tags: str) -> str:
     """A form with a textarea, or with two or more real fields.
 
     Fields count for the innermost open form; a search form starts far below zero.
     """
-    kinds = f"""transform({_named(all_nodes, 'form', '/form', 'input', 'select', 'textarea')},
+    kinds = f"""transform({_named(tags, 'form', '/form', 'input', 'select', 'textarea')},
         m -> CASE
           WHEN m.name = 'form' AND {_self_closed('m.raw')} THEN 'ignored'
           WHEN m.name = 'form' AND lower({attribute('m', 'role')}) = 'search' THEN 'search'
@@ -215,22 +238,25 @@ def load_time_ms(elapsed_ms: str) -> str:
 def page_facts() -> dict[str, str]:
     """Fact name to expression over the working columns of ``with_nodes``."""
     return {
-        "title": title("_nodes"),
-        "meta_description": meta_description("_nodes"),
-        "has_viewport": has_viewport("_nodes"),
-        "lang": language("_nodes"),
-        "visible_chars": visible_chars("_nodes"),
+        "title": title("_nodes", "_tags"),
+        "meta_description": meta_description("_tags"),
+        "has_viewport": has_viewport("_tags"),
+        "lang": language("_tags"),
+        "visible_chars": visible_chars("_nodes", "_tags"),
         "links": links("_marks"),
+        "decoded_links": decoded_links("_marks"),
         "anchors": anchors("_nodes", "_marks"),
-        "ldjson_blobs": ldjson_blobs("_nodes"),
-        "has_form": has_form("_nodes"),
+        "ldjson_blobs": ldjson_blobs("_tags"),
+        "has_form": has_form("_tags"),
     }
 
 
 def with_nodes(pages: DataFrame, text: str = "html") -> DataFrame:
-    """Add the working columns ``_nodes`` and ``_marks``."""
-    return pages.selectExpr("*", f"{nodes(text)} AS _nodes").selectExpr(
-        "*", f"{anchor_marks('_nodes')} AS _marks"
+    """Add the working columns ``_nodes``, ``_tags`` and ``_marks``."""
+    return (
+        pages.selectExpr("*", f"{nodes(text)} AS _nodes")
+        .selectExpr("*", f"{kept_tags('_nodes')} AS _tags")
+        .selectExpr("*", f"{anchor_marks('_tags')} AS _marks")
     )
 
 
@@ -238,4 +264,4 @@ def with_page_facts(pages: DataFrame, *facts: str, text: str = "html") -> DataFr
     """Add the named HTML facts (all of them by default) of the page in column ``text``."""
     known = page_facts()
     wanted = {name: F.expr(known[name]) for name in facts or known}
-    return with_nodes(pages, text).withColumns(wanted).drop("_nodes", "_marks")
+    return with_nodes(pages, text).withColumns(wanted).drop("_nodes", "_tags", "_marks")

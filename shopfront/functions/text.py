@@ -41,9 +41,14 @@ def collapse(c: str) -> str:
     return f"btrim(regexp_replace({c}, {regex(_SPACE_RUN)}, ' '))"
 
 
+def fold_lowered(c: str) -> str:
+    """Lower-cased text with the letters that Unicode case folding equates with ASCII ones."""
+    return f"replace(replace(replace({c}, 'i\\u0307', 'i'), '\\u0131', 'i'), '\\u017f', 's')"
+
+
 def fold_case(c: str) -> str:
-    """Lower case plus the letters that case-insensitive Unicode matching equates with ASCII."""
-    return f"replace(replace(replace(lower({c}), 'i\\u0307', 'i'), '\\u0131', 'i'), '\\u017f', 's')"
+    """Text as a case-insensitive Unicode pattern sees it."""
+    return fold_lowered(f"lower({c})")
 
 
 def at_first_letter(pattern: str, letters: str) -> str:
@@ -122,7 +127,12 @@ def _decode_after_ampersand(p: str) -> str:
 
 
 def decode_entities(c: str) -> str:
-    """Replace HTML character references, named and numeric, in one left-to-right pass."""
-    return f"""if(contains({c}, '&'), transform(array(split({c}, '&')), pieces ->
-        pieces[0] || array_join(transform(slice(pieces, 2, size(pieces)), piece ->
-            {_decode_after_ampersand('piece')}), ''))[0], {c})"""
+    """Replace HTML character references, named and numeric, in one left-to-right pass.
+
+    Most text has no reference, and most references are ``&amp;``: both have a short way.
+    """
+    return f"""CASE WHEN NOT contains({c}, '&') THEN {c}
+        WHEN NOT {c} RLIKE '&(?!amp;)' THEN replace({c}, '&amp;', '&')
+        ELSE transform(array(split({c}, '&')), pieces ->
+          pieces[0] || array_join(transform(slice(pieces, 2, size(pieces)), piece ->
+            {_decode_after_ampersand('piece')}), ''))[0] END"""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopfront.functions import contacts, detect, html, robots, sitemaps
-from shopfront.functions.text import fold_case
+from shopfront.functions.text import fold_lowered
 from shopfront.sources import fetches as log
 
 _NO_STRINGS = "cast(array() AS array<string>)"
@@ -29,7 +29,9 @@ def fetch_facts(fetches: DataFrame) -> DataFrame:
         f"coalesce({sitemaps.is_markup('body')}, false) AS is_markup",
         f"coalesce({log.text('body')}, '') AS _text",
     )
-    cased = read.selectExpr("*", "lower(_text) AS _lower", f"{fold_case('_text')} AS _folded")
+    cased = read.selectExpr("*", "lower(_text) AS _lower").selectExpr(
+        "*", f"{fold_lowered('_lower')} AS _folded"
+    )
     parsed = html.with_nodes(cased, "_text")
     facts = {name: F.expr(sql) for name, sql in html.page_facts().items()}
     known = parsed.withColumns(facts)
@@ -39,9 +41,9 @@ def fetch_facts(fetches: DataFrame) -> DataFrame:
         f"{html.load_time_ms('elapsed_ms')} AS load_time_ms",
         f"{html.page_weight_kb('size')} AS page_weight_kb",
         "title", "meta_description", "has_viewport", "lang", "visible_chars", "anchors",
-        f"{detect.linked('maps', '_folded', 'links')} AS maps",
-        f"{detect.linked('whatsapp', '_folded', 'links')} AS whatsapp",
-        f"{detect.linked('booking', '_folded', 'links')} AS booking",
+        f"{detect.linked('maps', '_folded', 'decoded_links')} AS maps",
+        f"{detect.linked('whatsapp', '_folded', 'decoded_links')} AS whatsapp",
+        f"{detect.linked('booking', '_folded', 'decoded_links')} AS booking",
         "has_form AS form",
         f"{detect.has_local_business('ldjson_blobs')} AS jsonld",
         f"({detect.is_parked('_lower')} OR {detect.is_placeholder('status', 'size')}) AS parked",

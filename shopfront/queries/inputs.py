@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shopfront.sources.fetches import FETCH_SCHEMA
+from shopfront.staging import spread
 
 Q = "chr(39)"  # a single quote
 NL = "chr(10)"
@@ -172,7 +173,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def home_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, url, html): every page with its snippets."""
-    return table(spark, sf_dir, "pages").selectExpr("page_id", "url", f"{HOME} AS html")
+    return spread(table(spark, sf_dir, "pages")).selectExpr("page_id", "url", f"{HOME} AS html")
 
 
 def starts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +183,7 @@ def starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fetch log around all pages, from one scan of the table."""
-    origins = table(spark, sf_dir, "pages").selectExpr(
+    origins = spread(table(spark, sf_dir, "pages")).selectExpr(
         "page_id", "url", "html", f"{HOST} AS host", "explode(array('http', 'https')) AS scheme"
     ).selectExpr("*", "concat(scheme, '://', host) AS origin")
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopfront.functions import contacts, crawl, detect, fixed, html, robots, sitemaps, urls
-from shopfront.functions.text import decode_entities, fold_case
+from shopfront.functions.text import decode_entities, fold_case, quoted
 from shopfront.operators import crawl_plan as plans
 from shopfront.operators import origins as origin_ops
 from shopfront.operators import osm, site_pages
@@ -23,7 +23,7 @@ from shopfront.queries.inputs import home_pages, snapshot, starts, table
 from shopfront.sources import fetches as log
 from shopfront.sources import leads as lead_files
 from shopfront.sources import sinks
-from shopfront.staging import shared_folder, stage
+from shopfront.staging import shared_folder, spread, stage
 
 AGENT = "shopfront/0.1 (+contact)"
 OPTIONS = site_audit.AuditOptions(user_agent=AGENT)
@@ -91,11 +91,11 @@ def entity_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- detectors --------------------------------------------------------------------------
 def page_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = html.with_page_facts(home_pages(spark, sf_dir), "links", "has_form").selectExpr(
+    facts = html.with_page_facts(home_pages(spark, sf_dir), "decoded_links", "has_form").selectExpr(
         "*", f"{fold_case('html')} AS _folded"
     )
     return facts.selectExpr(
-        "page_id", *(f"{detect.linked(c, '_folded', 'links')} AS {c}"
+        "page_id", *(f"{detect.linked(c, '_folded', 'decoded_links')} AS {c}"
                      for c in ("maps", "whatsapp", "booking")), "has_form AS form",
     )
 
@@ -125,9 +125,9 @@ def page_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_booking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
-        table(spark, sf_dir, "documents")
+        spread(table(spark, sf_dir, "documents"))
         .selectExpr("doc_id", f"{fold_case('text')} AS _folded")
-        .selectExpr("doc_id", *(f"{detect.linked(c, '_folded', 'cast(array() AS array<string>)')} AS {c}"
+        .selectExpr("doc_id", *(f"{detect.linked(c, '_folded', quoted(''))} AS {c}"
                                 for c in ("maps", "whatsapp", "booking")))
     )
 
@@ -135,7 +135,7 @@ def document_booking(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- contacts ---------------------------------------------------------------------------
 def document_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contacts.emails("text", "cast(array() AS array<string>)")
-    return table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_joined(found)} AS emails")
+    return spread(table(spark, sf_dir, "documents")).selectExpr("doc_id", f"{_joined(found)} AS emails")
 
 
 def _page_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,11 +171,11 @@ def _site_value(column: str):
 
 def site_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = html.with_page_facts(
-        home_pages(spark, sf_dir), "links", "has_form", "ldjson_blobs"
+        home_pages(spark, sf_dir), "decoded_links", "has_form", "ldjson_blobs"
     ).selectExpr("*", f"{fold_case('html')} AS _folded")
     checks = facts.selectExpr(
         f"{urls.site_key('url')} AS site",
-        *(f"{detect.linked(c, '_folded', 'links')} AS {c}" for c in ("maps", "whatsapp", "booking")),
+        *(f"{detect.linked(c, '_folded', 'decoded_links')} AS {c}" for c in ("maps", "whatsapp", "booking")),
         "has_form AS form", f"{detect.has_local_business('ldjson_blobs')} AS jsonld",
     )
     return site_pages.presence(checks, "site", fixed.CHECKS)

@@ -34,3 +34,15 @@ def stage(table: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/shopfront/{name}-{uuid.uuid4().hex}"
     table.write.parquet(path)
     return spark.read.schema(table.schema).parquet(path)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Rows of a small scan dealt out over all cores, before work that is heavy per row.
+
+    A table read in at least as many tasks as there are cores, as any large one is, stays as
+    it is: nothing is shuffled then.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() >= cores:
+        return table
+    return table.repartition(cores)
