@@ -27,38 +27,50 @@ def rank(path: str, page_like: str, label: str) -> str:
     return f"CASE {cases} END"
 
 
-def candidate(base: str, href: str, label: str, order: str) -> str:
-    """The page a link leads to, or NULL if it is not worth a look.
+def _names_a_page(text: str) -> str:
+    """Does any page pattern occur? No pattern spans a slash, so what it needs to match a
+    resolved path must stand in the link or in the path of its page. Most links fail here.
+    """
+    return f"{fold_case(text)} RLIKE {regex('|'.join(fixed.PAGE_RANKS))}"
+
+
+def _candidates(base: str, items: str) -> str:
+    """The pages worth a look among (raw, label, ord) items, in order.
 
     A path that is not page-like only counts with rank 0, which its label must then give.
     """
-    page_like = urls.is_page_like("pth")
-    key = "regexp_replace(pth, '/$', '')"
-    ranked = f"""transform(array(named_struct('like', {page_like})), pl ->
-        transform(array({rank('pth', 'pl.like', label)}), rk ->
-          if(rk = 0 OR (pl.like AND rk IS NOT NULL), named_struct(
-            'key', {key}, 'ord', bigint({order}), 'rank', rk,
-            'depth', size({urls.segments('pth')}),
-            'url', {urls.origin(base)} || pth || if({urls.query('full')} = '', '',
-                   '?' || {urls.query('full')})), NULL))[0])[0]"""
-    same_site = f"""({urls.scheme('full')} IN ('http', 'https')
-        AND {urls.site_key('full')} = {urls.site_key(base)})"""
-    return f"""transform(array({strip(href)}), raw -> if({urls.is_page_href('raw')},
-        transform(array({urls.resolve(base, 'raw')}), full -> if({same_site},
-          transform(array({urls.clean_path('full')}), pth ->
-            if({urls.is_asset('pth')}, NULL, {ranked}))[0], NULL))[0], NULL))[0]"""
+    named = f"""({_names_a_page("translate(x.raw, '\\t\\r\\n', '') || ' ' || x.label")}
+        OR {_names_a_page(urls.path(base))})"""
+    full = f"""transform(filter({items}, x -> {named} AND {urls.is_page_href('x.raw')}),
+        x -> named_struct(
+        'full', {urls.resolve(base, 'x.raw')}, 'label', x.label, 'ord', x.ord))"""
+    same_site = f"""{urls.scheme('x.full')} IN ('http', 'https')
+        AND {urls.site_key('x.full')} = {urls.site_key(base)}"""
+    paths = f"""transform(filter({full}, x -> {same_site}), x -> named_struct(
+        'path', {urls.clean_path('x.full')}, 'query', {urls.query('x.full')},
+        'label', x.label, 'ord', x.ord))"""
+    pages = f"""transform(filter({paths}, x -> NOT {urls.is_asset('x.path')}), x -> named_struct(
+        'x', x, 'page_like', {urls.is_page_like('x.path')}))"""
+    ranked = f"""transform({pages}, p -> named_struct('x', p.x, 'page_like', p.page_like,
+        'rank', {rank('p.x.path', 'p.page_like', 'p.x.label')}))"""
+    return f"""transform(filter({ranked}, r -> r.rank = 0 OR (r.page_like AND r.rank IS NOT NULL)),
+        r -> named_struct('key', regexp_replace(r.x.path, '/$', ''), 'ord', bigint(r.x.ord),
+          'rank', r.rank, 'depth', size({urls.segments('r.x.path')}),
+          'url', {urls.origin(base)} || r.x.path || if(r.x.query = '', '', '?' || r.x.query)))"""
 
 
 def from_links(base: str, links: str) -> str:
     """Candidates among the (href, text) links of the page ``base``, in order."""
-    found = candidate(base, "lnk.href", "lnk.text", "at")
-    return f"filter(transform({links}, (lnk, at) -> {found}), c -> c IS NOT NULL)"
+    items = f"""transform({links}, (l, at) -> named_struct(
+        'raw', {strip('l.href')}, 'label', l.text, 'ord', at))"""
+    return _candidates(base, items)
 
 
 def from_locations(base: str, locs: str) -> str:
     """Candidates among (loc, at) sitemap addresses; they come after every link."""
-    found = candidate(base, "sm.loc", "''", f"{SITEMAP_ORD} + sm.at")
-    return f"filter(transform({locs}, sm -> {found}), c -> c IS NOT NULL)"
+    items = f"""transform({locs}, l -> named_struct(
+        'raw', {strip('l.loc')}, 'label', '', 'ord', {SITEMAP_ORD} + l.at))"""
+    return _candidates(base, items)
 
 
 def depends_on_page(loc: str) -> str:
