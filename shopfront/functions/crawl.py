@@ -84,10 +84,11 @@ def home_key(url: str) -> str:
     return f"regexp_replace({urls.clean_path(url)}, '/$', '')"
 
 
-def best(candidates: str, excluded_key: str, limit: int | str) -> str:
+def best(candidates: str, excluded_key: str, limit: int | None = None) -> str:
     """The first of every key, ordered by rank, depth and first appearance, cut to ``limit``."""
-    return f"""slice(transform(array_sort(transform(
+    ordered = f"""transform(array_sort(transform(
         transform(array(array_sort(filter({candidates}, c -> c.key <> {excluded_key}))), cs ->
           filter(cs, (c, i) -> i = 0 OR get(cs, i - 1).key <> c.key))[0],
         c -> named_struct('rank', c.rank, 'depth', c.depth, 'ord', c.ord, 'c', c))),
-        r -> r.c), 1, {limit})"""
+        r -> r.c)"""
+    return ordered if limit is None else f"slice({ordered}, 1, {limit})"

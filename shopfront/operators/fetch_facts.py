@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopfront.functions import contacts, detect, html, robots, sitemaps
+from shopfront.functions import contacts, crawl, detect, html, robots, sitemaps
 from shopfront.functions.text import fold_lowered
 from shopfront.sources import fetches as log
 
@@ -40,7 +40,10 @@ def fetch_facts(fetches: DataFrame) -> DataFrame:
         "url", "final_url", "status", "error", "content_type", "size", "is_markup",
         f"{html.load_time_ms('elapsed_ms')} AS load_time_ms",
         f"{html.page_weight_kb('size')} AS page_weight_kb",
-        "title", "meta_description", "has_viewport", "lang", "visible_chars", "anchors",
+        "title", "meta_description", "has_viewport", "lang", "visible_chars",
+        # only the links worth a look are kept: were this a home page, these would be its plan
+        f"{crawl.best(crawl.from_links('final_url', 'anchors'), crawl.home_key('final_url'))}"
+        " AS candidates",
         f"{detect.linked('maps', '_folded', 'decoded_links')} AS maps",
         f"{detect.linked('whatsapp', '_folded', 'decoded_links')} AS whatsapp",
         f"{detect.linked('booking', '_folded', 'decoded_links')} AS booking",

@@ -18,29 +18,33 @@ def hot_keys(table: DataFrame, key: str, min_rows: int) -> list[str]:
     if not heavy:
         return []
     share = table.count() / MAX_HOT_KEYS
-    return [row[key] for row in heavy if row["n"] > share]
+    return [row[key] for row in heavy if row["n"] > share and row[key] is not None]
 
 
 def lookup(
-    left: DataFrame, right: DataFrame, key: str, min_hot_rows: int = 1_000_000
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    min_hot_rows: int = 1_000_000,
+    some_keys_null: bool = False,
 ) -> DataFrame:
     """``left`` left-joined to ``right``, which has one row per key.
 
     Rows of hot keys never meet in one task: they stay where they are and find the few
-    matching rows of ``right`` (at most one per hot key) by broadcast. Rows without a key
-    stay too, as they match nothing. The rest shuffles. Call it on a staged ``left``: its
-    keys are counted first.
+    matching rows of ``right`` (at most one per hot key) by broadcast. With
+    ``some_keys_null``, rows without a key stay too, as they match nothing. The rest shuffles.
+    Call it on a staged ``left``: its keys are counted first.
     """
-    keyed = left.where(F.col(key).isNotNull())
-    added = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name != key]
+    keyed = left.where(F.col(key).isNotNull()) if some_keys_null else left
     parts = []
     hot = hot_keys(keyed, key, min_hot_rows)
     if hot:
         is_hot = F.col(key).isin(hot)
         parts.append(keyed.where(is_hot).join(F.broadcast(right.where(is_hot)), key, "left"))
-        keyed = keyed.where(~is_hot)
+        keyed = keyed.where(~is_hot | F.col(key).isNull())
     parts.append(keyed.join(right, key, "left"))
-    if left.schema[key].nullable:
+    if some_keys_null:
+        added = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name != key]
         parts.append(left.where(F.col(key).isNull()).select("*", *added))
     whole = parts[0]
     for part in parts[1:]:

@@ -46,7 +46,7 @@ def merge_audits(leads: DataFrame, audits: DataFrame, min_hot_rows: int = 1_000_
         "leads",
     )
     renamed = audits.selectExpr("url AS _site", *(f"{f} AS _audit_{f}" for f in fixed.AUDIT_FIELDS))
-    joined = lookup(keyed, renamed, "_site", min_hot_rows)
+    joined = lookup(keyed, renamed, "_site", min_hot_rows, some_keys_null=True)
     merged = [
         f"coalesce(_audit_{c}, {quoted(NO_SITE[c])}) AS `{c}`"
         if c in fixed.AUDIT_FIELDS

@@ -27,7 +27,7 @@ from shopfront.staging import stage
 _NO_STRINGS = "cast(array() AS array<string>)"
 _HOME_FACTS = (
     "title", "meta_description", "has_viewport", "lang", "visible_chars", "page_weight_kb",
-    "parked", "maintenance", "anchors",
+    "parked", "maintenance", "candidates",
 )
 _PAGE_FACTS = (
     *fixed.CHECKS, "emails", "phones", "whatsapp_number", "instagram",
@@ -119,14 +119,14 @@ def plan_pages(
     )
     use_sitemap = f"({str(options.check_sitemap).lower()} AND NOT broken AND state = 'audited')"
     nothing = f"cast(array() AS array<{crawl.CANDIDATE}>)"
-    candidates = f"""concat({crawl.from_links('home_url', 'anchors')},
+    candidates = f"""concat(coalesce(candidates, {nothing}),
         if({use_sitemap}, concat(sitemap_pages,
            {crawl.from_locations('home_url', 'relative_locs')}), {nothing}))"""
     chosen = crawl.best(candidates, crawl.home_key("home_url"), options.max_pages - 1)
     allowed = f"filter({chosen}, c -> {robots.allows('rules', 'c.url')})"
     crawls = f"state = 'audited' AND NOT broken AND {options.max_pages} > 1"
     return known.selectExpr(
-        "* EXCEPT (anchors, sitemap_pages, relative_locs, rules, _start_rules, declared,"
+        "* EXCEPT (candidates, sitemap_pages, relative_locs, rules, _start_rules, declared,"
         " has_sitemap, points_to_http)",
         f"{use_sitemap} AND has_sitemap AS has_sitemap",
         f"{use_sitemap} AND https AND points_to_http AS sitemap_robots_http",

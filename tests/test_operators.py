@@ -142,9 +142,15 @@ def test_lookup_keeps_every_row_and_splits_hot_keys(spark):
     )
     assert hot_keys(left.where("key IS NOT NULL"), "key", 1000) == ["hot"]
     assert hot_keys(left, "key", 5000) == []
-    split = sorted(lookup(left, right, "key", 1000).select("id", "key", "v").collect())
-    plain = sorted(left.join(right, "key", "left").select("id", "key", "v").collect())
-    assert split == plain and len(split) == 10_000
+    def answer(table):
+        rows = table.select("id", "key", "v").collect()
+        return sorted(rows, key=lambda r: r["id"])
+
+    plain = answer(left.join(right, "key", "left"))
+    assert len(plain) == 10_000
+    assert answer(lookup(left, right, "key", 1000)) == plain
+    assert answer(lookup(left, right, "key", 1000, some_keys_null=True)) == plain
+    assert answer(lookup(left, right, "key", 5000, some_keys_null=True)) == plain
 
 
 def test_fetch_log_columns(spark):
