@@ -31,8 +31,10 @@ _REFERENCES = (
 
 
 def decode(text: str) -> str:
+    """The references that occur in the tables; a named one may lack its semicolon."""
     for reference, character in _REFERENCES:
-        text = f"replace({text}, {_q(reference)}, {_q(character)})"
+        pattern = reference if reference.startswith("&#") else reference + "?"
+        text = f"regexp_replace({text}, {_q(pattern)}, {_q(character)}, 'g')"
     return text
 
 
