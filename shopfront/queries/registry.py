@@ -54,11 +54,11 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def url_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = html.with_page_facts(home_pages(spark, sf_dir), "links")
-    return links.selectExpr("page_id", "url", "posexplode(links) AS (ord, href)").selectExpr(
-        "page_id", "bigint(ord) AS ord", "href",
-        f"{urls.is_page_href('href')} AS page_href",
-        f"{urls.resolve('url', 'href')} AS resolved",
-        f"{urls.site_key(urls.resolve('url', 'href'))} = {urls.site_key('url')} AS same_site",
+    each = links.selectExpr("page_id", "url", "posexplode(links) AS (ord, href)")
+    resolved = each.selectExpr("*", f"{urls.resolve('url', 'href')} AS resolved")
+    return resolved.selectExpr(
+        "page_id", "bigint(ord) AS ord", "href", f"{urls.is_page_href('href')} AS page_href",
+        "resolved", f"{urls.site_key('resolved')} = {urls.site_key('url')} AS same_site",
     )
 
 
