@@ -22,10 +22,11 @@ def first_values(
     Each value is reduced to its first position (partial aggregation), then the first few per
     site are kept (the window's limit also runs before its shuffle).
     """
+    # the outer form keeps the optimizer from testing the list, and so computing it, first
     listed = pages.selectExpr(
         f"{site} AS site", f"shiftleft(bigint({page_no}), {_POSITION_BITS}) AS _page",
-        f"posexplode({values}) AS (_pos, _value)",
-    )
+        f"posexplode_outer({values}) AS (_pos, _value)",
+    ).where("_value IS NOT NULL")
     firsts = listed.groupBy("site", "_value").agg(F.expr("min(_page + _pos)").alias("_at"))
     kept = firsts.withColumn(
         "_rank", F.row_number().over(Window.partitionBy("site").orderBy("_at"))

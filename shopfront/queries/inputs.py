@@ -192,7 +192,7 @@ def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
         return f"if({row['exists']}, named_struct({fields}), NULL)"
 
     rows = ", ".join(entry(r) for r in ROWS)
-    log = origins.selectExpr(f"inline(array_compact(array({rows})))")
+    log = origins.selectExpr(f"inline_outer(array_compact(array({rows})))").where("url IS NOT NULL")
     return log.selectExpr(
         "url", "final_url", "status",
         "if(content_type IS NULL, map(), map('Content-Type', content_type)) AS headers",

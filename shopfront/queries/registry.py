@@ -54,7 +54,9 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def url_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = html.with_page_facts(home_pages(spark, sf_dir), "links")
-    each = links.selectExpr("page_id", "url", "posexplode(links) AS (ord, href)")
+    each = links.selectExpr("page_id", "url", "posexplode_outer(links) AS (ord, href)").where(
+        "href IS NOT NULL"
+    )
     resolved = each.selectExpr("*", f"{urls.resolve('url', 'href')} AS resolved")
     return resolved.selectExpr(
         "page_id", "bigint(ord) AS ord", "href", f"{urls.is_page_href('href')} AS page_href",
@@ -204,8 +206,8 @@ def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def robots_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _robots_files(spark, sf_dir).selectExpr(
-        "origin", f"posexplode({robots.sitemaps('text')}) AS (seq, sitemap)"
-    ).selectExpr("origin", "bigint(seq) AS seq", "sitemap")
+        "origin", f"posexplode_outer({robots.sitemaps('text')}) AS (seq, sitemap)"
+    ).where("seq IS NOT NULL").selectExpr("origin", "bigint(seq) AS seq", "sitemap")
 
 
 def robots_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,8 +256,8 @@ def _homes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crawl_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     homes = _homes(spark, sf_dir).select("page_id", "url", "anchors")
     found = homes.selectExpr(
-        "page_id", f"inline({crawl.from_links('url', 'anchors')}) AS (key, ord, rank, depth, page_url)"
-    )
+        "page_id", f"inline_outer({crawl.from_links('url', 'anchors')}) AS (key, ord, rank, depth, page_url)"
+    ).where("key IS NOT NULL")
     return found.selectExpr(
         "page_id", "ord", "key", "bigint(rank) AS rank", "bigint(depth) AS depth", "page_url"
     )
@@ -307,8 +309,8 @@ def site_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def site_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _audits(spark, sf_dir).selectExpr(
-        "url", "posexplode(arrays_zip(problem_codes, problems)) AS (seq, p)"
-    ).selectExpr("url", "bigint(seq) AS seq", "p.problem_codes AS code", "p.problems AS problem")
+        "url", "posexplode_outer(arrays_zip(problem_codes, problems)) AS (seq, p)"
+    ).where("seq IS NOT NULL").selectExpr("url", "bigint(seq) AS seq", "p.problem_codes AS code", "p.problems AS problem")
 
 
 def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,8 +117,8 @@ def records_of_documents(documents: DataFrame, column: str) -> DataFrame:
     records = f"""if({is_list}, {items}, try_variant_get({wrapped}, '$', 'array<variant>'))"""
     problem = "raise_error('JSON input must be a list of objects, or an object containing one')"
     return documents.selectExpr(
-        f"explode(coalesce({records}, {problem})) AS record"
-    )
+        f"explode_outer(coalesce({records}, {problem})) AS record"
+    ).where("record IS NOT NULL")
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
