@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shopfront.llm import bpe_count, packing
+from shopfront.llm import bpe_count, near_dup, packing, toxicity
 from shopfront.llm.common import read
 
 
@@ -14,14 +14,25 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.count_tokens(read(spark, sf_dir, "documents"), vocabulary, limit=1024)
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.link(read(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op6_near_duplicates": op6_near_duplicates,
     "op8_packing": op8_packing,
+    "op9_toxicity": op9_toxicity,
 }
 
 #: SQL for the queries that it can express.
