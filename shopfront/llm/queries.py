@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shopfront.llm import bpe_count, near_dup, packing, toxicity
+from shopfront.llm import bpe_count, decontaminate, near_dup, packing, toxicity
 from shopfront.llm.common import read
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     return bpe_count.count_tokens(read(spark, sf_dir, "documents"), vocabulary, limit=1024)
@@ -29,6 +33,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
     "op6_near_duplicates": op6_near_duplicates,
     "op8_packing": op8_packing,
