@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shopfront.llm import bpe_count, decontaminate, near_dup, packing, toxicity
+from shopfront.llm import bpe_count, decontaminate, near_dup, packing, pii, toxicity
 from shopfront.llm.common import read
 
 
@@ -18,6 +18,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.count_tokens(read(spark, sf_dir, "documents"), vocabulary, limit=1024)
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.link(read(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -35,6 +40,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
+    "op5_personal_data": op5_personal_data,
     "op6_near_duplicates": op6_near_duplicates,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
