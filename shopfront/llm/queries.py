@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shopfront.llm import bpe_count, decontaminate, near_dup, packing, pii, toxicity
+from shopfront.llm import bpe_count, decontaminate, hilbert, near_dup, packing, pii, toxicity
 from shopfront.llm.common import read
 
 
@@ -37,6 +37,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.search(read(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -44,6 +48,7 @@ QUERIES = {
     "op6_near_duplicates": op6_near_duplicates,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
+    "op10_nearest": op10_nearest,
 }
 
 #: SQL for the queries that it can express.
