@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shopfront.llm import bpe_count, decontaminate, hilbert, near_dup, packing, pii, toxicity
+from shopfront.llm import bpe_count, decontaminate, hilbert, langid, near_dup, packing, pii, toxicity
 from shopfront.llm.common import read
 
 
@@ -18,6 +18,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.count_tokens(read(spark, sf_dir, "documents"), vocabulary, limit=1024)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "pages"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return pii.find(docs, pii.fit(docs))
@@ -44,6 +48,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
+    "op4_language": op4_language,
     "op5_personal_data": op5_personal_data,
     "op6_near_duplicates": op6_near_duplicates,
     "op8_packing": op8_packing,
