@@ -288,3 +288,25 @@ def _labelled(rows: DataFrame, classes: DataFrame, component: DataFrame) -> Data
     return with_set.unionByName(without).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all their columns as they are, without near duplicates: of each group the
+    document with the smallest ``doc_id`` stays.
+
+    Rows that repeat both id and text count as one. A ``doc_id`` with several texts goes only when all
+    of them do. Rows without ``doc_id``, and texts without a word, stay.
+    """
+    names = docs.columns
+    lower = [n.lower() for n in names]
+    at, text_at = (names.index(n) if n in names else lower.index(n) for n in ("doc_id", "text"))
+    flat = docs.toDF(*(f"_{i}" for i in range(len(names)))).withColumn("_id", F.col(f"_{at}").cast("bigint"))
+    labelled = stage(link(docs, width, percent), "near-labels").where("doc_id IS NOT NULL")
+    judged = labelled.groupBy(F.col("doc_id").alias("_id")).agg(
+        F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")
+    ).where("NOT kept OR rows > 1")
+    judged = judged.select("_id", F.col("kept").alias("_kept"))
+    marked = flat.join(judged, "_id", "left")  # judged: documents that go, and the rare repeated ids
+    once = marked.where("_kept").dropDuplicates(["_id", f"_{text_at}"])
+    columns = [f"_{i}" for i in range(len(names))]
+    return marked.where("_kept IS NULL").select(*columns).unionByName(once.select(*columns)).toDF(*names)

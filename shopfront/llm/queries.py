@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shopfront.llm import bpe_count, decontaminate, hilbert, langid, near_dup, packing, pii, toxicity
+from shopfront.llm import bpe_count, decontaminate, hilbert, langid, licenses, near_dup, packing, pii, quotes, toxicity
 from shopfront.llm.common import read
 
 
@@ -18,6 +19,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.count_tokens(read(spark, sf_dir, "documents"), vocabulary, limit=1024)
 
 
+def op3_quoted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link(read(spark, sf_dir, "conversations"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "pages"))
 
@@ -31,6 +36,12 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.link(read(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents lie in a tree of folders made from source and id, as the table has no paths."""
+    path = F.concat_ws("/", "source", *(F.floor(F.col("doc_id") / n).cast("string") for n in (1000, 100)), "doc_id")
+    return licenses.scan(read(spark, sf_dir, "documents").withColumn("path", path))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary)
@@ -48,9 +59,11 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
+    "op3_quoted_replies": op3_quoted_replies,
     "op4_language": op4_language,
     "op5_personal_data": op5_personal_data,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_licenses": op7_licenses,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_nearest": op10_nearest,
