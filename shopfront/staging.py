@@ -36,6 +36,18 @@ def stage(table: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(table.schema).parquet(path)
 
 
+def release(table: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more; other tables are left alone."""
+    spark = table.sparkSession
+    root = f"{shared_folder(spark)}/shopfront/"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = files.makeQualified(path).toString().rstrip("/") + "/"
+    for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+        if folder.split(":", 1)[-1].lstrip("/").startswith(whole.split(":", 1)[-1].lstrip("/")):
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder), True)
+
+
 def spread(table: DataFrame) -> DataFrame:
     """Rows of a small scan dealt out over all cores, before work that is heavy per row.
 
