@@ -136,3 +136,17 @@ def decode_entities(c: str) -> str:
         ELSE transform(array(split({c}, '&')), pieces ->
           pieces[0] || array_join(transform(slice(pieces, 2, size(pieces)), piece ->
             {_decode_after_ampersand('piece')}), ''))[0] END"""
+
+
+def number_text(value: str) -> str:
+    """A double in the usual short form: plain decimals from 0.0001 up to sixteen digits, else with
+    an exponent of two digits at least (``0.0005``, ``12345678.5``, ``1e-07``)."""
+    shown = f"string({value})"
+    plain = f"rtrim('0', string(cast({shown} AS decimal(38, 21))))"
+    mantissa = rf"regexp_replace(split({shown}, 'E')[0], r'\.0$', '')"
+    power = f"int(split({shown}, 'E')[1])"
+    exponent = f"concat('e', if({power} < 0, '-', '+'), lpad(string(abs({power})), 2, '0'))"
+    return f"""CASE WHEN NOT contains({shown}, 'E') THEN {shown}
+        WHEN abs({value}) >= 1e-4D AND abs({value}) < 1e16D
+          THEN if(endswith({plain}, '.'), {plain} || '0', {plain})
+        ELSE {mantissa} || {exponent} END"""

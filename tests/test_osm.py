@@ -110,3 +110,25 @@ def test_element_documents(spark, tmp_path):
     assert [(r["type"], r["id"], r["lat"]) for r in rows] == [("node", 8, 3.0), ("way", 9, None)]
     assert rows[1]["center"]["lon"] == 2.0 and rows[1]["tags"] == {"name": "N"}
     assert read_elements(spark, str(empty)).count() == 0
+
+
+def test_zero_is_a_place(spark):
+    points = spark.sql("""
+        SELECT 'node' AS type, id, lat, lon, named_struct('lat', cast(NULL AS double), 'lon', cast(NULL AS double))
+          AS center, map('shop', 'x', 'name', 'n' || id) AS tags
+        FROM VALUES (1L, 0D, 10D), (2L, 5D, 0D), (3L, 5D, 10D), (4L, 0.0005D, -0.00012D) AS t(id, lat, lon)""")
+    box = osm.Box(-1, -1, 20, 20)
+    chosen = osm.select_elements(points, ["shop"], box)
+    assert {r["id"] for r in chosen.collect()} == {1, 2, 3, 4}
+    leads = {r["source_id"]: (r["lat"], r["lon"]) for r in osm.to_leads(chosen).collect()}
+    assert leads["node/1"] == ("", "10.0") and leads["node/2"] == ("5.0", "")
+    assert leads["node/4"] == ("0.0005", "-0.00012")
+    areas = spark.createDataFrame([("wide", -1.0, -1.0, 20.0, 20.0), ("line", 0.0, 9.0, 0.0, 11.0), ("dot", 5.0, 10.0, 5.0, 10.0)],
+                                  "area string, south double, west double, north double, east double")
+    inside = {(r["area"], r["id"]) for r in osm.elements_in_areas(points, areas).collect()}
+    assert inside == {("wide", i) for i in (1, 2, 3, 4)} | {("line", 1), ("dot", 3)}
+
+
+def test_no_tags_find_nothing(spark):
+    points = spark.sql("SELECT 'node' AS type, 1L AS id, 1D AS lat, 1D AS lon, named_struct('lat', 1D, 'lon', 1D) AS center, map('a', 'b') AS tags")
+    assert osm.select_elements(points, []).count() == 0
