@@ -17,13 +17,16 @@ from shopfront.functions.text import any_of, collapse, decode_entities, regex, s
 
 # Possessive quantifiers keep the matcher iterative, so long pages cannot exhaust its stack.
 _IN_TAG = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+"""
-# "/>" closes the element at once, unless the slash ends an unquoted value
-_NOT_SELF_CLOSED = r"""(?:(?<!/)|(?<==[^\s"'>]{1,2000}))>"""
+# the same, but short of a slash that closes the element at once; a slash that ends an unquoted
+# value belongs to it
+_OPEN_TAG = (
+    r"""(?:[^>=/]++|=\s*+(?:"[^"]*+"|'[^']*+')|=[^\s"'>=]++|=|/(?!>))*+"""
+)
 
 
 def _raw_text_block(tag: str) -> str:
     return (
-        rf"<(?i:{tag})(?=[\s/>]){_IN_TAG}{_NOT_SELF_CLOSED}.*?(?:</\s*+(?i:{tag})\s*+>|\z)"
+        rf"<(?i:{tag})(?=[\s/>]){_OPEN_TAG}>.*?(?:</\s*+(?i:{tag})\s*+>|\z)"
     )
 
 
@@ -42,13 +45,13 @@ _NODE = "(?s)" + "|".join(
 )
 _NAME = r"^<(/?[a-zA-Z][^\s/>]*)"
 _RAW_TEXT = (
-    rf"(?s)^<[a-zA-Z]{_IN_TAG}{_NOT_SELF_CLOSED}(.*)</\s*+(?i:script|style)\s*+>\z"
+    rf"(?s)^<[a-zA-Z]{_OPEN_TAG}>(.*)</\s*+(?i:script|style)\s*+>\z"
 )
 _ATTRIBUTE = (
     r"""[^\s/>"'=][^\s/=>]*+(?:\s*+=++\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^>\s]*+))?"""
 )
 _VALUE = r"""(?s)^[^=]*+=++\s*+(["']?)(.*)\1$"""
-_SELF_CLOSED = r"""(?s)(?<!=[^\s"'>]{1,2000})/>\z"""
+_SELF_CLOSED = rf"""(?s)^<[a-zA-Z]{_OPEN_TAG}/>\z"""
 
 
 _TAGS_READ = ("html", "meta", "a", "script", "form", "input")

@@ -78,3 +78,13 @@ def test_long_attributes_and_text_do_not_exhaust_the_stack(spark):
     ).first()
     assert row["links"] == ["/end"]
     assert row["visible_chars"] == len("x & " * 50_000) - 1 + 3
+
+
+def test_long_unquoted_values(spark):
+    """A slash that ends an unquoted value does not close the element, however long the value is."""
+    value = "v" * 3000
+    page = f'<script type=application/ld+json data-x={value}/>{{"a": 1}}</script><p>x</p>'
+    closed = f'<script data-x={value} /><p>seen</p>'
+    table = spark.createDataFrame([(1, page), (2, closed)], "n int, html string")
+    got = {r["n"]: r for r in html.with_page_facts(table, "ldjson_blobs", "visible_chars").collect()}
+    assert got[1]["ldjson_blobs"] == ['{"a": 1}'] and got[2]["visible_chars"] == 4
