@@ -6,11 +6,12 @@ from shopfront.functions import fixed
 from shopfront.functions.text import any_of, at_first_letter, regex
 
 # The e-mail pattern, read in linear time: a match starts where a run of address characters
-# starts or where the last match ended, the run is taken whole, and a domain has at most 127
-# labels (the DNS limit), which bounds the matcher's stack.
+# starts or where the last match ended, and the run is taken whole. Each turn of the domain's loop
+# goes on to the next label that begins with two letters; it never goes back, so it needs no stack
+# however many labels there are. The last such label gives the end.
 _EMAIL = (
     r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@"
-    r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,125}\.[A-Za-z]{2,}"
+    r"(?:[A-Za-z0-9-]++\.(?:(?![A-Za-z]{2})[A-Za-z0-9-]++\.)*+(?=[A-Za-z]{2}))++[A-Za-z]{2,}"
 )
 
 

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from shopfront.functions import fixed
 
-_POSITION_BITS = 20  # positions within one page; page numbers use the bits above
-
-
 def first_values(
     pages: DataFrame, site: str, page_no: str, values: str, keep: int = fixed.CONTACTS_KEPT
 ) -> DataFrame:
@@ -24,10 +21,10 @@ def first_values(
     """
     # the outer form keeps the optimizer from testing the list, and so computing it, first
     listed = pages.selectExpr(
-        f"{site} AS site", f"shiftleft(bigint({page_no}), {_POSITION_BITS}) AS _page",
+        f"{site} AS site", f"bigint({page_no}) AS _page",
         f"posexplode_outer({values}) AS (_pos, _value)",
     ).where("_value IS NOT NULL")
-    firsts = listed.groupBy("site", "_value").agg(F.expr("min(_page + _pos)").alias("_at"))
+    firsts = listed.groupBy("site", "_value").agg(F.expr("min(struct(_page, _pos))").alias("_at"))
     kept = firsts.withColumn(
         "_rank", F.row_number().over(Window.partitionBy("site").orderBy("_at"))
     ).where(F.col("_rank") <= keep)

@@ -254,8 +254,13 @@ def word_findings(sites: DataFrame, check_sitemap: bool) -> DataFrame:
 def audit(
     starts: DataFrame, fetches: DataFrame, options: AuditOptions = AuditOptions()
 ) -> DataFrame:
-    """Audit every start URL (column ``url``) against a fetch log, one typed row per URL."""
-    return audit_facts(starts, stage(fetch_facts(fetches), "facts"), options)
+    """Audit every start URL (column ``url``) against a fetch log, one typed row per URL.
+
+    The log has one row per URL; one that has more is refused.
+    """
+    facts = stage(fetch_facts(fetches), "facts")
+    log.require_distinct(facts)
+    return audit_facts(starts, facts, options)
 
 
 def audit_facts(

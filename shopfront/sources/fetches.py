@@ -1,12 +1,14 @@
 """The fetch log: one row per requested URL.
 
 Columns: ``url, final_url, status, headers map<string,string>, body binary, elapsed_ms, error``.
-A URL must occur once; a failed request has status 0 or an error.
+A URL must occur once; a failed request has status 0 or an error. A log of several crawls is brought
+into that form by ``latest``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FETCH_SCHEMA = T.StructType(
@@ -61,3 +63,23 @@ def with_status(fetches: DataFrame) -> DataFrame:
         f"{content_type('headers')} AS content_type",
         f"{text('body')} AS text",
     )
+
+
+def latest(fetches: DataFrame, when: str) -> DataFrame:
+    """The row with the largest ``when`` (a column of the log) of each URL, without that column. Rows
+    of one URL are reduced before they are shuffled; on a tie any one of them is taken, whole."""
+    kept = [c for c in fetches.columns if c not in ("url", when)]
+    newest = F.max_by(F.struct(*kept), when).alias("_row")
+    return fetches.groupBy("url").agg(newest).select("url", "_row.*").select(
+        *(c for c in fetches.columns if c != when)
+    )
+
+
+def require_distinct(rows: DataFrame) -> None:
+    """An error if some URL occurs more than once; only URLs are counted, not their rows moved."""
+    twice = rows.groupBy("url").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(
+            f"the fetch log has {twice[0]['n']} rows for {twice[0]['url']!r}; reduce it with"
+            " sources.fetches.latest first"
+        )

@@ -187,3 +187,21 @@ def test_leads_are_audited_in_order(spark, tmp_path):
     write_audited(audited, str(out))
     names = [x.split(",")[0] for p in sorted(out.glob("part-*")) for x in p.read_text().splitlines()]
     assert [n for n in names if n != "name"] == ["A", "B", "C", "D"]
+
+
+def test_first_values_far_out(spark):
+    pages = spark.sql(f"""SELECT 's' AS host, {2**43}L AS no, array('late') AS emails
+        UNION ALL SELECT 's', 1L, array('early', 'second')""")
+    got = site_pages.first_values(pages, "host", "no", "emails").collect()
+    assert got[0]["emails"] == "early, second, late"
+
+
+def test_fetch_log_rows(spark):
+    from shopfront.sources import fetches
+
+    twice = spark.createDataFrame([("u", "old", 1), ("u", "new", 2), ("v", "one", 1)], "url string, final_url string, day int")
+    with pytest.raises(ValueError, match="latest"):
+        fetches.require_distinct(twice)
+    kept = fetches.latest(twice, "day")
+    fetches.require_distinct(kept)
+    assert sorted(map(tuple, kept.collect())) == [("u", "new"), ("v", "one")]
