@@ -31,13 +31,24 @@ def lead_url(columns: list[str]) -> str:
     return f"coalesce({', '.join([*named, quoted('')])})"
 
 
-def merge_audits(leads: DataFrame, audits: DataFrame, min_hot_rows: int = 1_000_000) -> DataFrame:
-    """Leads (with ``lead_no``) joined to flat audits. On a name clash the audit value wins.
+def free_name(columns: list[str], name: str = "lead_no") -> str:
+    """``name``, with underscores added while a column has it, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def merge_audits(
+    leads: DataFrame, audits: DataFrame, min_hot_rows: int = 1_000_000, order: str = "lead_no"
+) -> DataFrame:
+    """Leads joined to flat audits, ``order`` (their column that gives the order) first. On a name
+    clash the audit value wins; names that differ by case are different columns.
 
     Leads without a website take no part in the join, and a website that many leads share
     does not gather them in one task.
     """
-    columns = [c for c in leads.columns if c != "lead_no"]
+    columns = [c for c in leads.columns if c != order]
     url = lead_url(columns)
     keyed = stage(
         leads.selectExpr(
@@ -53,23 +64,25 @@ def merge_audits(leads: DataFrame, audits: DataFrame, min_hot_rows: int = 1_000_
         else f"`{c}`"
         for c in sinks.merged_fields(columns)
     ]
-    return joined.selectExpr("lead_no", *merged)
+    return joined.selectExpr(order, *merged)
 
 
 def audit_leads(
     leads: DataFrame, fetches: DataFrame, options: AuditOptions = AuditOptions()
 ) -> DataFrame:
-    """Every lead, in ``lead_no`` order of the input, with the audit columns added.
+    """Every lead with the audit columns added. The first column numbers the leads in the order of
+    the input: ``lead_no``, or that with underscores if the leads have such a column themselves.
 
     A website that occurs in many leads is audited once.
     """
-    numbered = stage(leads.withColumn("lead_no", F.monotonically_increasing_id()), "numbered")
+    order = free_name(leads.columns)
+    numbered = stage(leads.withColumn(order, F.monotonically_increasing_id()), "numbered")
     sites = numbered.selectExpr(f"{lead_url(leads.columns)} AS url")
     audits = stage(sinks.flat_audits(audit(sites, fetches, options)), "audits")
-    return merge_audits(numbered, audits)
+    return merge_audits(numbered, audits, order=order)
 
 
 def write_audited(audited: DataFrame, path: str) -> None:
-    """The merged rows as CSV, in the order of the lead file."""
-    ordered = audited.orderBy("lead_no")
-    sinks.write_csv(ordered, [c for c in audited.columns if c != "lead_no"], path)
+    """The merged rows as CSV, in the order of the lead file, which the first column gives."""
+    order, *fields = audited.columns
+    sinks.write_csv(audited.orderBy(order), fields, path)

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shopfront.functions import fixed
-from shopfront.functions.text import any_of, quoted
+from shopfront.functions.text import any_of, number_text, quoted
 
 SCHEMA_FIELDS = tuple(fixed.LEAD_ALIASES)
 _PROVENANCE_KEYS = ("id", "slug", "lat", "lon")
@@ -53,47 +54,82 @@ def _named_only(leads: DataFrame) -> DataFrame:
 
 
 # --- tables and CSV ---------------------------------------------------------------------
-def from_table(records: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
-    """Leads from a flat table whose columns have arbitrary names."""
-    columns = records.columns
-    resolved = resolve_mapping(columns, mapping)
+def _value_text(value: str, kind: T.DataType) -> str:
+    """Text of a typed value: of a list its first item, nothing of maps and objects."""
+    if isinstance(kind, T.ArrayType):
+        return _value_text(f"get({value}, 0)", kind.elementType)
+    if isinstance(kind, (T.MapType, T.StructType)):
+        return "''"
+    if isinstance(kind, T.BooleanType):
+        return f"coalesce(initcap(string({value})), '')"
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        # through its shortest text, so that a float shows no digits it does not have
+        return f"coalesce({number_text(f'double(string({value}))')}, '')"
+    return f"coalesce(string({value}), '')"
+
 
-    def value(key: str | None):
-        if key is None or key not in columns:
-            return F.lit("")
-        return F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))
+def from_table(
+    records: DataFrame, mapping: dict[str, str] | None = None, names: list[str] | None = None
+) -> DataFrame:
+    """Leads from a flat table whose columns have arbitrary names, its own or ``names``.
 
-    source_id = next((k for k in ("id", "slug") if k in columns), None)
+    Of columns with the very same name the last one counts.
+    """
+    names = names or records.columns
+    flat = records.toDF(*(f"_{at}" for at in range(len(names))))
+    place = {name: f"_{at}" for at, name in enumerate(names)}
+    resolved = resolve_mapping(list(place), mapping)
+
+    def value(key: str | None) -> str:
+        if key is None or key not in place:
+            return "''"
+        return _value_text(place[key], flat.schema[place[key]].dataType)
+
+    source_id = next((k for k in ("id", "slug") if k in place), None)
     fields = {f: value(resolved.get(f)) for f in SCHEMA_FIELDS}
     fields |= {
-        "source": F.lit("local"),
+        "source": "'local'",
         "source_id": value(source_id),
         "lat": value("lat"),
         "lon": value("lon"),
     }
-    return _named_only(records.select(*(c.alias(f) for f, c in fields.items())))
+    return _named_only(flat.selectExpr(*(f"{sql} AS {f}" for f, sql in fields.items())))
 
 
-def read_csv_records(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Rows of CSV files with a header, all text, '' where empty or missing.
+def _csv_reader(spark: SparkSession, multi_line: bool):
+    return spark.read.option("multiLine", multi_line).option("quote", '"').option("escape", '"')
+
+
+def csv_header(spark: SparkSession, path: str, multi_line: bool = True) -> list[str]:
+    """The names in the first line, as they are written: repeated ones and ones that differ by case
+    alone are left for the reader to tell apart."""
+    first = _csv_reader(spark, multi_line).option("header", False).csv(path).limit(1).collect()
+    return [name or "" for name in first[0]] if first else []
+
+
+def read_csv_records(
+    spark: SparkSession, path: str, multi_line: bool = True, width: int | None = None
+) -> DataFrame:
+    """Rows of CSV files with a header, all text, '' where empty or missing. With ``width``, so many
+    columns under names of their own, for headers that Spark would rename.
 
     Files whose quoted cells hold no line breaks can be read with ``multi_line=False``, which
     lets Spark split each file over many tasks.
     """
-    rows = (
-        spark.read.option("header", True)
-        .option("multiLine", multi_line)
-        .option("quote", '"')
-        .option("escape", '"')
-        .csv(path)
-    )
-    return rows.na.fill("")
+    reader = _csv_reader(spark, multi_line).option("header", True)
+    if width is not None:
+        columns = ", ".join(f"_{at} string" for at in range(width))
+        reader = reader.option("enforceSchema", True).schema(columns)
+    return reader.csv(path).na.fill("")
 
 
 def load_csv(
     spark: SparkSession, path: str, mapping: dict[str, str] | None = None, multi_line: bool = True
 ) -> DataFrame:
-    return from_table(read_csv_records(spark, path, multi_line), mapping)
+    names = csv_header(spark, path, multi_line)
+    if not names:
+        return from_table(spark.createDataFrame([], "name string"), mapping)
+    return from_table(read_csv_records(spark, path, multi_line, len(names)), mapping, names)
 
 
 # --- JSON -------------------------------------------------------------------------------
@@ -110,12 +146,13 @@ def read_json_records(spark: SparkSession, path: str) -> DataFrame:
 def records_of_documents(documents: DataFrame, column: str) -> DataFrame:
     """Explode JSON documents held in a text column to their records."""
     is_list = f"{column} RLIKE r'^\\s*\\['"
-    items = f"try_variant_get(try_parse_json({column}), '$', 'array<variant>')"
+    # item by item, so that a list may be larger than one VARIANT can be
+    items = f"from_json({column}, 'array<variant>')"
     entries = f"map_entries(from_json({column}, 'map<string,variant>'))"
     wrapped = f"""get(filter({entries}, e ->
         schema_of_variant(try_variant_get(e.value, '$[0]', 'variant')) LIKE 'OBJECT<%'), 0).value"""
     records = f"""if({is_list}, {items}, try_variant_get({wrapped}, '$', 'array<variant>'))"""
-    problem = "raise_error('JSON input must be a list of objects, or an object containing one')"
+    problem = "raise_error('expected JSON with records: a list of objects, or an object that holds such a list')"
     return documents.selectExpr(
         f"explode_outer(coalesce({records}, {problem})) AS record"
     ).where("record IS NOT NULL")
@@ -126,7 +163,8 @@ def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("singleVariantColumn", "record").json(path)
 
 
-def _usable_keys(records: DataFrame, overrides: dict[str, str]) -> list[str]:
+def _usable_keys(records: DataFrame) -> list[str]:
+    """The keys that occur in the records and that some alias names, in whatever case."""
     wanted = {a for aliases in fixed.LEAD_ALIASES.values() for a in aliases}
     fields = records.sparkSession.tvf.variant_explode(F.col("record").outer())
     names = (
@@ -135,7 +173,7 @@ def _usable_keys(records: DataFrame, overrides: dict[str, str]) -> list[str]:
         .where(f"lower(key) IN ({any_of(sorted(wanted))})")
         .distinct()
     )
-    return sorted({r["key"] for r in names.collect()} | set(overrides.values()))
+    return sorted(r["key"] for r in names.collect())
 
 
 def _path(*keys: str) -> str:
@@ -143,11 +181,15 @@ def _path(*keys: str) -> str:
 
 
 def _as_text(value: str) -> str:
-    """Text of a JSON value: '' for null and objects, ``True`` for true, numbers as written."""
+    """Text of a JSON value: '' for null and objects, ``True`` for true, whole numbers as written,
+    others as doubles in their short form (``34.0`` stays ``34.0``)."""
     text = f"try_variant_get({value}, '$', 'string')"
+    number = f"try_variant_get({value}, '$', 'double')"
     return f"""CASE WHEN {value} IS NULL OR is_variant_null({value}) THEN ''
         WHEN schema_of_variant({value}) LIKE 'OBJECT<%' THEN ''
         WHEN schema_of_variant({value}) = 'BOOLEAN' THEN initcap({text})
+        WHEN schema_of_variant({value}) RLIKE '^(DECIMAL|DOUBLE|FLOAT)'
+          THEN transform(array({number}), num -> {number_text('num')})[0]
         ELSE coalesce({text}, '') END"""
 
 
@@ -188,7 +230,7 @@ def from_json_records(
     fills an empty e-mail or phone.
     """
     overrides = mapping or {}
-    resolved = resolve_mapping(_usable_keys(records, overrides), overrides)
+    resolved = resolve_mapping(_usable_keys(records), overrides)
     fields = {f: _field(resolved.get(f)) for f in SCHEMA_FIELDS}
     if contact_from:
         for field in ("email", "phone"):
@@ -219,8 +261,10 @@ def load(
     fmt: str | None = None,
     mapping: dict[str, str] | None = None,
     contact_from: str | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """Leads from a file: ``json``, ``csv`` or ``jsonl``, by suffix if not given."""
+    """Leads from a file: ``json``, ``csv`` or ``jsonl``, by suffix if not given. A CSV without line
+    breaks inside cells is read by many tasks with ``multi_line=False``."""
     by_suffix = {".json": "json", ".jsonl": "jsonl"}
     guessed = next((f for s, f in by_suffix.items() if path.lower().endswith(s)), "csv")
     fmt = fmt or guessed
@@ -229,5 +273,5 @@ def load(
     if fmt == "jsonl":
         return from_json_records(read_json_lines(spark, path), mapping, contact_from)
     if fmt == "csv":
-        return load_csv(spark, path, mapping)
-    raise ValueError(f"unknown format {fmt!r}: expected 'json', 'jsonl' or 'csv'")
+        return load_csv(spark, path, mapping, multi_line)
+    raise ValueError(f"lead files are csv, json or jsonl, not {fmt!r}")

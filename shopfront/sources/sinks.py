@@ -9,23 +9,34 @@ from shopfront.functions import fixed
 
 
 def write_csv(rows: DataFrame, fields: tuple[str, ...] | list[str], path: str) -> None:
-    """Write the named columns in order; other columns are dropped, missing ones are ''."""
+    """Write the named columns in order; other columns are dropped, missing ones are ''.
+
+    Columns are read by position, so names may differ by case alone, as a lead file's ``Title`` and
+    the audit's ``title`` do; the writer is told that such names are different.
+    """
+    names, spark = rows.columns, rows.sparkSession
+    flat = rows.toDF(*(f"_{at}" for at in range(len(names))))
     columns = [
-        F.coalesce(F.col(f"`{f}`").cast("string"), F.lit("")).alias(f)
-        if f in rows.columns
+        F.coalesce(F.col(f"_{names.index(f)}").cast("string"), F.lit("")).alias(f)
+        if f in names
         else F.lit("").alias(f)
         for f in fields
     ]
-    (
-        rows.select(*columns)
-        .write.option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("emptyValue", "")
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
+    before = spark.conf.get("spark.sql.caseSensitive")
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        (
+            flat.select(*columns)
+            .write.option("header", True)
+            .option("quote", '"')
+            .option("escape", '"')
+            .option("emptyValue", "")
+            .option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False)
+            .csv(path)
+        )
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", before)
 
 
 def write_leads(leads: DataFrame, path: str) -> None:

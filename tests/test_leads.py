@@ -64,7 +64,7 @@ def test_bare_list_lines_and_errors(spark, tmp_path):
     got = rows(leads.load(spark, lines, mapping={"category": "id"}))
     assert [(r["name"], r["email"], r["category"]) for r in got] == [("A", "", "x"), ("B", "m", "")]
     assert rows(leads.load(spark, write(tmp_path, "none.json", "[]"))) == []
-    with pytest.raises(Exception, match="JSON input must be"):
+    with pytest.raises(Exception, match="expected JSON with records"):
         leads.load(spark, write(tmp_path, "bad.json", '{"a": [1], "b": 2}')).collect()
     with pytest.raises(ValueError):
         leads.load(spark, bare, fmt="xml")
@@ -105,3 +105,38 @@ def test_merged_columns():
     merged = sinks.merged_fields(["name", "website", "title", "emails"])
     assert merged[:4] == ["name", "website", "title", "emails"]
     assert merged.count("title") == 1 and set(fixed.AUDIT_FIELDS) <= set(merged)
+
+
+def test_headers_as_people_write_them(spark, tmp_path):
+    path = write(tmp_path, "twice.csv", "name,phone,phone\nA,1,2\n")
+    assert [(r["name"], r["phone"]) for r in rows(leads.load(spark, path))] == [("A", "2")]
+    path = write(tmp_path, "cases.csv", "Name,name,website\nX,y,z.test\n")
+    assert [(r["name"], r["website"]) for r in rows(leads.load(spark, path))] == [("X", "z.test")]
+    path = write(tmp_path, "many.csv", "name,website\nA,a.test\nB,b.test\n")
+    assert [r["name"] for r in rows(leads.load(spark, path, multi_line=False))] == ["A", "B"]
+
+
+def test_override_values_are_no_keys(spark, tmp_path):
+    path = write(tmp_path, "o.json", '[{"name": "A", "homepage": "a.test"}]')
+    got = rows(leads.load(spark, path, mapping={"category": "url"}))
+    assert [(r["name"], r["website"], r["category"]) for r in got] == [("A", "a.test", "")]
+    assert len(rows(leads.load(spark, path, mapping={"category": "Name"}))) == 1
+
+
+def test_numbers_keep_their_form(spark, tmp_path):
+    path = write(tmp_path, "n.json", '[{"name": "A", "phone": 96170.0, "lat": 34.0, "lon": 1e-7, "id": 12}]')
+    got = rows(leads.load(spark, path))[0]
+    assert (got["phone"], got["lat"], got["lon"], got["source_id"]) == ("96170.0", "34.0", "1e-07", "12")
+    table = spark.sql("SELECT 'A' AS name, array('p1', 'p2') AS phone, map('k', 'v') AS email, 12345678.5D AS lat, 0.0005D AS lon")
+    got = rows(leads.from_table(table))[0]
+    assert (got["phone"], got["email"], got["lat"], got["lon"]) == ("p1", "", "12345678.5", "0.0005")
+
+
+def test_names_that_differ_by_case_are_written(spark, tmp_path):
+    from shopfront.plans import lead_audit
+
+    table = spark.createDataFrame([(0, "a", "b")], "n long, Title string, url string").toDF("lead_no_", "Title", "title")
+    out = str(tmp_path / "cases")
+    lead_audit.write_audited(table, out)
+    assert "".join(p.read_text() for p in (tmp_path / "cases").glob("part-*")).splitlines() == ["Title,title", "a,b"]
+    assert lead_audit.free_name(["name", "Lead_No"]) == "lead_no_"
