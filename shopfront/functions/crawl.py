@@ -35,7 +35,7 @@ def _names_a_page(text: str) -> str:
 
 
 def _candidates(base: str, items: str) -> str:
-    """The pages worth a look among (raw, label, ord) items, in order.
+    """The (raw, label, ord) items that may be pages to visit, in order.
 
     A path that is not page-like only counts with rank 0, which its label must then give.
     """

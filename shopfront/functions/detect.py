@@ -44,8 +44,10 @@ def has_local_business(blobs: str) -> str:
     A blob that is not one JSON value is skipped.
     """
     items = "cast(array() AS array<variant>)"
+    # numbers that only lenient readers know become null
+    lenient = r"regexp_replace(b, r'(?<=[:\[,\s])-?(?:NaN|Infinity)(?=\s*(?:[,}\]]|$))', 'null')"
     # the brackets turn trailing text after the first value into a syntax error
-    parsed = "try_variant_get(try_parse_json('[' || b || ']'), '$', 'array<variant>')"
+    parsed = f"try_variant_get(try_parse_json('[' || {lenient} || ']'), '$', 'array<variant>')"
     top = f"""transform(array({parsed}), v -> CASE WHEN size(v) = 1
         THEN coalesce(try_variant_get(v[0], '$', 'array<variant>'), v) ELSE {items} END)[0]"""
     levels = r"if(contains(b, '\\'), regexp_count(b, r'\['), regexp_count(b, '@graph'))"

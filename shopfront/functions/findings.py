@@ -1,4 +1,4 @@
-"""Findings of a site, worded by scope, as expressions over one audit row.
+"""Problems and notes of a site, as expressions over its audit row.
 
 Each problem has a stable code and a message; both lists come out in the same order.
 """

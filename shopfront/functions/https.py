@@ -1,4 +1,4 @@
-"""HTTPS as three separate questions, from the answers in the fetch log.
+"""Whether a site offers, forces and announces HTTPS, read off the fetch log.
 
 A probe that answers with an error page has answered. An https error seen before falling back
 to http settles that there is no HTTPS, unless the fallback itself led back to https.

@@ -21,7 +21,7 @@ def locations(text: str) -> str:
 
 
 def children(locs: str) -> str:
-    """The children of an index worth a look: those naming pages first, then the rest."""
+    """The first few children of an index: those naming pages before the rest."""
     return f"""slice(concat(filter({locs}, f -> contains(lower(f), 'page')),
         filter({locs}, f -> NOT contains(lower(f), 'page'))), 1, {fixed.SITEMAP_CHILDREN})"""
 

@@ -5,20 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_HOT_KEYS = 64
+MAX_HOT_KEYS = 1000
 
 
 def hot_keys(table: DataFrame, key: str, min_rows: int) -> list[str]:
-    """Keys with more than a 1/64 share of the rows, and at least ``min_rows``.
+    """Keys with at least ``min_rows`` rows, as many as would burden one task.
 
-    At most 64 keys can exceed such a share, so the answer is small whatever the data.
+    The thousand most frequent of them are enough: whatever key comes after has less than a
+    thousandth of the rows.
     """
-    counts = table.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows)
-    heavy = counts.orderBy(F.desc("n")).limit(MAX_HOT_KEYS).collect()
-    if not heavy:
-        return []
-    share = table.count() / MAX_HOT_KEYS
-    return [row[key] for row in heavy if row["n"] > share and row[key] is not None]
+    counts = table.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    heavy = counts.where(F.col("n") >= min_rows).orderBy(F.desc("n")).limit(MAX_HOT_KEYS)
+    return [row[key] for row in heavy.collect()]
 
 
 def lookup(
@@ -31,7 +29,8 @@ def lookup(
     """``left`` left-joined to ``right``, which has one row per key.
 
     Rows of hot keys never meet in one task: they stay where they are and find the few
-    matching rows of ``right`` (at most one per hot key) by broadcast. With
+    matching rows of ``right`` (at most one per hot key) by broadcast. Rows of ``right`` must be of
+    bounded size. With
     ``some_keys_null``, rows without a key stay too, as they match nothing. The rest shuffles.
     Call it on a staged ``left``: its keys are counted first.
     """
