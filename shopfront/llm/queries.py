@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage, with production parameters, and their SQL."""
+"""The registered queries of this subpackage, with production parameters."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from shopfront.llm import bpe_count, decontaminate, hilbert, langid, licenses, near_dup, packing, pii, quotes, toxicity
 from shopfront.llm.common import read
+from shopfront.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +69,3 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_nearest": op10_nearest,
 }
-
-#: SQL for the queries that it can express.
-ORACLE_SQL: dict[str, str] = {}
