@@ -678,6 +678,11 @@ def _element_ctes() -> str:
           coalesce(nullif(CASE WHEN c_custkey % 4 <> 1 THEN
                      CASE WHEN c_custkey % 10 = 0 THEN 0 ELSE c_custkey * 7 % 350 - 175.25 END END, 0),
                    CASE WHEN c_custkey % 3 <> 0 THEN nullif(c_custkey % 160 - 80.5, 0) END)::DOUBLE AS lon,
+          coalesce(CASE WHEN c_custkey % 4 <> 1 THEN c_custkey % 170 - 85.5 END,
+                   CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 90 - 45.5 END)::DOUBLE AS at_lat,
+          coalesce(CASE WHEN c_custkey % 4 <> 1 THEN
+                     CASE WHEN c_custkey % 10 = 0 THEN 0 ELSE c_custkey * 7 % 350 - 175.25 END END,
+                   CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 160 - 80.5 END)::DOUBLE AS at_lon,
           CASE WHEN c_custkey % 8 = 0 THEN '' ELSE c_name END AS name, {tag_columns},
           CASE WHEN c_custkey % 7 = 0 THEN '' ELSE concat('shop', c_custkey, '.test') END AS website,
           CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey % 100 AS VARCHAR) ELSE '' END AS housenumber,
@@ -861,11 +866,11 @@ ORACLE_SQL = {
     "osm_selected": f"""WITH {_element_ctes()} SELECT * REPLACE ('chosen' AS category) FROM (
         SELECT {_OSM_LEAD} FROM elements WHERE type <> 'area' AND name <> '' AND website <> ''
         AND (amenity = 'building' OR shop IS NOT NULL OR craft IS NOT NULL)
-        AND lat BETWEEN -60 AND 60 AND lon BETWEEN -120 AND 120.5)""",
+        AND at_lat BETWEEN -60 AND 60 AND at_lon BETWEEN -120 AND 120.5)""",
     "osm_in_areas": f"""WITH {_element_ctes()}, {_PLACES},
         boxes AS (FROM places QUALIFY row_number() OVER (PARTITION BY area ORDER BY rank) = 1)
-        SELECT area, type, id, lat, lon FROM elements JOIN boxes
-        ON lat BETWEEN south AND north AND lon BETWEEN west AND east""",
+        SELECT area, type, id, at_lat AS lat, at_lon AS lon FROM elements JOIN boxes
+        ON at_lat BETWEEN south AND north AND at_lon BETWEEN west AND east""",
     "osm_unknown_areas": f"""WITH {_PLACES} SELECT DISTINCT concat('area ', c_nationkey % 9) AS area FROM customer
         WHERE concat('area ', c_nationkey % 9) NOT IN (SELECT area FROM places)""",
     "leads_audited": _leads_audited_sql(),
