@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from shopfront.functions import crawl, findings, fixed, https, robots, urls
 from shopfront.operators.fetch_facts import fetch_facts
 from shopfront.operators.lookup import lookup
-from shopfront.operators.origins import origin_facts
+from shopfront.operators.origins import origin_facts, with_probe, with_robots
 from shopfront.sources import fetches as log
 from shopfront.staging import stage
 
@@ -97,10 +97,8 @@ def _origins(homes: DataFrame) -> DataFrame:
     return both.distinct()
 
 
-def plan_pages(
-    homes: DataFrame, origins: DataFrame, options: AuditOptions, min_hot_rows: int = 1_000_000
-) -> DataFrame:
-    """Sites with their state, HTTPS answers, sitemap findings and the inner pages to look at."""
+def known_sites(homes: DataFrame, origins: DataFrame, min_hot_rows: int = 1_000_000) -> DataFrame:
+    """Sites with their state, HTTPS answers and everything else that ``origins`` knows."""
     start_rules = origins.selectExpr("origin AS start_origin", "rules AS _start_rules")
     of_home = origins.withColumnRenamed("origin", "home_origin")
     sites = lookup(homes, start_rules, "start_origin", min_hot_rows)
@@ -108,7 +106,7 @@ def plan_pages(
     state = f"""CASE WHEN NOT {robots.allows('_start_rules', 'url')} THEN 'robots_start'
         WHEN error <> '' THEN 'no_response'
         WHEN NOT {robots.allows('rules', 'home_url')} THEN 'robots_home' ELSE 'audited' END"""
-    known = sites.selectExpr(
+    return sites.selectExpr(
         "* EXCEPT (https_error, probe_answered, probe_final_url, probe_error)",
         f"{state} AS state",
         f"{https.is_valid('home_url', 'https_error', 'probe_answered')} AS https",
@@ -117,6 +115,13 @@ def plan_pages(
         f"{https.error('home_url', 'https_error', 'probe_answered', 'probe_error')} AS https_error",
         "coalesce(parked OR maintenance OR status >= 400, false) AS broken",
     )
+
+
+def plan_pages(
+    homes: DataFrame, origins: DataFrame, options: AuditOptions, min_hot_rows: int = 1_000_000
+) -> DataFrame:
+    """Sites with their state, HTTPS answers, sitemap findings and the inner pages to look at."""
+    known = known_sites(homes, origins, min_hot_rows)
     use_sitemap = f"({str(options.check_sitemap).lower()} AND NOT broken AND state = 'audited')"
     nothing = f"cast(array() AS array<{crawl.CANDIDATE}>)"
     candidates = f"""concat(coalesce(candidates, {nothing}),
@@ -135,17 +140,21 @@ def plan_pages(
     )
 
 
-def visited_pages(planned: DataFrame, facts: DataFrame) -> DataFrame:
+def visited_pages(
+    planned: DataFrame, facts: DataFrame, min_hot_rows: int = 1_000_000
+) -> DataFrame:
     """Inner pages of every site in plan order, gathered per site: ``_inner`` and
     ``pages_failed``. A planned page that is not in the log failed.
+
+    Shops under one host may all plan the same page; such rows stay where they are.
     """
-    wanted = planned.selectExpr("url", "inline(plan) AS (slot, _key)")
+    wanted = stage(planned.selectExpr("url", "inline(plan) AS (slot, _key)"), "wanted")
     looked = facts.selectExpr(
         "url AS _key", "final_url",
         f"{log.is_html_answer('status', 'error', 'content_type')} AS _read", *_PAGE_FACTS,
     )
     fields = ", ".join(f"'{name}', {name}" for name in _PAGE_FACTS)
-    found = wanted.join(looked, "_key", "left").selectExpr(
+    found = lookup(wanted, looked, "_key", min_hot_rows).selectExpr(
         "url",
         f"""named_struct('slot', slot, 'read', coalesce(_read, false),
             'path', {urls.path_query('if(coalesce(_read, false), final_url, _key)')},
@@ -160,6 +169,17 @@ def visited_pages(planned: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
+_LIVE = "state = 'audited'"
+_SHOWN = "state IN ('audited', 'robots_home')"
+_ANSWERS = (
+    "url", "state", "home_url",
+    f"{_SHOWN} AND https AS https",
+    f"if({_SHOWN}, https_error, '') AS https_error",
+    f"if({_SHOWN}, http_redirects_to_https, NULL) AS http_redirects_to_https",
+    "if(state = 'robots_start', 0, status) AS status",
+)
+
+
 def _first(values: str) -> str:
     return f"coalesce(get(filter({values}, v -> v IS NOT NULL), 0), '')"
 
@@ -183,8 +203,7 @@ def gather(planned: DataFrame, visited: DataFrame, options: AuditOptions) -> Dat
             " q -> q.key = p.key)), p -> p.p)"
         ),
     )
-    live = "state = 'audited'"
-    shown = "state IN ('audited', 'robots_home')"
+    live, shown = _LIVE, _SHOWN
 
     def listed(expression: str) -> str:
         return f"if({live}, {expression}, {_NO_STRINGS})"
@@ -195,13 +214,9 @@ def gather(planned: DataFrame, visited: DataFrame, options: AuditOptions) -> Dat
         for c in fixed.CHECKS
     ]
     facts = distinct.selectExpr(
-        "url", "state", "home_url",
+        *_ANSWERS,
         f"{live} AS fetched",
-        f"{shown} AND https AS https",
-        f"if({shown}, https_error, '') AS https_error",
-        f"if({shown}, http_redirects_to_https, NULL) AS http_redirects_to_https",
         "sitemap_robots_http",
-        "if(state = 'robots_start', 0, status) AS status",
         f"{live} AND has_viewport AS mobile_viewport",
         f"if({live}, title, '') AS title",
         f"if({live}, meta_description, '') AS meta_description",
@@ -263,6 +278,18 @@ def audit(
     return audit_facts(starts, facts, options)
 
 
+def answers(
+    starts: DataFrame, fetches: DataFrame, options: AuditOptions = AuditOptions()
+) -> DataFrame:
+    """How every start URL answers: its state and the three HTTPS questions, without a look at
+    sitemaps or inner pages."""
+    facts = stage(fetch_facts(fetches), "facts")
+    log.require_distinct(facts)
+    homes = stage(home_answers(start_urls(starts), facts), "homes")
+    known = with_probe(with_robots(_origins(homes), facts, options.user_agent), facts)
+    return known_sites(homes, stage(known, "origins")).selectExpr(*_ANSWERS)
+
+
 def audit_facts(
     starts: DataFrame, facts: DataFrame, options: AuditOptions = AuditOptions()
 ) -> DataFrame:

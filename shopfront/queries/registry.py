@@ -16,6 +16,7 @@ from shopfront.operators import crawl_plan as plans
 from shopfront.operators import origins as origin_ops
 from shopfront.operators import osm, site_pages
 from shopfront.operators.fetch_facts import fetch_facts
+from shopfront.operators.lookup import lookup
 from shopfront.plans import site_audit
 from shopfront.plans.lead_audit import audit_leads
 from shopfront.queries import inputs
@@ -213,10 +214,11 @@ def robots_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def robots_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every URL of the log against the robots.txt of its origin."""
     pages = snapshot(spark, sf_dir).selectExpr("url", f"{urls.origin('url')} AS origin")
+    pages = stage(pages, "urls")
     rules = _robots_files(spark, sf_dir).selectExpr(
         "origin", f"{robots.rules_for(robots.groups('text'), AGENT)} AS rules"
     )
-    return pages.join(rules, "origin", "left").selectExpr(
+    return lookup(pages, rules, "origin").selectExpr(
         "url", f"{robots.allows('rules', 'url')} AS allowed"
     )
 
@@ -279,7 +281,8 @@ def _audits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def https_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _audits(spark, sf_dir).selectExpr(
+    found = site_audit.answers(starts(spark, sf_dir), snapshot(spark, sf_dir), OPTIONS)
+    return found.selectExpr(
         "url", "state", "home_url", "bigint(status) AS status", "https", "http_redirects_to_https",
         "https_error",
     )
