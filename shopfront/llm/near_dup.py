@@ -16,17 +16,17 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from typing import Any
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopfront.llm.common import by_batch, documents
 from shopfront.llm.graph import components
-from shopfront.staging import stage
+from shopfront.staging import release, stage
 
 #: 64 bands of 8 rows: two sets of similarity 0.8 share no band in 1 of 130,000 cases, of 0.85 in
 #: 1 of 10^8; two of similarity 0.3 are candidates in 1 of 240 cases.
@@ -173,40 +173,71 @@ def verified(pairs: DataFrame, active: DataFrame, width: int, percent: int) -> D
     return by_batch(pairs.join(left, "a").join(right, "b"), "a bigint, b bigint", work)
 
 
-def across(open_buckets: DataFrame, active: DataFrame, least: float) -> DataFrame:
-    """Pairs in a bucket, from different components, whose sketches agree enough.
+def across(open_buckets: DataFrame, active: DataFrame, percent: int) -> DataFrame:
+    """Pairs in a bucket, from different components, that are similar enough by the hashes of their
+    full shingle sets; two shared hashes are granted to short hashes that may have collided.
 
-    A bucket of any size is cut into blocks, and each pair of blocks is one task's group: members
-    are copied once a block, never once a pair.
+    A bucket of any size is cut into blocks, and the rows of two blocks meet in one task: members are
+    copied once a block, and only links are put out.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    placed = open_buckets.withColumn("_block", own).withColumn(
-        "_other", F.explode(F.sequence(F.lit(0), blocks - 1))
+    marks = active.select("node", "n_shingles", "sketch", "hashes")
+    placed = open_buckets.select("key", "node", "component", "size").withColumn("block", own).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), blocks - 1))
     ).select(
-        "key", "node", "component", "_block",
-        F.least("_block", "_other").alias("low"), F.greatest("_block", "_other").alias("high"),
-    ).join(active.select("node", "n_shingles", "sketch"), "node")
-
-    def compare(key: tuple[Any, ...], table: pd.DataFrame) -> pd.DataFrame:
-        _, low, high = key
-        marks = np.frombuffer(b"".join(table["sketch"]), "<u2").reshape(-1, BINS)
-        node, component = table["node"].to_numpy(), table["component"].to_numpy()
-        size, block = table["n_shingles"].to_numpy(), table["_block"].to_numpy()
-        second = np.flatnonzero(block == high)
-        found = []
-        for i in np.flatnonzero(block == low):
-            others = second if low != high else second[node[second] > node[i]]
-            others = others[component[others] != component[i]]
-            smaller, larger = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
-            others = others[smaller >= (least + SLACK) * larger - 1e-6]
-            if len(others):
-                others = others[(marks[others] == marks[i]).mean(axis=1) >= least]
-            for j in others:
-                found.append((min(node[i], node[j]), max(node[i], node[j])))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return placed.groupBy("key", "low", "high").applyInPandas(compare, "a bigint, b bigint").distinct()
+        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+        "block", "node", "component",
+    ).join(marks, "node")
+    group = ("key", "low", "high")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []  # the rows of the group at hand: at most those of two blocks
+        for batch in batches:
+            out = {"a": [], "b": []}
+            for row in batch.to_pylist():
+                if held and any(row[c] != held[0][c] for c in group):
+                    _compare(held, percent, out)
+                    held = []
+                held.append(row)
+            yield pa.RecordBatch.from_pydict(out, schema=_PAIRS)
+        out = {"a": [], "b": []}
+        _compare(held, percent, out)
+        yield pa.RecordBatch.from_pydict(out, schema=_PAIRS)
+
+    sorted_rows = placed.repartition(*group).sortWithinPartitions(*group)
+    return sorted_rows.mapInArrow(walk, "a bigint, b bigint").distinct()
+
+
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _compare(rows: list[dict], percent: int, out: dict[str, list]) -> None:
+    component = np.array([row["component"] for row in rows])
+    if not len(rows) or (component == component[0]).all():
+        return
+    marks = np.frombuffer(b"".join(row["sketch"] for row in rows), "<u2").reshape(-1, BINS)
+    node, size, block = (np.array([row[c] for row in rows]) for c in ("node", "n_shingles", "block"))
+    one_block = rows[0]["low"] == rows[0]["high"]
+    second = np.flatnonzero(block == rows[0]["high"])
+    sets: dict[int, frozenset] = {}
+
+    def hashed(at: int) -> frozenset:
+        if at not in sets:
+            sets[at] = frozenset(np.frombuffer(rows[at]["hashes"], "<u4").tolist())
+        return sets[at]
+
+    for i in np.flatnonzero(block == rows[0]["low"]).tolist():
+        others = second[second > i] if one_block else second
+        others = others[component[others] != component[i]]
+        others = others[100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i])]
+        if len(others):
+            others = others[(marks[others] == marks[i]).mean(axis=1) >= percent / 100 - SLACK]
+        for j in others.tolist():
+            common = len(hashed(i) & hashed(j)) + 2
+            if 100 * common >= percent * (size[i] + size[j] - common):
+                out["a"].append(int(min(node[i], node[j])))
+                out["b"].append(int(max(node[i], node[j])))
 
 
 def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -221,35 +252,27 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """
     least = percent / 100 - SLACK
     docs = documents(docs)
-    rows = stage(sketches(docs, width), "near-sketches")
-    grouped = rows.where("doc_id IS NOT NULL AND set_id IS NOT NULL").groupBy("set_id").agg(
+    wide = stage(sketches(docs, width), "near-sketches")
+    grouped = wide.where("doc_id IS NOT NULL AND set_id IS NOT NULL").groupBy("set_id").agg(
         F.min("doc_id").alias("first_id"), F.any_value("n_shingles").alias("n_shingles"),
         F.any_value("sketch").alias("sketch"),
     )
     classes = stage(grouped.withColumn("node", F.monotonically_increasing_id()), "near-classes")
+    rows = stage(wide.drop("sketch"), "near-rows")
+    release(wide)
     shared = stage(buckets(classes), "near-buckets")
 
     nodes = classes.join(shared.select("node").distinct(), "node")
-    wanted = nodes.select("node", "set_id", F.col("first_id").alias("doc_id"))
-    texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    active = stage(_with_text(nodes, texts, width), "near-active")
+    wanted = nodes.select(F.col("first_id").alias("doc_id")).distinct()
+    active = stage(_with_text(nodes, docs.join(wanted, "doc_id", "left_semi"), width), "near-active")
 
     component = active.select("node", F.col("node").alias("component"))
     for turn in range(STAR_TURNS + 1):
-        within = shared.join(component, "node")
-        spread = within.groupBy("key").agg(
-            F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("center"),
-            F.min_by("component", F.xxhash64("node", F.lit(turn))).alias("center_component"),
-            (F.min("component") != F.max("component")).alias("open"),
-        ).where("open")
-        inside = within.join(spread, "key")
+        inside = _open_buckets(shared.join(component, "node"), turn)
         if turn < STAR_TURNS:
-            pairs = inside.where("component <> center_component").select(
-                F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")
-            ).distinct()
-            pairs = estimated(pairs, active, least)
+            pairs = estimated(_stars(inside), active, least)
         else:
-            pairs = across(inside, active, least)
+            pairs = across(inside, active, percent)
         links = stage(verified(pairs, active, width, percent), "near-links")
         if links.isEmpty():
             continue
@@ -261,18 +284,44 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
                 "node", F.coalesce("_to", "component").alias("component")
             ), "near-components",
         )
-    return _labelled(rows, classes, component)
+    return _labelled(rows, classes.drop("sketch"), component)
+
+
+def _open_buckets(within: DataFrame, turn: int) -> DataFrame:
+    """Members of buckets that hold several components, beside a member picked as the center."""
+    picked = F.xxhash64("node", F.lit(turn))
+    spread = within.groupBy("key").agg(
+        F.min_by(F.struct("node", "component"), picked).alias("center"),
+        (F.min("component") != F.max("component")).alias("open"),
+    ).where("open").drop("open")
+    return within.join(spread, "key")
+
+
+def _stars(inside: DataFrame) -> DataFrame:
+    """Each node with the two centers that it meets in most buckets."""
+    met = inside.where("component <> center.component").groupBy("node", F.col("center.node").alias("center")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    order = Window.partitionBy("node").orderBy(F.desc("n"), "center")  # at most a row a band
+    best = met.withColumn("rank", F.row_number().over(order)).where("rank <= 2")
+    return best.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
 
 
 def _with_text(nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """One text a class: any whose shingle set is the class's."""
+    """For each class a text whose shingle set is the class's, and the set's short hashes."""
 
     def work(rows: dict[str, list]) -> dict[str, list]:
-        ids = [hashlib.blake2b(hashes(width).text(t).tobytes(), digest_size=16).digest() for t in rows["text"]]
-        return {"set_id": ids, "text": rows["text"]}
+        out = {"set_id": [], "text": rows["text"], "hashes": []}
+        for text in rows["text"]:
+            found = hashes(width).text(text)
+            out["set_id"].append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+            out["hashes"].append((found >> np.uint64(32)).astype("<u4").tobytes())
+        return out
 
-    found = by_batch(texts, "set_id binary, text string", work).groupBy("set_id").agg(F.min("text").alias("text"))
-    return nodes.join(found, "set_id").select("node", "n_shingles", "sketch", "text")
+    found = by_batch(texts, "set_id binary, text string, hashes binary", work).groupBy("set_id").agg(
+        F.min("text").alias("text"), F.any_value("hashes").alias("hashes")
+    )
+    return nodes.join(found, "set_id").select("node", "n_shingles", "sketch", "text", "hashes")
 
 
 def _labelled(rows: DataFrame, classes: DataFrame, component: DataFrame) -> DataFrame:
