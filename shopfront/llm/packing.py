@@ -109,7 +109,8 @@ def place_lengths(histogram: dict[int, int], size: int) -> list[tuple[int, int,
         while left:
             rooms = sorted((r for r, packs in open_packs.items() if packs and r >= length), reverse=True)
             if not rooms:
-                open_packs[size].append((left, ()))
+                # as few packs as hold all that is left of this length
+                open_packs[size].append((-(-left // (size // length)), ()))
                 continue
             room = rooms[0]
             packs, placed = open_packs[room].pop()
