@@ -19,16 +19,9 @@ def pick(table: DataFrame, **wanted: str) -> DataFrame:
     A name is looked up exactly first and without regard to case second, and read by position,
     so further columns whose names clash (``Text`` beside ``text``, or two of one name) do no harm.
     """
-    names = table.columns
-    flat = table.toDF(*(f"_{at}" for at in range(len(names))))
-
-    def position(name: str) -> int:
-        if name in names:
-            return names.index(name)
-        return [n.lower() for n in names].index(name.lower())
-
+    flat = table.toDF(*(f"_{at}" for at in range(len(table.columns))))
     return flat.select(
-        *(F.col(f"_{position(name)}").cast(kind).alias(name) for name, kind in wanted.items())
+        *(F.col(f"_{position(table, name)}").cast(kind).alias(name) for name, kind in wanted.items())
     )
 
 
@@ -39,6 +32,19 @@ def documents(table: DataFrame) -> DataFrame:
     )
 
 
+def by_row(table: DataFrame, walk: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``walk`` over batches of whole rows; all columns stay, under names of their own meanwhile, as a
+    table may have names that clash."""
+    flat = table.toDF(*(f"_{at}" for at in range(len(table.columns))))
+    return flat.mapInArrow(walk, flat.schema).toDF(*table.columns)
+
+
+def position(table: DataFrame, name: str) -> int:
+    """Place of the column ``name``, or else of one that differs by case alone."""
+    names = table.columns
+    return names.index(name) if name in names else [n.lower() for n in names].index(name.lower())
+
+
 def by_batch(
     table: DataFrame, schema: str, work: Callable[[dict[str, list]], dict[str, list]]
 ) -> DataFrame:

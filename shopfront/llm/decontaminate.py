@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopfront.llm.common import by_batch, documents, pick
+from shopfront.llm.common import by_batch, documents, pick, position
 from shopfront.staging import stage
 
 WINDOW = 8  # words a window
@@ -312,7 +312,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all their columns as they are, in which no item is found."""
     names = docs.columns
-    at = names.index("doc_id") if "doc_id" in names else [n.lower() for n in names].index("doc_id")
+    at = position(docs, "doc_id")
     found = matches(docs, benchmark).select(F.col("doc_id").alias("_found_id")).distinct()
     flat = docs.toDF(*(f"_{i}" for i in range(len(names))))
     return flat.join(found, F.col(f"_{at}").cast("bigint") == F.col("_found_id"), "left_anti").toDF(*names)

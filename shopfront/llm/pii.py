@@ -16,11 +16,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopfront.llm import boosting
-from shopfront.llm.common import by_batch, documents
+from shopfront.llm.common import by_batch, by_row, documents, position
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("iban", "number", "secret", "spelled")
@@ -235,14 +236,10 @@ def redacted(text: str, spans: list[Span]) -> str:
 def redact(docs: DataFrame, model: boosting.Boosted) -> DataFrame:
     """``docs`` with the personal data in ``text`` replaced; all columns stay as they are, but
     ``n_chars``, if there is one, counts the new text where it has changed."""
-    import pyarrow as pa
-
-    names = docs.columns
-    lower = [n.lower() for n in names]
-    at = names.index("text") if "text" in names else lower.index("text")
+    at, names = position(docs, "text"), docs.columns
     sized = names.index("n_chars") if "n_chars" in names else -1
 
-    def walk(batches):
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 1000):
                 part = batch.slice(first, 1000)
@@ -259,4 +256,4 @@ def redact(docs: DataFrame, model: boosting.Boosted) -> DataFrame:
                     columns[sized] = pa.array(counts, part.schema.field(sized).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
-    return docs.mapInArrow(walk, docs.schema)
+    return by_row(docs, walk)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopfront.llm import gru
-from shopfront.llm.common import by_batch, documents, pick
+from shopfront.llm.common import by_batch, by_row, documents, pick, position
 
 #: The sample the network learns from: rows of either label, and windows of each row. Only fitting
 #: is bounded; every text is scored whole.
@@ -86,8 +86,7 @@ def score(docs: DataFrame, network: gru.Network) -> DataFrame:
 
 def keep_clean(docs: DataFrame, network: gru.Network, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all their columns as they are, whose text scores below ``threshold``."""
-    names = docs.columns
-    at = names.index("text") if "text" in names else [n.lower() for n in names].index("text")
+    at = position(docs, "text")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,4 +96,4 @@ def keep_clean(docs: DataFrame, network: gru.Network, threshold: float = 0.5) ->
                 keep += [s < threshold for s in scorer(network).scores(texts[start : start + 1000])]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(walk, docs.schema)
+    return by_row(docs, walk)

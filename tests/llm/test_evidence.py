@@ -50,7 +50,7 @@ def test_licences_and_inheritance(spark):
         (1, "Licensed under the Apache License, Version 2.0.\n" + "code " * 500, "p/a.c"), (2, "no licence here", "p/lib/x/b.c"),
         (3, mit, "p/lib/LICENSE"), (4, "plain", "p/c.c"), (5, "This work is licensed under the GNU General Public License, version 3.", "p/lib/x/y/COPYING"),
         (6, "deep", "p/lib/x/y/z/d.c"), (7, None, "p/lib/e.c"), (8, "", None), (9, "RELEASED!! UNDER!! THE!! MIT!! LICENSE!!", "q"),
-        (10, "a driving licence is issued by the office", "p/f.c"), (11, "mot Licensed under CC BY-NC 4.0. mot", "p/g.c"), (11, "mot Licensed under CC BY-NC 4.0. mot", "p/g.c"),
+        (10, "a driving licence is issued by the office", "p/f.c"), (11, "mot " * 30 + "Licensed under CC BY-NC 4.0. mot", "p/g.c"), (11, "mot " * 30 + "Licensed under CC BY-NC 4.0. mot", "p/g.c"),
         (None, "x", "p/lib/h.c"),
     ]
     got = sorted(((r.doc_id or 0, r.license, r.inherited_from) for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string, path string")).collect()), key=repr)

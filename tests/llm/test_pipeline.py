@@ -36,7 +36,8 @@ def test_queries_agree_with_sql(spark, sf_check, name):
     assert sorted(map(tuple, table.select(*columns).collect())) == sorted(expected) and expected
 
 
-def test_stages(spark, sf_dir):
+def test_stages(spark, sf_check):
+    sf_dir = sf_check
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     toxic = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").collect()}
     bench = [" ".join(r.text.split()) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
