@@ -88,7 +88,7 @@ _BODY_404 = "concat('<p>not found</p>', repeat('.', 300))"
 
 
 def _row(url, body="''", status="200", final=None, error="NULL", kind="'text/html'", exists="1 = 1",
-         elapsed="1.25 + page_id % 4000"):
+         elapsed="1.25 + page_id * 37 % 4000"):
     return {
         "url": url, "final_url": final or url, "status": status, "content_type": kind,
         "body": body, "elapsed_ms": elapsed, "error": error, "exists": exists,
@@ -103,8 +103,9 @@ _ROOT_ERROR = """CASE WHEN scheme = 'https' AND page_id % 11 = 4 THEN 'certifica
 _ROOT_BODY = f"""CASE WHEN scheme = 'https' AND page_id % 11 = 4 THEN ''
     WHEN scheme = 'http' AND page_id % 29 = 3 THEN ''
     WHEN scheme = 'https' AND page_id % 17 = 6 THEN {_BODY_404}
-    WHEN page_id % 37 = 5 THEN '<p>hi</p>' ELSE {HOME} END"""
-_ROOT_FINAL = """CASE WHEN scheme = 'https' AND page_id % 23 = 7 THEN concat(origin, '/welcome?l=en')
+    WHEN page_id % 37 = 5 THEN '<p>hi</p>'
+    WHEN page_id % 997 = 41 THEN concat({HOME}, '<!--', repeat('x', 3200000), '-->') ELSE {HOME} END"""
+_ROOT_FINAL = """CASE WHEN scheme = 'https' AND (page_id % 23 = 7 OR page_id % 40 = 11) THEN concat(origin, '/welcome?l=en')
     WHEN scheme = 'http' AND page_id % 3 = 0 THEN concat('https://', host, '/')
     WHEN scheme = 'http' AND page_id % 23 = 8 THEN concat(origin, '/welcome/') ELSE {} END"""
 _ROBOTS = f"""CASE page_id % 8
