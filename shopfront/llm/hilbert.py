@@ -193,10 +193,12 @@ def search(table: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     keyed = places(vectors, curves, False)
     ordered = keyed.repartitionByRange(CURVES * blocks, "curve", "key", "vec_id")
     placed = stage(ordered.withColumn("part", F.spark_partition_id()), "ann-places")
-    # at most CURVES * (blocks + 1) rows: first key of each block, numbered from 0 on each curve
-    number = F.row_number().over(Window.partitionBy("curve").orderBy("part")) - 1
-    edges = placed.groupBy("curve", "part").agg(F.min("key").alias("first")).withColumn("block", number)
-    edges = stage(edges, "ann-edges")
+    # a row for each part of a curve: its first key and its block. However finely Spark has cut the
+    # range, parts make up blocks by the rows they hold, numbered from 0 on each curve
+    before = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    block = F.floor(F.coalesce(F.sum("rows").over(before), F.lit(0)) / BLOCK_ROWS).cast("int")
+    edges = placed.groupBy("curve", "part").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("rows"))
+    edges = stage(edges.withColumn("block", block), "ann-edges")
     last = edges.groupBy().agg(F.max("block")).first()[0]
     placed = placed.join(edges.select("curve", "part", "block"), ["curve", "part"]).select("vec_id", "curve", "block")
     query_places = _query_blocks(places(queries, curves, True), edges)
