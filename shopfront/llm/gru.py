@@ -280,8 +280,9 @@ def train(documents: list[tuple[list[list[str]], int]], seed: int = 7) -> Networ
 
     def fit(examples: list[tuple[list[str], int]]) -> None:
         order = rng.permutation(len(examples))
-        for at in range(0, len(order), 256):
-            part = [examples[i] for i in order[at : at + 256]]
+        size = min(256, max(16, len(examples) // 40))  # some forty steps at least, however few examples
+        for at in range(0, len(order), size):
+            part = [examples[i] for i in order[at : at + size]]
             labels = np.array([label for _, label in part], np.float32)
             weigh = np.array([importance[label] for _, label in part], np.float32)
             steps.take(network.gradients(*layout([words for words, _ in part]), labels, weigh))
