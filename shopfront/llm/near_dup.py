@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopfront.llm.common import by_batch, documents
+from shopfront.llm.common import by_batch, documents, position
 from shopfront.llm.graph import components
 from shopfront.staging import release, stage
 
@@ -174,11 +174,10 @@ def verified(pairs: DataFrame, active: DataFrame, width: int, percent: int) -> D
 
 
 def across(open_buckets: DataFrame, active: DataFrame, percent: int) -> DataFrame:
-    """Pairs in a bucket, from different components, that are similar enough by the hashes of their
-    full shingle sets; two shared hashes are granted to short hashes that may have collided.
+    """Links between the components of each bucket, by the hashes of the full shingle sets.
 
     A bucket of any size is cut into blocks, and the rows of two blocks meet in one task: members are
-    copied once a block, and only links are put out.
+    copied once a block, and put out is what joins components, not every link.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
@@ -213,6 +212,11 @@ _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _compare(rows: list[dict], percent: int, out: dict[str, list]) -> None:
+    """Adds pairs to ``out`` until all that is linked is connected. Short hashes may collide. Inside a
+    set, the missing ones are counted and granted, so no link is lost. Across two sets a common one
+    may be chance: a pair that is similar without two of them is sure and joins its components here,
+    any other is only put out for verification.
+    """
     component = np.array([row["component"] for row in rows])
     if not len(rows) or (component == component[0]).all():
         return
@@ -234,10 +238,15 @@ def _compare(rows: list[dict], percent: int, out: dict[str, list]) -> None:
         if len(others):
             others = others[(marks[others] == marks[i]).mean(axis=1) >= percent / 100 - SLACK]
         for j in others.tolist():
-            common = len(hashed(i) & hashed(j)) + 2
-            if 100 * common >= percent * (size[i] + size[j] - common):
+            if component[i] == component[j]:
+                continue
+            common, both = len(hashed(i) & hashed(j)), size[i] + size[j]
+            most = common + both - len(hashed(i)) - len(hashed(j))
+            if 100 * most >= percent * (both - most):
                 out["a"].append(int(min(node[i], node[j])))
                 out["b"].append(int(max(node[i], node[j])))
+                if 100 * (common - 2) >= percent * (both - common + 2):
+                    component[component == component[j]] = component[i]
 
 
 def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -347,8 +356,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     of them do. Rows without ``doc_id``, and texts without a word, stay.
     """
     names = docs.columns
-    lower = [n.lower() for n in names]
-    at, text_at = (names.index(n) if n in names else lower.index(n) for n in ("doc_id", "text"))
+    at, text_at = position(docs, "doc_id"), position(docs, "text")
     flat = docs.toDF(*(f"_{i}" for i in range(len(names)))).withColumn("_id", F.col(f"_{at}").cast("bigint"))
     labelled = stage(link(docs, width, percent), "near-labels").where("doc_id IS NOT NULL")
     judged = labelled.groupBy(F.col("doc_id").alias("_id")).agg(
