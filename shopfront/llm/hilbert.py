@@ -6,8 +6,9 @@ every curve. What the windows hold is scored, merged and ranked exactly.
 
 How wide windows must be depends on the vectors. A bounded sample of queries is answered by a full
 scan, and the width is the least at which the windows hold the wanted share of the true neighbours.
-Where the windows of all curves together would be wider than one whole curve, as for vectors that fill
-all their dimensions evenly, a single curve is read from end to end, block by block.
+Blocks are sized from the row count, so that curves of small tables have many blocks too. Only where
+the windows measured on all curves together hold as many blocks as one whole curve, as for vectors that
+fill all their dimensions evenly, a single curve is read from end to end, block by block.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from shopfront.llm.common import by_batch, pick
 from shopfront.staging import stage
 
 CURVES, AXES, BITS = 4, 6, 10  # curves; axes of a projection; bits an axis
-BLOCK_ROWS = 8192
+BLOCK_ROWS, BLOCKS = 8192, 64  # rows a block at most, and blocks a curve at least where rows allow
 SAMPLE_QUERIES, SAMPLE_VECTORS, RECALL = 64, 4096, 0.95
 QUERIES_A_TASK = 2048
 
@@ -162,6 +163,12 @@ def places(vectors: DataFrame, curves: Curves, queries: bool) -> DataFrame:
     return by_batch(vectors, "vec_id bigint, curve int, key bigint", work)
 
 
+def block_rows(rows: int, k: int) -> int:
+    """Rows a block: few enough for ``BLOCKS`` blocks a curve, but more than ``k``, so that a window
+    of one block already holds ``k`` others."""
+    return min(BLOCK_ROWS, max(k + 1, math.ceil(rows / BLOCKS)))
+
+
 def search(table: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` vectors of largest inner product for every vector
     whose id ``every`` divides, itself left out.
@@ -187,7 +194,8 @@ def search(table: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
 
     longest = by_batch(vectors, "length double", lengths).agg(F.max("length")).first()[0]
     curves = Curves(sample, longest)
-    blocks = max(1, math.ceil(rows / BLOCK_ROWS))
+    block_size = block_rows(rows, k)
+    blocks = max(1, math.ceil(rows / block_size))
 
     # every curve's vectors in order, cut into blocks by range partitioning
     keyed = places(vectors, curves, False)
@@ -196,7 +204,7 @@ def search(table: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     # a row for each part of a curve: its first key and its block. However finely Spark has cut the
     # range, parts make up blocks by the rows they hold, numbered from 0 on each curve
     before = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    block = F.floor(F.coalesce(F.sum("rows").over(before), F.lit(0)) / BLOCK_ROWS).cast("int")
+    block = F.floor(F.coalesce(F.sum("rows").over(before), F.lit(0)) / block_size).cast("int")
     edges = placed.groupBy("curve", "part").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("rows"))
     edges = stage(edges.withColumn("block", block), "ann-edges")
     last = edges.groupBy().agg(F.max("block")).first()[0]
@@ -205,7 +213,11 @@ def search(table: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
 
     width = _width(vectors, queries, query_places, placed, k)
     used = CURVES
-    if CURVES * (2 * width + 1) > last:
+    if CURVES * (2 * width + 1) > last:  # windows read no less than a whole curve, which is exact
+        joint = max(1, BLOCK_ROWS // block_size)  # blocks that are scored together, as all are
+        placed, query_places = (t.withColumn("block", F.floor(F.col("block") / joint).cast("int"))
+                                for t in (placed, query_places))
+        last //= joint
         used, width = 1, last
     here = placed.where(F.col("curve") < used).join(vectors, "vec_id")
     reach = F.sequence(F.greatest(F.col("block") - width, F.lit(0)), F.least(F.col("block") + width, F.lit(last)))

@@ -58,6 +58,19 @@ def test_clustered_vectors_are_found_in_windows(spark, monkeypatch):
     assert hits >= 0.9 * sum(map(len, true.values()))
 
 
+def test_small_clustered_tables_are_searched_in_windows_of_all_curves(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    made = np.repeat(rng.standard_normal((100, 4)), 20, axis=0) + 0.02 * rng.standard_normal((2000, 4))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(made)]
+    found, top = [], hilbert.top
+    monkeypatch.setattr(hilbert, "top", lambda table, k: found.append(table) or top(table, k))
+    got, true = searched(table(spark, rows), 40, 10), exact({i: v for i, v, _ in rows}, 40, 10)
+    assert found[-1].count() > found[-1].distinct().count()  # curves find the same vectors again
+    hits = sum(len({v for _, v, _ in got[q]} & {v for _, v, _ in true[q]}) for q in true)
+    assert hits >= 0.9 * sum(map(len, true.values()))
+    assert all(len(rows) == 10 for rows in got.values())
+
+
 def test_awkward_vectors(spark):
     rows = [(0, [1.0, 2.0], 0), (0, [1.0, 2.0], 1), (20, [0.0, 0.0], 0), (40, None, 0), (60, [1.0, None], 0), (80, [1.0, float("nan")], 0),
             (100, [float("inf"), 1.0], 0), (120, [3.0, 1.0], 0), (None, [1.0, 1.0], 0), (7, [1.0, 2.0], 0), (9, [1.0, 2.0, 3.0], 0), (140, [], 0)]
