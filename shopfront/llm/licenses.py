@@ -2,8 +2,9 @@
 
 A header is what stands around a word that hints at a licence. Its terms, weighted by how rare they
 are among all headers of the corpus, are compared with templates; the stretch that fits best counts.
-A file that is mostly licence text speaks for its directory, and a file without a licence of its own
-takes that of its nearest ancestor directory that has one.
+A file that is the text of a licence, compared as a whole with full texts, or that is named as licence files
+are, or that is mostly a statement, speaks for its directory; a file without a licence of its own takes
+that of its nearest ancestor directory that has one.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from importlib import resources
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,9 +56,12 @@ TEMPLATES = (
     ("Proprietary", "Copyright. All rights reserved. Confidential and proprietary"),
 )
 LEAST = 0.75  # cosine from which a header is a licence's
+WHOLE = 0.85  # cosine of a whole file to a full text from which it is that licence's text
 FILE_SHARE = 0.5  # a file is a licence file when the fitting stretch is this much of its terms
 AROUND = 48  # terms on either side of a hint that may belong to its header
 _HINT = re.compile(r"(?i)licen[cs]|copyright|spdx|permission is hereby|redistribut|rights reserved|public domain")
+#: Names of licence files, as a pattern for Spark.
+NAMED = r"(?i)(^|/)((un)?licen[cs]es?|copying|copyright|notice)([._-][^/]*)?$"
 _TERM = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 _HINT_TERM = re.compile(r"licen[cs]|copyright|spdx|permission|redistribut|reserved|domain")
 
@@ -69,6 +74,16 @@ TEMPLATE_TERMS = [(name, terms(text)) for name, text in TEMPLATES]
 VOCABULARY = frozenset(t for _, words in TEMPLATE_TERMS for t in words)
 
 
+def full_texts() -> list[tuple[str, list[str]]]:
+    """Terms of whole licences. Two are made from their siblings, which differ by a clause or a word:
+    BSD-2-Clause lacks the third clause, and AGPL-3.0 names itself where GPL-3.0 does."""
+    folder = resources.files("shopfront.llm") / "license_texts"
+    texts = {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in folder.iterdir() if f.name.endswith(".txt")}
+    texts["BSD-2-Clause"] = re.sub(r"(?s)3\. Neither.*?permission\.", "", texts["BSD-3-Clause"])
+    texts["AGPL-3.0"] = re.sub(r"(?i)\bgnu general public", "GNU Affero General Public", texts["GPL-3.0"])
+    return [(name, terms(text)) for name, text in sorted(texts.items())]
+
+
 def headers(words: list[str]) -> list[tuple[int, int]]:
     """Stretches of terms around hints; hints that lie close share one."""
     out: list[tuple[int, int]] = []
@@ -106,6 +121,22 @@ class Matcher:
             weights = {w: n * self.rarity[w] for w, n in Counter(words).items()}
             length = math.sqrt(sum(x * x for x in weights.values()))
             self.templates.append((name, len(words), {w: x / length for w, x in weights.items()}))
+        texts = full_texts()
+        held = Counter(w for _, words in texts for w in set(words))
+        self.full_rarity = {w: math.log(1 + len(texts) / n) for w, n in held.items()}
+        self.full_other = math.log(1 + len(texts))
+        self.full = [(name, self.weighed(words)) for name, words in texts]
+
+    def weighed(self, words: list[str]) -> dict[str, float]:
+        """Weights of length 1 of a whole text's terms; repeats add by their logarithm."""
+        weights = {w: (1 + math.log(n)) * self.full_rarity.get(w, self.full_other) for w, n in Counter(words).items()}
+        length = math.sqrt(sum(x * x for x in weights.values()))
+        return {w: x / length for w, x in weights.items()}
+
+    def whole(self, words: list[str]) -> tuple[float, str]:
+        """Cosine and licence of the full text that the whole file is most like."""
+        weights = self.weighed(words)
+        return max((sum(x * full.get(w, 0.0) for w, x in weights.items()), name) for name, full in self.full)
 
     def stretch(self, words: list[str]) -> tuple[float, str, int]:
         """Cosine, licence and size of the stretch of a header that fits a template best. Windows of the
@@ -132,15 +163,19 @@ class Matcher:
                 best = (fits, name, len(part))
         return best
 
-    def text(self, text: str) -> tuple[str | None, float, bool]:
-        """Licence, cosine, and whether the text is mostly licence."""
+    def text(self, text: str) -> tuple[str | None, float, str | None]:
+        """Licence, cosine, and what the text is: ``full``, a licence's text; ``statement``, mostly a
+        statement of one; or null."""
         if not _HINT.search(text):
-            return None, 0.0, False
+            return None, 0.0, None
         words = terms(text)
+        fits, name = self.whole(words)
+        if fits >= WHOLE:
+            return name, round(fits, 6), "full"
         found = max((self.stretch(words[a:b]) for a, b in headers(words)), default=(0.0, "", 0))
         if found[0] < LEAST:
-            return None, round(found[0], 6), False
-        return found[1], round(found[0], 6), found[2] >= FILE_SHARE * len(words)
+            return None, round(found[0], 6), None
+        return found[1], round(found[0], 6), "statement" if found[2] >= FILE_SHARE * len(words) else None
 
 
 def matcher(files: DataFrame) -> Matcher:
@@ -167,7 +202,8 @@ def scan(files: DataFrame) -> DataFrame:
     (``doc_id, text, path``).
 
     ``inherited_from`` is the ancestor directory whose licence file speaks for the file, null for
-    a licence of its own or none at all. Of several licence files in a directory the best fitting
+    a licence of its own or none at all. ``.`` is the root of relative paths, for which only files speak
+    that are full texts or named as licence files. Of several licence files in a directory the best fitting
     counts, then the one of the smallest path. Null and empty texts have no licence of their own; a
     file without a path inherits nothing. Repeated rows come out repeated; other columns are not
     read; an empty table gives no rows.
@@ -178,21 +214,26 @@ def scan(files: DataFrame) -> DataFrame:
     def work(rows: dict[str, list]) -> dict[str, list]:
         each = [found.text(text) for text in rows["text"]]
         return {"doc_id": rows["doc_id"], "path": rows["path"], "own_license": [e[0] for e in each],
-                "cosine": [e[1] for e in each], "whole": [e[2] for e in each]}
+                "cosine": [e[1] for e in each], "is": [e[2] for e in each]}
 
-    schema = "doc_id bigint, path string, own_license string, cosine double, whole boolean"
+    schema = "doc_id bigint, path string, own_license string, cosine double, is string"
     own = by_batch(files, schema, work)
     folder = F.regexp_replace("path", "/?[^/]*$", "")
-    own = stage(own.withColumn("dir", F.when(F.col("path").contains("/"), folder)), "license-own")
+    own = stage(own.withColumn("dir", F.when(F.col("path").contains("/"), folder).when(F.col("path") != "", F.lit("."))), "license-own")
 
     speaks = F.min(F.struct(-F.col("cosine"), F.col("path"), F.col("own_license").alias("license")))
-    licensed = own.where("whole AND dir IS NOT NULL").groupBy("dir").agg(speaks.alias("best")).select(
+    named = F.col("own_license").isNotNull() & F.col("path").rlike(NAMED)
+    file = named | (F.col("is") == "full") | ((F.col("is") == "statement") & (F.col("dir") != "."))
+    licensed = own.where(file & F.col("dir").isNotNull()).groupBy("dir").agg(speaks.alias("best")).select(
         F.col("dir").alias("ancestor"), "best.license"
     )
     # ancestors of each directory once, however many files it holds
     parts = F.split("dir", "/")
-    each = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(
-        n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("ancestor"))))
+    inside = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(
+        n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("ancestor")))
+    root = F.array(F.struct(F.lit(0).alias("depth"), F.lit(".").alias("ancestor")))
+    relative = ~F.col("dir").startswith("/") & ~F.col("dir").isin("", ".")
+    each = F.explode(F.when(relative, F.concat(root, inside)).otherwise(inside))
     above = own.where("dir IS NOT NULL AND own_license IS NULL").select("dir").distinct().select("dir", each.alias("up"))
     nearest = above.select("dir", "up.*").join(licensed, "ancestor").groupBy("dir").agg(
         F.max_by(F.struct("ancestor", "license"), "depth").alias("near")

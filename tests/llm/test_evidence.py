@@ -2,6 +2,8 @@
 
 import pytest
 
+from importlib import resources
+
 from shopfront.llm import langid, licenses, quotes
 
 
@@ -61,6 +63,24 @@ def test_licences_and_inheritance(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id bigint, text string, path string")).count() == 0
 
 
+def test_full_texts_speak_for_their_directories_and_the_root(spark):
+    full = resources.files("shopfront.llm") / "license_texts"
+    texts = {f.name[:-4]: f.read_text() for f in full.iterdir() if f.name.endswith(".txt")}
+    rows, says = [], {}
+    for n, (name, text) in enumerate(sorted(texts.items())):
+        rows += [(2 * n, "Copyright (c) 2031 Some Holder\n\n" + text, f"{n}/text"), (2 * n + 1, "int x;", f"{n}/src/deep/a.c")]
+        says[2 * n] = (name, None)
+        says[2 * n + 1] = (name, str(n))
+    rows += [(100, texts["MIT"], "LICENSE"), (101, "int y;", "a/b.c"), (102, "int z;", "z.c"), (103, "int w;", "/abs/w.c"),
+             (104, "Our terms. " + "word " * 60 + "Licensed under CC BY 4.0. " + "word " * 60, "c/LICENSE.md"), (105, "plain", "c/d/e"),
+             (106, "Notes on a driving licence, for people who read the text of the law as it is and of the work they do", "f/notes"), (107, "plain", "f/g/h")]
+    says |= {100: ("MIT", None), 101: ("MIT", "."), 102: ("MIT", "."), 103: (None, None), 104: ("CC-BY-4.0", None), 105: ("CC-BY-4.0", "c"),
+             106: ("MIT", "."), 107: ("MIT", ".")}
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string, path string")).collect()
+    assert {r.doc_id: (r.license, r.inherited_from) for r in got} == says
+
+
+
 def test_every_statement_in_documents_is_found(spark, sf_check):
     docs = spark.read.parquet(f"{sf_check}/documents.parquet").selectExpr("doc_id", "text", "'x' AS path")
     own = {r.doc_id: r.own_license for r in licenses.scan(docs).collect()}
