@@ -5,8 +5,9 @@ check. Beyond them, generators of high recall propose overlapping spans of loose
 format and context give each a calibrated probability, and those above the threshold that touch no
 base span are added, the likeliest first.
 
-The trees learn, from a bounded sample, what the checked base spans and assignments of secrets look
-like against the other candidates.
+The trees learn, from a bounded sample, from candidates that can come out, as they touch no base span:
+those whose form or context says what they are, and base spans masked so that no base pattern finds
+them, against the other candidates.
 """
 
 from __future__ import annotations
@@ -101,6 +102,9 @@ CONTEXT = (
     re.compile(r"(?i)(?:email|e-mail|mail|contact|write)\W{0,3}(?:\w+\W{1,3}){0,2}$"),
 )
 _ASSIGNED = CONTEXT[3]
+_AT = re.compile(r"(?i)\s?(?:\(at\)|\[at\]|\bat\b)\s?")
+_DOT = re.compile(r"(?i)\s?(?:\(dot\)|\[dot\]|\bdot\b)\s?")
+_ENDINGS = frozenset("com org net edu gov mil int info biz io co ai app dev example test".split())
 
 
 def candidates(text: str) -> list[Span]:
@@ -115,6 +119,56 @@ def candidates(text: str) -> list[Span]:
     return found
 
 
+def iban(value: str) -> bool:
+    """Whether the check digits are right: the first four characters at the end, letters as 10 to 35."""
+    plain = value.replace(" ", "")
+    return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def resolves(value: str) -> bool:
+    """Whether a spelled address ends in a domain: a common ending, or in brackets any of two letters."""
+    ending = _DOT.split(_AT.split(value)[-1])[-1].lower()
+    return ending in _ENDINGS or (value[-len(ending) - 2 :].strip()[:1] in (")", "]") and len(ending) == 2 and ending.isalpha())
+
+
+def checked(text: str, span: Span) -> bool:
+    """Whether the form alone tells that an IBAN or a spelled address is one."""
+    kind, start, end = span
+    return (kind == "iban" and iban(text[start:end])) or (kind == "spelled" and resolves(text[start:end]))
+
+
+def told(text: str, span: Span) -> bool:
+    """Whether form or context says that a candidate is personal data."""
+    before = text[max(0, span[1] - 40) : span[1]]
+    if span[0] == "number":
+        return CONTEXT[0].search(before) is not None or CONTEXT[2].search(before) is not None
+    return checked(text, span) or (span[0] == "secret" and _ASSIGNED.search(before) is not None)
+
+
+def masked(text: str, base: list[Span]) -> Iterator[tuple[str, Span]]:
+    """Base spans in a form that no base pattern finds, with the text around them: phones without plus,
+    cards cut by dots, addresses spelled out."""
+    for kind, start, end in base:
+        value = text[start:end]
+        if kind == "phone":
+            value = value[1:]
+        elif kind == "card":
+            value = ".".join(re.findall("[0-9]{1,4}", _NO_DIGIT.sub("", value)))
+        elif kind == "email":
+            user, domain = value.split("@")
+            value = f"{user} (at) {domain.replace('.', ' (dot) ')}"
+        else:
+            continue
+        left = text[max(0, start - 60) : start]
+        around = left + value + text[end : end + 60]
+        place = ("", len(left), len(left) + len(value))
+        others = base_spans(around)
+        for span in candidates(around):
+            if span[1] <= place[1] + 1 and span[2] >= place[2] and not any(_touches(span, b) for b in others):
+                yield around, span
+                break
+
+
 def features(text: str, span: Span) -> list[float]:
     """Format of the span and what stands around it."""
     kind, start, end = span
@@ -133,7 +187,7 @@ def features(text: str, span: Span) -> list[float]:
         len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts),
         len(set(digits)), float(-(shares * np.log2(shares)).sum()),
         before[-1:].isspace() or not before, text[end : end + 1].isspace() or end == len(text),
-        *(pattern.search(before) is not None for pattern in CONTEXT),
+        *(pattern.search(before) is not None for pattern in CONTEXT), checked(text, span),
     ]
 
 
@@ -168,22 +222,23 @@ def added_spans(texts: list[str], base: list[list[Span]], model: boosting.Booste
 
 
 def training_spans(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of candidates in at most ``SAMPLE_DOCS`` documents, those first whose ids
+    """Features and labels of candidates, and of masked base spans, in at most ``SAMPLE_DOCS`` documents, those first whose ids
     have the smallest hashes, among the documents with any candidate."""
 
     def work(rows: dict[str, list]) -> dict[str, list]:
         out = {"doc_id": [], "x": [], "y": []}
         for doc, text in zip(rows["doc_id"], rows["text"]):
             base = base_spans(text)
-            for span in candidates(text)[:50]:
-                assigned = _ASSIGNED.search(text[max(0, span[1] - 40) : span[1]]) is not None
-                right = any(_touches(span, b) for b in base) or (span[0] == "secret" and assigned)
+            free = [s for s in candidates(text)[:50] if not any(_touches(s, b) for b in base)]
+            known = [(text, span, told(text, span)) for span in free]
+            known += [(around, span, True) for around, span in masked(text, base[:50])]
+            for around, span, right in known:
                 out["doc_id"].append(doc)
-                out["x"].append(features(text, span))
+                out["x"].append(features(around, span))
                 out["y"].append(int(right))
         return out
 
-    hinted = docs.where("doc_id IS NOT NULL AND text RLIKE '[0-9]|(?i)[ (\\\\[]dot[ )\\\\]]'").select("doc_id")
+    hinted = docs.where("doc_id IS NOT NULL AND text RLIKE '[0-9@]|(?i)[ (\\\\[]dot[ )\\\\]]'").select("doc_id")
     chosen = hinted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
     few = docs.join(F.broadcast(chosen.distinct()), "doc_id")  # at most SAMPLE_DOCS ids
     rows = by_batch(few, "doc_id bigint, x array<double>, y int", work).orderBy(

@@ -77,6 +77,36 @@ def test_added_spans_and_redaction(make):
     assert pii.redacted("ab cd ef", [("card", 1, 4), ("ip", 3, 7)]) == "a[card]f"
 
 
+def test_every_generated_kind_is_found_and_redacted(make):
+    rng = random.Random(4)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for _ in range(150):
+        account = digits(18)
+        check = 98 - int(account + "131400") % 97
+        right, wrong = (f"DE{c % 97:02}{account}" for c in (check, check + 5))
+        rows += [("iban", f"please pay to {right} by friday"), ("", f"the part {wrong} is out of stock"),
+                 ("number", f"call me on {digits(3)} {digits(3)} {digits(4)} today"), ("number", f"her ssn is {digits(3)}-{digits(2)}-{digits(4)} now"),
+                 ("", f"batch of {digits(9)} pieces"), ("spelled", f"so {word()} (at) {word()} (dot) com is mine"),
+                 ("", f"{word()} at {word()} dot matrix"), ("secret", f'api_key = "{word()}{digits(20)}" set')]
+    rows = [(kind, text) for kind, text in rows if not pii.base_spans(text)]
+    docs = make([(n, text) for n, (_, text) in enumerate(rows)])
+    model = pii.fit(docs)
+    shown = {r.doc_id: r.text for r in pii.redact(docs, model).collect()}
+    for kind in pii.ADDED:
+        hits = [f"[{kind}]" in shown[n] for n, (k, _) in enumerate(rows) if k == kind]
+        assert sum(hits) > 0.9 * len(hits) > 50, kind
+    clean = [shown[n] == text for n, (k, text) in enumerate(rows) if not k]
+    assert sum(clean) > 0.9 * len(clean)
+
+
+def test_masked_base_spans_are_candidates():
+    text = "ask a.b@c.example.com or +1 (337) 555-7349, card 4111 1111 1111 1111"
+    got = [(around[s:e], kind) for around, (kind, s, e) in pii.masked(text, pii.base_spans(text))]
+    assert got == [("a.b (at) c (dot) example (dot) com", "spelled"), ("1 (337) 555-7349", "number"), ("4111.1111.1111.1111", "number")]
+
+
 def test_awkward_rows(awkward, empty):
     model = pii.fit(awkward)
     rows = pii.find(awkward, model).collect()
