@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from shopfront.llm import gru
 from shopfront.llm.common import by_batch, by_row, documents, pick, position
 
-#: The sample the network learns from: rows of either label, and windows of each row. Only fitting
-#: is bounded; every text is scored whole.
-POSITIVES, NEGATIVES, WINDOWS = 1000, 3000, 12
+#: The rows of either label that the network learns from, each of them whole, as the highest of all
+#: windows counts when texts are scored. Only fitting is bounded; every text is scored whole.
+POSITIVES, NEGATIVES = 1000, 3000
 FOLDS, HELD_OUT = 5, 0
 
 
@@ -28,7 +28,7 @@ def fold() -> F.Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[list[list[str]], int]]:
     """At most ``POSITIVES`` and ``NEGATIVES`` labelled documents, chosen by a hash of the id, as
-    windows of words. Rows of the held-out fold and rows without a label take no part."""
+    all their windows of words. Rows of the held-out fold and rows without a label take no part."""
     marked = pick(labels, doc_id="bigint", toxic="int").where("toxic IN (0, 1)").where(fold() != HELD_OUT)
     mixed = F.xxhash64("doc_id")
     chosen = (
@@ -38,18 +38,18 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[list[list[st
     )
 
     def work(rows: dict[str, list]) -> dict[str, list]:
-        windows = []
-        for text in rows["text"]:
-            words = [gru.core(c) for c in text.split()]
-            here = gru.starts(len(words))
-            every = -(-len(here) // WINDOWS)
-            windows.append([" ".join(words[s : s + gru.WINDOW]) for s in here[::every]])
-        return {"doc_id": rows["doc_id"], "toxic": rows["toxic"], "windows": windows}
+        words = [" ".join(gru.core(c) for c in text.split()) for text in rows["text"]]
+        return {"doc_id": rows["doc_id"], "toxic": rows["toxic"], "words": words}
 
     few = documents(docs).join(F.broadcast(chosen), "doc_id")  # at most POSITIVES + NEGATIVES ids
-    found = by_batch(few, "doc_id bigint, toxic int, windows array<string>", work)
-    rows = found.orderBy("doc_id", "windows").limit(2 * (POSITIVES + NEGATIVES)).collect()
-    return [([w.split(" ") for w in row["windows"]], row["toxic"]) for row in rows]
+    found = by_batch(few, "doc_id bigint, toxic int, words string", work)
+    rows = found.orderBy("doc_id", "words").limit(2 * (POSITIVES + NEGATIVES)).collect()
+    one: dict[str, str] = {}  # one object a distinct word, as windows of all rows share them
+    out = []
+    for row in rows:
+        words = [one.setdefault(w, w) for w in row["words"].split(" ")]
+        out.append(([words[s : s + gru.WINDOW] for s in gru.starts(len(words))], row["toxic"]))
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> gru.Network:

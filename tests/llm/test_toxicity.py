@@ -75,6 +75,16 @@ def test_scores_do_not_depend_on_the_batch():
     assert np.allclose(together, alone, atol=1e-4)
 
 
+def test_sampled_rows_are_learned_from_whole(make, spark):
+    texts = [" ".join(f"W{n}." for n in range(size)) for size in (0, 10, 24, 250, 1350)]
+    marks = spark.createDataFrame([(n, 1, n % 2) for n in (1, 2, 3, 4, 6, 7, 8, 9)], "doc_id bigint, quality int, toxic int")
+    ids = [n for n in range(1, 10) if n != 5 and zlib.crc32(str(n).encode()) % 5][: len(texts)]
+    assert len(ids) == len(texts)
+    for (windows, label), n, text in zip(toxicity.training_rows(make(list(zip(ids, texts))), marks), ids, texts):
+        words = [gru.core(w) for w in text.split()] or [""]
+        assert label == n % 2 and windows == [words[s : s + gru.WINDOW] for s in gru.starts(len(words))]
+
+
 def test_awkward_rows(awkward, empty, spark):
     none = spark.createDataFrame([(1, None, None), (None, 1, 1), (2, 1, 7)], "doc_id bigint, quality int, toxic int")
     network = toxicity.fit(awkward, none)
