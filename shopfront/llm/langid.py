@@ -8,12 +8,11 @@ be trusted is itself estimated, by grouped sums of the text-only posteriors over
 
 from __future__ import annotations
 
-import functools
 import re
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopfront.llm.common import by_batch, pick
@@ -22,8 +21,8 @@ from shopfront.operators.lookup import lookup
 from shopfront.staging import stage
 
 BUCKETS = 1 << 14
-#: The sample the text model learns from: rows of each language, and how many languages at most.
-SAMPLE_ROWS, LANGUAGES = 1000, 40
+#: The sample the text model learns from: rows of each language, however many languages there are.
+SAMPLE_ROWS = 1000
 #: Words whose evidence counts in full; that of a longer text is scaled down to so many, since its
 #: words are far from independent.
 FULL_WORDS = 30
@@ -142,17 +141,20 @@ def reader(model: TextModel) -> Reader:
 
 
 def fit(labelled: DataFrame) -> TextModel:
-    """The text model from at most ``SAMPLE_ROWS`` rows of each of the ``LANGUAGES`` most frequent
-    values of ``lang`` (``doc_id, text, lang``), those whose ids have the smallest hashes."""
+    """The text model from at most ``SAMPLE_ROWS`` rows of every value of ``lang`` (``doc_id, text,
+    lang``), those whose ids have the smallest hashes."""
     rows = pick(labelled, doc_id="bigint", text="string", lang="string").where("text IS NOT NULL AND lang IS NOT NULL")
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(row["lang"] for row in common)
+    sizes = {row["lang"]: row["count"] for row in rows.groupBy("lang").count().collect()}  # a row a language
+    languages = sorted(sizes)
     if not languages:
         return TextModel(["und"], np.zeros((BUCKETS, 1)))
-    chosen = functools.reduce(DataFrame.unionByName, (
-        rows.where(F.col("lang") == lang).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-        for lang in languages
-    )).distinct()
+    # hashes are spread evenly, so the smallest of a language lie below twice their share of all hashes
+    below = [(lang, min(2**63 - 1, -(2**63) + 2**64 * 2 * SAMPLE_ROWS // n)) for lang, n in sizes.items()]
+    bounds = F.broadcast(rows.sparkSession.createDataFrame(below, "lang string, below bigint"))
+    mixed = F.xxhash64("doc_id")
+    first = rows.join(bounds, "lang").where(mixed <= F.col("below")).select("doc_id", "lang")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(mixed, "doc_id"))
+    chosen = first.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_ROWS).select("doc_id", "lang").distinct()
 
     def work(part: dict[str, list]) -> dict[str, list]:
         counts = {}
@@ -169,11 +171,13 @@ def fit(labelled: DataFrame) -> TextModel:
             out["n"] += found[at].tolist()
         return out
 
-    few = rows.join(F.broadcast(chosen), ["doc_id", "lang"])  # at most SAMPLE_ROWS * LANGUAGES ids
+    few = rows.join(F.broadcast(chosen), ["doc_id", "lang"])  # at most SAMPLE_ROWS ids a language
     found = by_batch(few, "lang string, bucket int, n bigint", work).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts = np.zeros((BUCKETS, len(languages)))
-    for row in found.collect():  # at most BUCKETS * LANGUAGES rows
-        counts[row["bucket"], languages.index(row["lang"])] = row["n"]
+    number = {lang: at for at, lang in enumerate(languages)}
+    each = found.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("ns"))
+    for row in each.toLocalIterator():  # at most BUCKETS counts a language
+        counts[row["buckets"], number[row["lang"]]] = row["ns"]
     return TextModel(languages, counts)
 
 

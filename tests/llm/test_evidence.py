@@ -45,6 +45,17 @@ def test_language_of_awkward_rows(awkward, empty, spark):
     assert langid.identify(plain, pages).count() == 4 and docs is not None
 
 
+def test_every_language_that_occurs_is_known(spark):
+    made = [(f"l{n:02}", f"{a}{b}") for n, (a, b) in enumerate((a, b) for a in ("ba", "ke", "ri", "to", "mu") for b in "cdfghjlnpqsx")]
+    rows = [(100 * n + at, " ".join(stem + end for end in ("aro", "ite", "ul", "en")), lang, None)
+            for n, (lang, stem) in enumerate(made) for at in range(4 if n else 2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    model = langid.fit(docs)
+    assert model.languages == [lang for lang, _ in made]  # 60
+    got = {r.id: r.lang for r in langid.fuse(langid.document_evidence(docs, model), model).collect()}
+    assert sum(got[doc] == lang for doc, _, lang, _ in rows) > 0.95 * len(rows)
+
+
 # --- licences -----------------------------------------------------------------------------
 def test_licences_and_inheritance(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"
