@@ -39,4 +39,41 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
-ORACLE_SQL = {"op6_near_duplicates": NEAR_DUPLICATES, "op10_nearest": NEAREST}
+def _clusters(rounds: int = 3) -> str:
+    """Every round as two tables: who is nearest to whom, and the moved centroids."""
+
+    def nearest(at: int) -> str:
+        return f"""near{at} AS (
+  SELECT row, vec_id, x, number, distance FROM (
+    SELECT k.row, k.vec_id, k.x, c.number,
+      list_sum(list_transform(list_zip(k.x, c.x), lambda z: CAST((z[1] - z[2]) * (z[1] - z[2]) AS HUGEINT))) AS distance,
+      row_number() OVER (PARTITION BY k.row ORDER BY distance, c.number) AS place
+    FROM kept k CROSS JOIN centroids{at} c) WHERE place = 1)"""
+
+    def moved(at: int) -> str:
+        return f"""places{at} AS (
+  SELECT number, place, sum(part) AS total, count(*) AS members FROM (
+    SELECT number, unnest(x) AS part, unnest(range(1, 65)) AS place FROM near{at - 1}) GROUP BY number, place),
+centroids{at} AS (
+  SELECT c.number, coalesce(m.x, c.x) AS x FROM centroids{at - 1} c LEFT JOIN (
+    SELECT number, list(CAST((total - ((total % members) + members) % members) // members AS BIGINT) ORDER BY place) AS x
+    FROM places{at} GROUP BY number) m USING (number))"""
+
+    turns = ",\n".join(f"{nearest(at)},\n{moved(at + 1)}" for at in range(rounds))
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda c: CAST(floor(CAST(c AS DOUBLE) * 64) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+centroids0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1 AS number, x FROM kept
+  WHERE vec_id IS NOT NULL QUALIFY number < 16),
+{turns},
+{nearest(rounds)},
+totals AS (SELECT number, sum(distance) AS own FROM near{rounds} GROUP BY number)
+SELECT n.vec_id, CAST(n.number AS INTEGER) AS "cluster", CAST(n.distance AS BIGINT) AS distance, CAST(t.own AS BIGINT) AS cluster_inertia,
+  CAST((SELECT sum(own) FROM totals) AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM near{rounds} n JOIN totals t ON n.number = t.number JOIN centroids{rounds} c ON c.number = n.number
+"""
+
+
+ORACLE_SQL = {"op6_near_duplicates": NEAR_DUPLICATES, "op10_nearest": NEAREST, "op13_clusters": _clusters()}
