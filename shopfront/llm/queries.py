@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopfront.llm import bpe_count, decontaminate, hilbert, langid, licenses, near_dup, packing, pii, pivot_clusters, quotes, toxicity
+from shopfront.llm import bpe_count, decontaminate, hilbert, langid, licenses, near_dup, packing, pii, pivot_clusters, quotes, toxicity, whitening
 from shopfront.llm.common import read
 from shopfront.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
@@ -57,6 +57,10 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.search(read(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op11_whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_clusters.cluster(read(spark, sf_dir, "embeddings"))
 
@@ -72,5 +76,6 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_nearest": op10_nearest,
+    "op11_whitened": op11_whitened,
     "op13_clusters": op13_clusters,
 }
