@@ -39,6 +39,41 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+#: Addresses, the redirects worked out from them, everything reachable over links, and the rules.
+URL_FILTER = r"""
+WITH RECURSIVE rules(verdict, host, path) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+    ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+pages_ AS (
+  SELECT page_id, url, regexp_extract(html, '(?is)<title>([^<]+)', 1) AS title, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS tail FROM pages),
+split AS (
+  SELECT page_id, url, title, translate(regexp_extract(tail, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(tail, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(tail, '^[^?#]*[?]([^#]*)', 1) AS query FROM pages_),
+site AS (
+  SELECT url, title, regexp_replace(host, '^(www|m|blog)[.]', '') AS host, regexp_replace(path, '([.]html|/)$', '') AS path,
+    regexp_replace(query, '(^|&)(ref|utm_[a-z]+)=[^&]*', '', 'g') AS query
+  FROM split WHERE url LIKE '%://%'),
+plain AS (
+  SELECT url, 'https://' || host || path || CASE WHEN query = '' THEN '' ELSE '?' || query END AS target, path, title FROM site),
+redirects AS (
+  SELECT url AS a, target AS b FROM plain
+  UNION SELECT target, min(target) OVER (PARTITION BY path, title) FROM plain WHERE path <> '' AND title <> ''),
+links AS (SELECT a, b FROM redirects WHERE a <> b UNION SELECT b, a FROM redirects WHERE a <> b),
+reach AS (SELECT DISTINCT a, a AS seen FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.seen = l.a),
+urls AS (SELECT url FROM split UNION SELECT seen FROM reach),
+parts AS (
+  SELECT url, translate(regexp_extract(url, '^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1) AS path FROM urls WHERE url IS NOT NULL),
+ruled AS (
+  SELECT p.url, r.host || r.path AS rule, r.verdict FROM parts p JOIN rules r
+    ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+  QUALIFY row_number() OVER (PARTITION BY p.url ORDER BY length(r.host || r.path) DESC, r.verdict) = 1),
+passed AS (SELECT r.a AS url, min(u.verdict) AS verdict FROM reach r JOIN ruled u ON r.seen = u.url GROUP BY r.a)
+SELECT s.page_id, coalesce(s.host, '') AS host, coalesce(s.path, '') AS path, u.rule, coalesce(u.verdict, p.verdict, 'allow') AS verdict
+FROM split s LEFT JOIN ruled u ON s.url = u.url LEFT JOIN passed p ON s.url = p.url
+"""
+
+
 def _clusters(rounds: int = 3) -> str:
     """Every round as two tables: who is nearest to whom, and the moved centroids."""
 
@@ -76,4 +111,4 @@ FROM near{rounds} n JOIN totals t ON n.number = t.number JOIN centroids{rounds}
 """
 
 
-ORACLE_SQL = {"op6_near_duplicates": NEAR_DUPLICATES, "op10_nearest": NEAREST, "op13_clusters": _clusters()}
+ORACLE_SQL = {"op6_near_duplicates": NEAR_DUPLICATES, "op10_nearest": NEAREST, "op12_url_filter": URL_FILTER, "op13_clusters": _clusters()}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopfront.llm import bpe_count, decontaminate, hilbert, langid, licenses, near_dup, packing, pii, pivot_clusters, quotes, toxicity, whitening
+from shopfront.llm import bpe_count, decontaminate, hilbert, langid, licenses, near_dup, packing, pii, pivot_clusters, quotes, toxicity, url_filter, whitening
 from shopfront.llm.common import read
 from shopfront.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
@@ -61,6 +61,14 @@ def op11_whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
 
 
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages declare no canonical links and come without redirects, so the usual ones are worked out
+    from their addresses."""
+    pages = read(spark, sf_dir, "pages")
+    rules = url_filter.rules_table(spark, url_filter.RULES)
+    return url_filter.judge(pages, rules, url_filter.usual_redirects(pages))
+
+
 def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_clusters.cluster(read(spark, sf_dir, "embeddings"))
 
@@ -77,5 +85,6 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_nearest": op10_nearest,
     "op11_whitened": op11_whitened,
+    "op12_url_filter": op12_url_filter,
     "op13_clusters": op13_clusters,
 }
