@@ -56,6 +56,19 @@ def at_first_letter(pattern: str, letters: str) -> str:
     return f"(?=[{letters}]){pattern}"
 
 
+_JSON_TEXT = r'((?:[^"\\]|\\.)*+)"'
+
+
+def mark_json_texts(c: str) -> str:
+    """JSON in which every text, names too, begins with an ``s``. Read as texts, values then show their kind
+    by their first letter: a text that looks like a list or an object is none."""
+    return f"regexp_replace({c}, {regex('(?s)"' + _JSON_TEXT)}, '\"s$1\"')"
+
+
+def unmark_json_texts(c: str) -> str:
+    return f"regexp_replace({c}, {regex('(?s)"s' + _JSON_TEXT)}, '\"$1\"')"
+
+
 # --- character references ---------------------------------------------------------------
 # The named references come from the public HTML5 table that ships with Python.
 _NAMED = {k: v for k, v in html.entities.html5.items() if k.endswith(";")}

@@ -862,6 +862,16 @@ ORACLE_SQL = {
         address=f"concat('line 1', {NL}, c_mktsegment)", country='n_name',
         category="CASE WHEN c_custkey % 2 = 0 THEN '' ELSE c_mktsegment END",
         source_id='CAST(c_custkey AS VARCHAR)')} FROM {_CUSTOMERS}""",
+    "leads_json_files": f"SELECT {_lead(**_JSON_LEAD)} FROM {_CUSTOMERS} WHERE {_NAMED}",
+    "leads_csv_folder": f"""SELECT {_lead(name="concat(c_name, ', " + '"' + "', c_custkey, '" + '"' + " ')",
+        address="concat('line 1', chr(10), chr(10), c_mktsegment)", country="CASE WHEN c_custkey % 3 = 2 THEN '' ELSE n_name END",
+        category="CASE WHEN c_custkey % 3 = 2 OR c_custkey % 2 = 0 THEN '' ELSE c_mktsegment END",
+        source_id="CAST(c_custkey AS VARCHAR)")} FROM {_CUSTOMERS}""",
+    "osm_documents": f"WITH {_element_ctes()} SELECT {_OSM_LEAD} FROM element_copies WHERE name <> ''",
+    "osm_area_leads": f"""WITH {_element_ctes()}, {_PLACES} SELECT {_OSM_LEAD} FROM elements, places
+        WHERE area = 'area 2' AND rank = (SELECT min(rank) FROM places WHERE area = 'area 2') AND name <> '' AND type <> 'area'
+          AND (amenity IS NOT NULL OR shop IS NOT NULL OR office = 'machinery')
+          AND at_lat BETWEEN south AND north AND at_lon BETWEEN west AND east""",
     "osm_leads": f"WITH {_element_ctes()} SELECT {_OSM_LEAD} FROM element_copies WHERE name <> ''",
     "osm_selected": f"""WITH {_element_ctes()} SELECT * REPLACE ('chosen' AS category) FROM (
         SELECT {_OSM_LEAD} FROM elements WHERE type <> 'area' AND name <> '' AND website <> ''

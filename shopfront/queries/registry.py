@@ -23,6 +23,7 @@ from shopfront.queries import inputs
 from shopfront.queries.inputs import home_pages, snapshot, starts, table
 from shopfront.sources import fetches as log
 from shopfront.sources import leads as lead_files
+from shopfront.sources import osm as osm_files
 from shopfront.sources import sinks
 from shopfront.staging import shared_folder, spread, stage
 
@@ -371,6 +372,49 @@ def leads_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lead_files.load(spark, path, contact_from="contact", mapping={"category": "slug"})
 
 
+def _write_documents(lines: DataFrame, path: str, ending: str = "") -> None:
+    """Text files, one a ``doc``, of the ``line``s in the order of ``ord``."""
+    ordered = lines.repartition("doc").sortWithinPartitions("doc", "ord")
+    ordered.select("doc", F.concat("line", F.lit(ending)).alias("line")).write.partitionBy("doc").text(path)
+
+
+def _enclosed(lines: DataFrame, before: str, after: str) -> DataFrame:
+    """``lines`` with one more at either end of each document, and commas between."""
+    comma = "if(row_number() OVER (PARTITION BY doc ORDER BY ord, line) = 1, '', ', ') || line AS line"
+    ends = lines.select("doc").distinct().selectExpr("doc", f"inline(array(struct(-1L, {before}), struct(bigint(1e15), {after}))) AS (ord, line)")
+    return lines.selectExpr("doc", "row_number() OVER (PARTITION BY doc ORDER BY ord, line) AS ord", comma).unionByName(ends)
+
+
+def leads_json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in ten long documents, lists and objects with other members, some keys repeated; every record
+    on several lines."""
+    path = _scratch(spark, "documents")
+    records = _customer_records(spark, sf_dir).selectExpr(
+        "c_custkey % 10 AS doc", "c_custkey AS ord",
+        "replace(if(c_custkey % 7 = 0, concat('{\"company\": \"}{\", ', substr(doc, 2)), doc), ',', concat(',', chr(10), ' ')) AS line",
+    )
+    before = """CASE WHEN doc % 2 = 0 THEN '[' WHEN doc % 3 = 0 THEN '{"items": [{"company": "earlier"}], "no": {"x": {}}, "items": ['
+        ELSE '{"meta": {"n]": [1, {"a": "\\\\\\""}]}, "none": [], "items": [' END"""
+    _write_documents(_enclosed(records, before, "if(doc % 2 = 0, ']', '], \"more\": [{\"company\": \"later\"}]}')"), path)
+    return lead_files.load(spark, path, fmt="json", contact_from="contact")
+
+
+def leads_csv_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in files with their columns in different orders and under different names, line breaks in cells."""
+    path = _scratch(spark, "folder")
+    rows = _customers(spark, sf_dir).selectExpr(
+        "c_custkey % 6 AS doc", "c_custkey AS ord",
+        f"""concat('"', c_name, ', ""', c_custkey, '"" "') AS n""", f"""concat('"line 1', {inputs.NL}, {inputs.NL}, c_mktsegment, '"') AS a""",
+        "n_name AS c", "if(c_custkey % 2 = 0, '', c_mktsegment) AS k", "string(c_custkey) AS i",
+    ).selectExpr("doc", "ord", "CASE doc % 3 WHEN 0 THEN concat_ws(',', n, a, c, k, i) WHEN 1 THEN concat_ws(',', i, k, c, n, a) ELSE concat_ws(',', a, n, i) END AS line")
+    headers = rows.select("doc").distinct().selectExpr(
+        "doc", "-1L AS ord", "CASE doc % 3 WHEN 0 THEN 'company,ADDR,Country,kind,id' WHEN 1 THEN 'id,kind,Country,title,addr' ELSE 'addr,Name,slug' END AS line"
+    )
+    _write_documents(rows.unionByName(headers), path)
+    mapping = {"category": "kind", "city": "absent"}
+    return lead_files.load(spark, path, fmt="csv", mapping=mapping)
+
+
 def leads_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers written as a CSV file and loaded back with aliases and an override."""
     path = _scratch(spark, "customers")
@@ -411,6 +455,28 @@ def osm_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return osm.to_leads(_elements(spark, sf_dir))
 
 
+def _element_documents(spark: SparkSession, sf_dir: str) -> str:
+    """A path with documents of elements, some with another list, one without any element."""
+    path = _scratch(spark, "elements")
+    lines = _elements(spark, sf_dir).selectExpr("id % 4 AS doc", "id AS ord", "to_json(struct(type, id, lat, lon, center, tags)) AS line")
+    before = """if(doc = 1, '{"version": 0.6, "remark": [{"type": "node", "id": 0, "tags": {"name": "no"}}], "elements": [', '{"elements": [')"""
+    none = lines.limit(1).selectExpr("9L AS doc", "0L AS ord", "'{\"remark\": [{\"type\": \"node\"}], \"elements\": []}' AS line")
+    _write_documents(_enclosed(lines, before, "']}'").unionByName(none.select("doc", "ord", "line")), path)
+    return path
+
+
+def osm_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements from documents, as leads."""
+    return osm.to_leads(osm_files.read_elements(spark, _element_documents(spark, sf_dir)))
+
+
+def osm_area_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leads of an area by its name."""
+    return osm.find(
+        _elements(spark, sf_dir), ["amenity", "shop", "office=machinery"], area="area 2", places=_places(spark, sf_dir),
+    )
+
+
 def osm_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two tags, a box, websites only, each element once."""
     return osm.find(
@@ -494,8 +560,12 @@ QUERIES = {
     "leads_json": leads_json,
     "leads_json_lines": leads_json_lines,
     "leads_csv": leads_csv,
+    "leads_json_files": leads_json_files,
+    "leads_csv_folder": leads_csv_folder,
     "osm_leads": osm_leads,
     "osm_selected": osm_selected,
+    "osm_documents": osm_documents,
+    "osm_area_leads": osm_area_leads,
     "osm_in_areas": osm_in_areas,
     "osm_unknown_areas": osm_unknown_areas,
     "leads_audited": leads_audited,

@@ -6,12 +6,16 @@ text. Only the names of the keys reach the driver, and only those that a field c
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopfront.functions import fixed
-from shopfront.functions.text import any_of, number_text, quoted
+from shopfront.functions.text import any_of, mark_json_texts, number_text, quoted, unmark_json_texts
+from shopfront.sources import csv_scan, json_scan
 
 SCHEMA_FIELDS = tuple(fixed.LEAD_ALIASES)
 _PROVENANCE_KEYS = ("id", "slug", "lat", "lon")
@@ -123,9 +127,40 @@ def read_csv_records(
     return reader.csv(path).na.fill("")
 
 
+def from_rows(headers: DataFrame, rows: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
+    """Leads from ``file, values`` by the ``file, names`` of each file's header, so files of one folder may
+    have their columns in any order. The rules are those of ``resolve_mapping``, applied to each header.
+    """
+    overrides = mapping or {}
+
+    def last_place(name: str) -> str:
+        """Place of the last column of that very name, null without one."""
+        return f"nullif(size(names) - array_position(reverse(names), {name}), size(names))"
+
+    def by_alias(aliases: tuple[str, ...]) -> str:
+        return "coalesce(" + ", ".join(f"array_min(filter(names, n -> lower(n) = {quoted(a)}))" for a in aliases) + ")"
+
+    def key(field: str) -> str:
+        return quoted(overrides[field]) if field in overrides else by_alias(fixed.LEAD_ALIASES[field])
+
+    places = {f: last_place(key(f)) for f in SCHEMA_FIELDS}
+    places |= {"source_id": f"coalesce({last_place(quoted('id'))}, {last_place(quoted('slug'))})"}
+    places |= {f: last_place(quoted(f)) for f in ("lat", "lon")}
+    named = headers.selectExpr("file", "transform(names, n -> coalesce(n, '')) AS names")
+    columns = named.selectExpr("file", *(f"{sql} AS _{f}" for f, sql in places.items()))
+    fields = {f: f"coalesce(get(values, int(_{f})), '')" for f in places} | {"source": "'local'"}
+    joined = rows.join(F.broadcast(columns), "file")  # one row a file, as in Spark's own file listing
+    return _named_only(joined.selectExpr(*(f"{sql} AS {f}" for f, sql in fields.items())))
+
+
 def load_csv(
     spark: SparkSession, path: str, mapping: dict[str, str] | None = None, multi_line: bool = True
 ) -> DataFrame:
+    """Leads of CSV files. Large files are read by many tasks, also where quoted cells hold line breaks;
+    ``multi_line=False`` spares looking for such cells, and takes all columns by the first file's header.
+    """
+    if multi_line:
+        return from_rows(*csv_scan.tables(spark, path), mapping)
     names = csv_header(spark, path, multi_line)
     if not names:
         return from_table(spark.createDataFrame([], "name string"), mapping)
@@ -133,34 +168,56 @@ def load_csv(
 
 
 # --- JSON -------------------------------------------------------------------------------
+@contextmanager
+def repeated_keys(spark: SparkSession) -> Iterator[None]:
+    """Within, expressions that parse JSON to VARIANT are built so that the last of repeated keys counts.
+
+    The setting is part of an expression from when it is built on, and is put back before anything runs.
+    """
+    name = "spark.sql.variant.allowDuplicateKeys"
+    earlier = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if earlier is None else spark.conf.set(name, earlier)
+
+
+def _parsed(texts: DataFrame, column: str) -> DataFrame:
+    problem = f"raise_error({quoted(json_scan.PROBLEM)})"
+    with repeated_keys(texts.sparkSession):
+        return texts.selectExpr(f"coalesce(try_parse_json({column}), {problem}) AS record")
+
+
 def read_json_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of JSON documents, one VARIANT column ``record`` per object.
+    """Records of JSON documents of any size, one VARIANT column ``record`` per object.
 
     A document is a list of objects, or an object holding one non-empty list of objects (the
-    first such in document order). Anything else is an error.
+    first such in document order). Anything else is an error. Of repeated keys the last counts.
     """
-    text = spark.read.text(path, wholetext=True)
-    return records_of_documents(text, "value")
+    return _parsed(json_scan.records(spark, path), "text")
 
 
 def records_of_documents(documents: DataFrame, column: str) -> DataFrame:
     """Explode JSON documents held in a text column to their records."""
     is_list = f"{column} RLIKE r'^\\s*\\['"
-    # item by item, so that a list may be larger than one VARIANT can be
-    items = f"from_json({column}, 'array<variant>')"
-    entries = f"map_entries(from_json({column}, 'map<string,variant>'))"
-    wrapped = f"""get(filter({entries}, e ->
-        schema_of_variant(try_variant_get(e.value, '$[0]', 'variant')) LIKE 'OBJECT<%'), 0).value"""
-    records = f"""if({is_list}, {items}, try_variant_get({wrapped}, '$', 'array<variant>'))"""
-    problem = "raise_error('expected JSON with records: a list of objects, or an object that holds such a list')"
-    return documents.selectExpr(
-        f"explode_outer(coalesce({records}, {problem})) AS record"
-    ).where("record IS NOT NULL")
+    # as texts, item by item, so that a list may be larger than one VARIANT can be
+    marked = mark_json_texts(column)
+    objects = "filter(from_json({}, 'array<string>'), i -> startswith(i, '{{'))"
+    entries = f"map_entries(from_json({marked}, 'map<string,string>'))"
+    # of members with one name the last one's value counts, at the first one's place
+    values = f"""transform(array({entries}), es -> transform(array_distinct(transform(es, e -> e.key)),
+        k -> element_at(filter(es, e -> e.key = k), -1).value))[0]"""
+    wrapped = f"get(filter({values}, v -> v RLIKE r'^\\[\\s*\\{{'), 0)"
+    texts = f"if({is_list}, {objects.format(marked)}, {objects.format(wrapped)})"
+    problem = f"raise_error({quoted(json_scan.PROBLEM)})"
+    items = documents.selectExpr(f"explode(coalesce({texts}, {problem})) AS item")
+    return _parsed(items.selectExpr(f"{unmark_json_texts('item')} AS text"), "text")
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     """Records of JSON Lines files, which Spark can split: the form for large lists."""
-    return spark.read.option("singleVariantColumn", "record").json(path)
+    return _parsed(spark.read.text(path).where("value RLIKE r'\\S'"), "value")
 
 
 def _usable_keys(records: DataFrame) -> list[str]:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shopfront.sources import json_scan
+
 _POINT = [T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())]
 ELEMENT_SCHEMA = T.StructType(
     [
@@ -18,16 +21,19 @@ ELEMENT_SCHEMA = T.StructType(
 
 
 def read_elements(spark: SparkSession, path: str) -> DataFrame:
-    """Elements of ``{"elements": [...]}`` documents; a document without any gives none."""
-    document = T.StructType([T.StructField("elements", T.ArrayType(ELEMENT_SCHEMA))])
-    return (
-        spark.read.schema(document)
-        .option("multiLine", True)
-        .json(path)
-        .selectExpr("inline(elements)")
-    )
+    """Elements of ``{"elements": [...]}`` documents of any size; a document without any gives none."""
+    return _parsed(json_scan.records(spark, path, member="elements"), "text")
 
 
 def read_element_lines(spark: SparkSession, path: str) -> DataFrame:
     """Elements written one per line, which Spark can split: the form for large extracts."""
-    return spark.read.schema(ELEMENT_SCHEMA).json(path)
+    return _parsed(spark.read.text(path).where("value RLIKE r'\\S'"), "value")
+
+
+def _parsed(texts: DataFrame, column: str) -> DataFrame:
+    """Elements from their texts. Of repeated keys the last counts, of repeated tags too."""
+    elements = texts.select(F.from_json(column, ELEMENT_SCHEMA).alias("element")).select("element.*")
+    last = """if(size(map_keys(tags)) = size(array_distinct(map_keys(tags))), tags,
+        map_from_entries(transform(array_distinct(map_keys(tags)),
+          k -> named_struct('key', k, 'value', element_at(filter(map_entries(tags), e -> e.key = k), -1).value))))"""
+    return elements.withColumn("tags", F.expr(last))
