@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from shopfront.functions import fixed
-from shopfront.functions.text import any_of, at_first_letter, fold_case, quoted, regex
+from shopfront.functions.text import any_of, at_first_letter, fold_case, mark_json_texts, quoted, regex
 
 # Detector name to: pattern, the letters a match can start with, and texts of which every
 # match holds at least one (a cheap test that spares most pages the pattern).
@@ -31,32 +31,46 @@ def is_local_business(types: str) -> str:
         OR ty IN ({any_of(fixed.LOCAL_BUSINESS_SUBTYPES)}), false))"""
 
 
-def _types(item: str) -> str:
-    path = "'$[\"@type\"]'"
-    return f"""coalesce(try_variant_get({item}, {path}, 'array<string>'),
-        array(try_variant_get({item}, {path}, 'string')))"""
+def _json(text: str, kind: str) -> str:
+    return f"from_json({text}, '{kind}', map('allowSingleQuotes', 'false'))"
+
+
+def _objects(array: str) -> str:
+    """Texts of the objects in a JSON list."""
+    return f"filter({_json(array, 'array<string>')}, x -> startswith(x, '{{'))"
+
+
+def _last(entries: str, key: str) -> str:
+    """Value of the last member of that name, '' without one."""
+    return f"coalesce(try_element_at(filter({entries}, e -> e.key = 's{key}'), -1).value, '')"
+
+
+def _types(value: str) -> str:
+    """The texts of an ``@type``; of values that are none, their JSON."""
+    items = f"if(startswith({value}, '['), {_json(value, 'array<string>')}, array({value}))"
+    return f"transform({items}, x -> if(startswith(x, 's'), substr(x, 2), x))"
 
 
 def has_local_business(blobs: str) -> str:
     """A LocalBusiness object in any JSON-LD blob, at the top or in ``@graph`` lists.
 
-    The walk goes one ``@graph`` level per step, for as many levels as the text can hold.
-    A blob that is not one JSON value is skipped.
+    The walk goes one ``@graph`` level per step, for as many levels as the text can hold; a level is
+    the texts of its objects. Of members with one name the last counts, as to readers of JSON. A blob that is not
+    one JSON value is skipped. Texts are marked first, so that none is taken for a list or an object.
     """
-    items = "cast(array() AS array<variant>)"
-    # numbers that only lenient readers know become null
-    lenient = r"regexp_replace(b, r'(?<=[:\[,\s])-?(?:NaN|Infinity)(?=\s*(?:[,}\]]|$))', 'null')"
+    none = "cast(array() AS array<string>)"
     # the brackets turn trailing text after the first value into a syntax error
-    parsed = f"try_variant_get(try_parse_json('[' || {lenient} || ']'), '$', 'array<variant>')"
-    top = f"""transform(array({parsed}), v -> CASE WHEN size(v) = 1
-        THEN coalesce(try_variant_get(v[0], '$', 'array<variant>'), v) ELSE {items} END)[0]"""
+    parsed = _json(f"'[' || {mark_json_texts('b')} || ']'", "array<string>")
+    top = f"""transform(array({parsed}), v -> CASE WHEN size(v) <> 1 OR v IS NULL OR v[0] IS NULL THEN {none}
+        WHEN startswith(v[0], '[') THEN {_objects('v[0]')} ELSE filter(v, x -> startswith(x, '{{')) END)[0]"""
     levels = r"if(contains(b, '\\'), regexp_count(b, r'\['), regexp_count(b, '@graph'))"
-    below = f"""flatten(transform(acc.level, c -> coalesce(
-        try_variant_get(c, '$["@graph"]', 'array<variant>'), {items})))"""
-    found = f"exists(acc.level, c -> {is_local_business(_types('c'))})"
+    members = f"transform(acc.level, c -> coalesce(map_entries({_json('c', 'map<string,string>')}), array()))"
+    graph = _last("m", "@graph")
+    below = f"flatten(transform(ms, m -> if(startswith({graph}, '['), {_objects(graph)}, {none})))"
+    found = f"exists(ms, m -> {is_local_business(_types(_last('m', '@type')))})"
     return f"""exists({blobs}, b -> aggregate(sequence(0, {levels}),
-        named_struct('level', {top}, 'found', false),
-        (acc, i) -> named_struct('level', {below}, 'found', acc.found OR {found}),
+        named_struct('level', coalesce({top}, {none}), 'found', false),
+        (acc, i) -> transform(array({members}), ms -> named_struct('level', {below}, 'found', acc.found OR {found}))[0],
         acc -> acc.found))"""
 
 

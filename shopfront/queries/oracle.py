@@ -768,6 +768,7 @@ ORACLE_SQL = {
     "entity_text": f"""SELECT page_id, CAST(length({decode('html')}) AS BIGINT) AS chars,
         md5({decode('html')}) AS digest FROM pages""",
     "page_detectors": _facts("page_id, maps, whatsapp, booking, form FROM page_facts"),
+    "page_loose_jsonld": "SELECT page_id, page_id % 10 IN (0, 2, 5, 8) AS local_business FROM pages",
     "page_local_business": _facts(
         """f.page_id, CAST(len(blobs) AS BIGINT) AS blobs, l.page_id IS NOT NULL AS local_business
         FROM page_facts f LEFT JOIN local_business l USING (page_id)""", _HOME_LD),

@@ -104,6 +104,21 @@ def page_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_BLOBS = f"""CASE page_id % 10
+    WHEN 0 THEN '{{"@type":"Thing","@type":"Spa"}}' WHEN 1 THEN '{{"@type":"Spa","@type":"Thing"}}'
+    WHEN 2 THEN '{{"@graph":[{{"@type":"Thing"}}],"n":NaN,"@graph":[{{"x":-Infinity,"@graph":[{{"@type":["Thing","Dentist"]}}]}}]}}'
+    WHEN 3 THEN '{{"@graph":[{{"@type":"Spa"}}],"@graph":[]}}' WHEN 4 THEN '{{"@graph":"[{{@type:Spa}}]","a":{{"b":1,"b":2}}}}'
+    WHEN 5 THEN concat('{{"a":{{"b":1,"b":2}},"name":"', page_id, '","@type":"AutoLocalBusiness"}}')
+    WHEN 6 THEN '{{"@type":"Spa"' WHEN 7 THEN concat('{{', {inputs.Q}, '@type', {inputs.Q}, ':"Spa"}}')
+    WHEN 8 THEN '[[{{"@type":"Spa"}}],{{"@type":["x",null,"Spa"]}}]' ELSE '{{"x":{{"@type":"Spa"}}}}' END"""
+
+
+def page_loose_jsonld(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structured data as careless sites write it: repeated names, numbers that are none, cut short."""
+    blobs = table(spark, sf_dir, "pages").selectExpr("page_id", f"{_BLOBS} AS blob")
+    return blobs.selectExpr("page_id", f"{detect.has_local_business('array(blob)')} AS local_business")
+
+
 def page_local_business(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = html.with_page_facts(home_pages(spark, sf_dir), "ldjson_blobs")
     return facts.selectExpr(
@@ -533,6 +548,7 @@ QUERIES = {
     "entity_text": entity_text,
     "page_detectors": page_detectors,
     "page_local_business": page_local_business,
+    "page_loose_jsonld": page_loose_jsonld,
     "page_broken": page_broken,
     "document_detectors": document_booking,
     "document_emails": document_emails,

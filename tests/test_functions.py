@@ -117,6 +117,11 @@ def test_local_business_at_any_depth(spark):
         '{"@type":"Spa"};', "not json", '[[{"@type":"Spa"}]]', '{"@type":"Spa"},{"@type":"Spa"}', "",
         '{"item":{"@type":"Spa"}}', '{"\\u0040graph":[{"\\u0040graph":[{"@type":"HairSalon"}]}]}',
         '{"@type":{"a":"LocalBusiness"}}', '"LocalBusiness"', '{"@type":null}',
+        '{"@type":"Spa","@type":"Thing"}', '{"@type":"Thing","@type":"Spa","n":NaN}', '{"@graph":[{"@type":"Spa"}],"x":1,"@graph":[]}',
+        '{"@graph":5,"@graph":[{"a":{"b":1,"b":2},"@type":"Thing","@type":["x","Spa"]}],"v":-Infinity}', '{"@graph":"[{\\"@type\\":\\"Spa\\"}]"}',
+        '{"@type":"[\\"Spa\\"]"}', '{"@type":"s[Spa"}', '["{\\"@type\\":\\"Spa\\"}"]', "{'@type':'Spa'}", '{"x":{"@graph":[{"@type":"Spa"}]}}',
+        '{"@graph":[[{"@type":"Spa"}]]}', '{"@type":["Thing",["LocalBusiness"]]}', '{"@type":"sSpa"}', '{"s@type":"Spa"}', '{"a":"x\\\\","@type":"Spa"}', '{"@type":"Spa",}',
+        '{"a":"\\u00e9\\"}","@type":"Spa"}', '[]', '{}', '[{"@type":"Spa"}', '  [ {"@type" : "Spa"} ] ', '{"@type":"Spa"}{"@type":"Spa"}',
     ]
     got = column(spark, blobs, detect.has_local_business("array('oops', v)"))
     assert got == [brute_local_business(b) for b in blobs]
