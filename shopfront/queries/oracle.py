@@ -705,6 +705,38 @@ _PLACES = """places AS (
       n_nationkey + 5 AS north, n_nationkey * 4 - 20 AS east, n_nationkey AS rank FROM nation)"""
 
 
+def _shapes_sql(select: str) -> str:
+    """Pairs of nodes by element, the short way round; a box meets a line that enters it before leaving."""
+    def enters(sign: str) -> str:
+        pick, other = ("least", "greatest") if sign == "in" else ("greatest", "least")
+        axes = [
+            f"CASE WHEN {a}2 = {a}1 THEN CASE WHEN {a}1 BETWEEN {low} AND {high} THEN {0 if sign == 'in' else 1} ELSE {2 if sign == 'in' else -1} END"
+            f" ELSE {pick}(({low} - {a}1) / ({a}2 - {a}1), ({high} - {a}1) / ({a}2 - {a}1)) END"
+            for a, low, high in (("lat", "south", "north"), ("lon", "west", "east"))
+        ]
+        return f"{other}({', '.join(axes)}, {0 if sign == 'in' else 1})"
+
+    return f"""WITH spots AS MATERIALIZED (
+        SELECT c_custkey AS id, c_custkey * 37 % 600 / 4 - 75 AS lat, c_custkey * 91 % 1440 / 4 - 180 AS lon FROM customer),
+    pairs AS (
+        SELECT 'node' AS type, id, id AS a, id AS b FROM spots
+        UNION ALL SELECT 'way', id, id + n, id + n + 1 FROM spots, (VALUES (0), (1)) AS s(n) WHERE id % 5 = 0
+        UNION ALL SELECT 'relation', id, id + 3, id + 3 FROM spots WHERE id % 25 = 0
+        UNION ALL SELECT 'relation', r.id, r.id + m + n, r.id + m + n + 1 FROM spots r, (VALUES (0), (5)) AS t(m), (VALUES (0), (1)) AS s(n)
+          WHERE r.id % 25 = 0 AND r.id + m IN (SELECT id FROM spots)),
+    ends AS (
+        SELECT type, p.id, coalesce(a.lat, b.lat) AS lat1, coalesce(a.lon, b.lon) AS lon1, coalesce(b.lat, a.lat) AS lat2, coalesce(b.lon, a.lon) AS far
+        FROM pairs p LEFT JOIN spots a ON p.a = a.id LEFT JOIN spots b ON p.b = b.id WHERE a.id IS NOT NULL OR b.id IS NOT NULL),
+    lines AS (
+        SELECT type, id, lat1, lat2, lon1 + turn AS lon1, CASE WHEN far - lon1 > 180 THEN far - 360 WHEN far - lon1 < -180 THEN far + 360 ELSE far END + turn AS lon2
+        FROM ends, (VALUES (-360), (0), (360)) AS v(turn)),
+    boxes AS (
+        SELECT r_name AS area, r_regionkey * 10 - 30 AS south, r_regionkey * 10 - 15 AS north, unnest(CASE WHEN r_regionkey = 0 THEN [170, -180] ELSE [r_regionkey * 60 - 150] END) AS west,
+          unnest(CASE WHEN r_regionkey = 0 THEN [180, -170] ELSE [r_regionkey * 60 - 120] END) AS east FROM region),
+    found AS MATERIALIZED (SELECT DISTINCT area, type, id FROM lines, boxes WHERE {enters('in')} <= {enters('out')})
+    SELECT {select}"""
+
+
 def _leads_audited_sql() -> str:
     """Leads joined to flat audits; a lead without a site gets the fixed row."""
     lead_columns = ["id", "name", "website", "url", "title"]
@@ -869,6 +901,9 @@ ORACLE_SQL = {
         category="CASE WHEN c_custkey % 3 = 2 OR c_custkey % 2 = 0 THEN '' ELSE c_mktsegment END",
         source_id="CAST(c_custkey AS VARCHAR)")} FROM {_CUSTOMERS}""",
     "osm_documents": f"WITH {_element_ctes()} SELECT {_OSM_LEAD} FROM element_copies WHERE name <> ''",
+    "osm_shapes_in_areas": _shapes_sql("area, type, id FROM found"),
+    "osm_shapes_selected": _shapes_sql(
+        "concat(type, '/', id) AS source_id, concat(type, ' ', id) AS name FROM found WHERE area = (SELECT r_name FROM region WHERE r_regionkey = 0)"),
     "osm_area_leads": f"""WITH {_element_ctes()}, {_PLACES} SELECT {_OSM_LEAD} FROM elements, places
         WHERE area = 'area 2' AND rank = (SELECT min(rank) FROM places WHERE area = 'area 2') AND name <> '' AND type <> 'area'
           AND (amenity IS NOT NULL OR shop IS NOT NULL OR office = 'machinery')

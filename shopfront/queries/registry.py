@@ -485,6 +485,33 @@ def osm_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return osm.to_leads(osm_files.read_elements(spark, _element_documents(spark, sf_dir)))
 
 
+def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes all over the globe, ways of three nodes whose centers lie elsewhere, relations of two ways and a node."""
+    member = "named_struct('type', '{}', 'ref', id + {}, 'lat', cast(NULL AS double), 'lon', cast(NULL AS double), 'geometry', cast(NULL AS array<struct<lat:double,lon:double>>))"
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS id", "explode(array_compact(array('node', if(c_custkey % 5 = 0, 'way', NULL), if(c_custkey % 25 = 0, 'relation', NULL)))) AS type",
+    ).selectExpr(
+        "type", "id", "if(type = 'node', id * 37 % 600 / 4D - 75, NULL) AS lat", "if(type = 'node', id * 91 % 1440 / 4D - 180, NULL) AS lon",
+        "if(type = 'node', NULL, named_struct('lat', 89D, 'lon', 0D)) AS center", "map('name', concat(type, ' ', id), 'shop', 'x') AS tags",
+        "if(type = 'way', array(id, id + 1, id + 2), NULL) AS nodes",
+        f"if(type = 'relation', array({member.format('node', 3)}, {member.format('way', 0)}, {member.format('way', 5)}), NULL) AS members",
+    )
+
+
+def osm_shapes_in_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements by their lines, in areas of which one lies over the date line."""
+    areas = table(spark, sf_dir, "region").selectExpr(
+        "r_name AS area", "r_regionkey * 10 - 30D AS south", "if(r_regionkey = 0, 170D, r_regionkey * 60 - 150D) AS west",
+        "r_regionkey * 10 - 15D AS north", "if(r_regionkey = 0, -170D, r_regionkey * 60 - 120D) AS east",
+    )
+    return osm.elements_in_areas(_shapes(spark, sf_dir), areas).select("area", "type", "id")
+
+
+def osm_shapes_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leads whose lines touch a box over the date line."""
+    return osm.find(_shapes(spark, sf_dir), ["shop=x"], bbox="-30,170,-15,-170").select("source_id", "name")
+
+
 def osm_area_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leads of an area by its name."""
     return osm.find(
@@ -582,6 +609,8 @@ QUERIES = {
     "osm_selected": osm_selected,
     "osm_documents": osm_documents,
     "osm_area_leads": osm_area_leads,
+    "osm_shapes_in_areas": osm_shapes_in_areas,
+    "osm_shapes_selected": osm_shapes_selected,
     "osm_in_areas": osm_in_areas,
     "osm_unknown_areas": osm_unknown_areas,
     "leads_audited": leads_audited,
