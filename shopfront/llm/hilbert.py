@@ -110,19 +110,28 @@ def usable(table: DataFrame) -> DataFrame:
 
 
 def best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
-    """The ``k`` best of ``vectors`` for each query, its own row left out: exact, ties to smaller ids."""
+    """The ``k`` best of ``vectors`` for each query, its own row left out: exact, ties to smaller ids.
+
+    A product of matrices ranks first. Its rounding error is bounded by the lengths of the two vectors, so
+    whatever may be among the best is scored again. Very large numbers are halved as often as keeps
+    products finite; a score beyond a double is infinite.
+    """
     out = []
+    down = [max(0, math.frexp(float(np.abs(m).max(initial=0.0)))[1] - 400) for m in (queries, vectors)]
+    queries, vectors = np.ldexp(queries, -down[0]), np.ldexp(vectors, -down[1])
+    reach = vectors.shape[1] * 2.0**-51 * np.sqrt((vectors**2).sum(axis=1)) if len(vectors) else np.zeros(0)
     for first in range(0, len(queries), 256):
         part = queries[first : first + 256]
         scores = part @ vectors.T
+        slack = np.sqrt((part**2).sum(axis=1))[:, None] * reach[None, :]
         scores[query_ids[first : first + 256, None] == ids[None, :]] = -np.inf
         for at, row in enumerate(scores):
             if len(row) > k:
-                least = np.partition(row, len(row) - k)[len(row) - k]
-                near = np.flatnonzero((row >= least - 1e-9 * max(1.0, abs(least))) & (row > -np.inf))
+                sure = np.partition(row - slack[at], len(row) - k)[len(row) - k]  # so much k of them have at least
+                near = np.flatnonzero((row + slack[at] >= sure) & (row > -np.inf))
             else:
                 near = np.flatnonzero(row > -np.inf)
-            exact = np.array([math.fsum(p) for p in (vectors[near] * part[at]).tolist()])
+            exact = np.ldexp(np.array([math.fsum(p) for p in (vectors[near] * part[at]).tolist()]), sum(down))
             order = np.lexsort((ids[near], -exact))[:k]
             out.append((np.full(len(order), query_ids[first + at]), ids[near][order], exact[order]))
     if not out:

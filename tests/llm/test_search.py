@@ -71,6 +71,26 @@ def test_small_clustered_tables_are_searched_in_windows_of_all_curves(spark, mon
     assert all(len(rows) == 10 for rows in got.values())
 
 
+def test_large_vectors_that_are_nearly_at_right_angles():
+    rng = np.random.default_rng(4)
+    queries = rng.standard_normal((20, 64)) * 1e6
+    vectors = rng.standard_normal((400, 64)) * 1e6
+    vectors -= (vectors @ queries[0])[:, None] * queries[0] / (queries[0] @ queries[0])  # scores are rounding alone
+    ids = np.arange(100, 500)
+    got = hilbert.best(queries, np.arange(20), vectors, ids, 20)
+    for q in range(20):
+        scored = sorted((-math.fsum((queries[q] * v).tolist()), i) for v, i in zip(vectors, ids.tolist()))[:20]
+        assert [(-s, i) for s, i in scored] == list(got[got.query_id == q][["score", "vec_id"]].itertuples(index=False, name=None))
+
+
+def test_vectors_whose_products_leave_a_double():
+    vectors = np.array([[1e160, 1.0], [1e150, 1.0], [-1e160, 1.0], [1e158, -1e158]])
+    got = hilbert.best(vectors[:1], np.array([9]), vectors, np.arange(4), 4)
+    assert got.vec_id.tolist() == [0, 3, 1, 2]
+    assert got.score.tolist()[:2] == [math.inf, math.inf] and got.score.tolist()[3] == -math.inf
+    assert np.ldexp(got.score[2], -900) == np.ldexp(1e160 * 2.0**-900 * 1e150, 0) or math.isinf(got.score[2])
+
+
 def test_awkward_vectors(spark):
     rows = [(0, [1.0, 2.0], 0), (0, [1.0, 2.0], 1), (20, [0.0, 0.0], 0), (40, None, 0), (60, [1.0, None], 0), (80, [1.0, float("nan")], 0),
             (100, [float("inf"), 1.0], 0), (120, [3.0, 1.0], 0), (None, [1.0, 1.0], 0), (7, [1.0, 2.0], 0), (9, [1.0, 2.0, 3.0], 0), (140, [], 0)]
