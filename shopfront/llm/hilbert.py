@@ -131,7 +131,9 @@ def best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: n
                 near = np.flatnonzero((row + slack[at] >= sure) & (row > -np.inf))
             else:
                 near = np.flatnonzero(row > -np.inf)
-            exact = np.ldexp(np.array([math.fsum(p) for p in (vectors[near] * part[at]).tolist()]), sum(down))
+            exact = np.array([math.fsum(p) for p in (vectors[near] * part[at]).tolist()])
+            with np.errstate(over="ignore"):
+                exact = np.ldexp(exact, sum(down))
             order = np.lexsort((ids[near], -exact))[:k]
             out.append((np.full(len(order), query_ids[first + at]), ids[near][order], exact[order]))
     if not out:
