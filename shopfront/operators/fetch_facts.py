@@ -13,6 +13,11 @@ from shopfront.functions import contacts, crawl, detect, html, robots, sitemaps
 from shopfront.functions.text import fold_lowered
 from shopfront.sources import fetches as log
 
+#: What the rows of origins are made of, for plans that look at no page: Spark then reads nothing else from bodies.
+ORIGIN_FACTS = (
+    "url", "final_url", "status", "error", "load_time_ms", "is_markup", "is_index", "locs", "robots_groups", "robots_sitemaps",
+)
+ANSWER_FACTS = ("url", "final_url", "status", "error", "load_time_ms", "robots_groups", "robots_sitemaps")
 _NO_STRINGS = "cast(array() AS array<string>)"
 
 

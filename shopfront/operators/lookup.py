@@ -1,22 +1,27 @@
-"""Left lookup joins that stay even when a few keys own much of the left side."""
+"""Left lookup joins that stay even however many keys own much of the left side."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_HOT_KEYS = 1000
+#: Keys that are told apart; one that comes after has less than a hundred-thousandth of all rows.
+MAX_HOT_KEYS = 100_000
+_NULL_SALTS = 4096  # rows without a key match nothing, so they go anywhere
 
 
-def hot_keys(table: DataFrame, key: str, min_rows: int) -> list[str]:
-    """Keys with at least ``min_rows`` rows, as many as would burden one task.
+def frequent(table: DataFrame, key: str, min_rows: int) -> list[tuple[str, int]]:
+    """Keys with at least ``min_rows`` rows, which would burden one task, and their rows: the most frequent first.
 
-    The thousand most frequent of them are enough: whatever key comes after has less than a
-    thousandth of the rows.
+    Counts are summed up where the rows lie and only then shuffled.
     """
     counts = table.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    heavy = counts.where(F.col("n") >= min_rows).orderBy(F.desc("n")).limit(MAX_HOT_KEYS)
-    return [row[key] for row in heavy.collect()]
+    heavy = counts.where(F.col("n") >= min_rows).orderBy(F.desc("n"), key).limit(MAX_HOT_KEYS)
+    return [(row[key], row["n"]) for row in heavy.collect()]
+
+
+def hot_keys(table: DataFrame, key: str, min_rows: int) -> list[str]:
+    return [name for name, _ in frequent(table, key, min_rows)]
 
 
 def lookup(
@@ -26,26 +31,23 @@ def lookup(
     min_hot_rows: int = 1_000_000,
     some_keys_null: bool = False,
 ) -> DataFrame:
-    """``left`` left-joined to ``right``, which has one row per key.
+    """``left`` left-joined to ``right``, which has one row per key, of any width.
 
-    Rows of hot keys never meet in one task: they stay where they are and find the few
-    matching rows of ``right`` (at most one per hot key) by broadcast. Rows of ``right`` must be of
-    bounded size. With
-    ``some_keys_null``, rows without a key stay too, as they match nothing. The rest shuffles.
-    Call it on a staged ``left``: its keys are counted first.
+    Rows of a hot key are dealt out over as many salts as leave ``min_hot_rows`` to each, and the key's row
+    of ``right`` is there once a salt, so no task gets more of it than of any other. Only key names
+    and counts are broadcast, at most ``MAX_HOT_KEYS`` of them. With ``some_keys_null``, rows without a key are
+    dealt out too, as they match nothing. Call it on a staged ``left``: its keys are counted first.
     """
-    keyed = left.where(F.col(key).isNotNull()) if some_keys_null else left
-    parts = []
-    hot = hot_keys(keyed, key, min_hot_rows)
-    if hot:
-        is_hot = F.col(key).isin(hot)
-        parts.append(keyed.where(is_hot).join(F.broadcast(right.where(is_hot)), key, "left"))
-        keyed = keyed.where(~is_hot | F.col(key).isNull())
-    parts.append(keyed.join(right, key, "left"))
-    if some_keys_null:
-        added = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name != key]
-        parts.append(left.where(F.col(key).isNull()).select("*", *added))
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    hot = frequent(left, key, min_hot_rows)
+    if not hot and not some_keys_null:
+        return left.join(right, key, "left")
+    copies = [(name, -(-rows // min_hot_rows)) for name, rows in hot]
+    kind = left.schema[key].dataType.simpleString()
+    salts = F.broadcast(left.sparkSession.createDataFrame(copies, f"`{key}` {kind}, _copies bigint"))
+    drawn = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_copies", F.lit(1)))
+    none = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(_NULL_SALTS))
+    dealt = left.join(salts, key, "left").withColumn("_salt", F.when(F.col(key).isNull(), none).otherwise(drawn)).drop("_copies")
+    copied = right.join(salts, key, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_copies", F.lit(1)) - 1))
+    ).drop("_copies")
+    return dealt.join(copied, [key, "_salt"], "left").drop("_salt")

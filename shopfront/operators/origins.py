@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shopfront.functions import crawl, fixed, https, robots, sitemaps
 from shopfront.sources import fetches as log
+from shopfront.staging import stage
 
 _NO_STRINGS = "cast(array() AS array<string>)"
 
@@ -54,34 +55,42 @@ def with_sitemaps(origins: DataFrame, facts: DataFrame) -> DataFrame:
 
     Breadth first from /sitemap.xml and the ``declared`` files. Each round reads the first
     file of the queue not read yet; a failed read counts, a repeated address does not.
+
+    Rounds need to know of a file only whether it is there, and the few children of an index. So they carry
+    queues and meet narrow rows; the addresses in the files, which are the bulk, are fetched once at the end,
+    for the files that were read.
     """
-    files = facts.where("status = 200 AND is_markup").selectExpr(
-        "url AS _key", "is_index AS _is_index", "locs AS _found"
+    there = facts.where("status = 200 AND is_markup")
+    files = there.selectExpr(
+        "url AS _key", "is_index AS _is_index", f"if(is_index, {sitemaps.children('locs')}, NULL) AS _children"
     )
-    state = origins.selectExpr(
-        "*",
-        "concat(array(origin || '/sitemap.xml'), declared) AS _queue",
-        f"{_NO_STRINGS} AS _done",
-        "false AS has_sitemap",
-        f"{_NO_STRINGS} AS locs",
+    queues = origins.selectExpr(
+        "origin", "concat(array(origin || '/sitemap.xml'), declared) AS _queue", f"{_NO_STRINGS} AS _done", f"{_NO_STRINGS} AS _read"
     )
+    queues = queues.withColumn("has_sitemap", F.lit(False))
     for _ in range(fixed.SITEMAP_FILES):
         # an origin with nothing left keeps a key of its own, so spent rows do not pile up
-        turn = state.selectExpr(
+        turn = queues.selectExpr(
             "*",
             "get(array_except(_queue, _done), 0) AS _next",
             "coalesce(get(array_except(_queue, _done), 0), origin) AS _key",
         ).join(files, "_key", "left")
-        read = "(_next IS NOT NULL AND _found IS NOT NULL)"
-        state = turn.selectExpr(
-            "* EXCEPT (_key, _next, _is_index, _found, _queue, _done, has_sitemap, locs)",
-            f"if({read} AND _is_index, concat(_queue, {sitemaps.children('_found')}), _queue)"
-            " AS _queue",
+        found = "(_next IS NOT NULL AND _is_index IS NOT NULL)"
+        queues = turn.selectExpr(
+            "origin",
+            f"if({found} AND _is_index, concat(_queue, _children), _queue) AS _queue",
             "if(_next IS NULL, _done, array_append(_done, _next)) AS _done",
-            f"(has_sitemap OR {read}) AS has_sitemap",
-            f"if({read} AND NOT _is_index, concat(locs, _found), locs) AS locs",
+            f"if({found} AND NOT _is_index, array_append(_read, _next), _read) AS _read",
+            f"(has_sitemap OR {found}) AS has_sitemap",
         )
-    return state.drop("_queue", "_done")
+    queues = stage(queues.select("origin", "has_sitemap", "_read"), "sitemaps")
+    wanted = queues.selectExpr("origin", "posexplode(_read) AS (_at, _url)")
+    listed = wanted.join(there.selectExpr("url AS _url", "locs AS _locs"), "_url").groupBy("origin").agg(
+        F.array_sort(F.collect_list(F.struct("_at", "_locs"))).alias("_files")  # as many as a round each
+    )
+    return origins.join(queues.select("origin", "has_sitemap"), "origin").join(listed, "origin", "left").selectExpr(
+        "* EXCEPT (_files)", f"coalesce(flatten(transform(_files, f -> f._locs)), {_NO_STRINGS}) AS locs"
+    )
 
 
 def with_sitemap_findings(origins: DataFrame, max_pages: int) -> DataFrame:

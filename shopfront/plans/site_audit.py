@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopfront.functions import crawl, findings, fixed, https, robots, urls
-from shopfront.operators.fetch_facts import fetch_facts
+from shopfront.operators.fetch_facts import ANSWER_FACTS, fetch_facts
 from shopfront.operators.lookup import lookup
 from shopfront.operators.origins import origin_facts, with_probe, with_robots
 from shopfront.sources import fetches as log
@@ -50,42 +50,33 @@ def start_urls(urls_table: DataFrame, column: str = "url") -> DataFrame:
     )
 
 
-def home_answers(starts: DataFrame, facts: DataFrame) -> DataFrame:
-    """Choose the answer that counts as the home page, and attach its facts.
+def home_answers(
+    starts: DataFrame, facts: DataFrame, kept: tuple[str, ...] = (*_HOME_FACTS, *_PAGE_FACTS)
+) -> DataFrame:
+    """Choose the answer that counts as the home page, and attach the facts that are ``kept``.
 
     When an https start failed and plain http answered, the http answer counts and the https
-    error is kept. A URL that is not in the log did not respond.
+    error is kept. A URL that is not in the log did not respond. Only the starts that failed over https
+    are looked up a second time.
     """
-    outcome = facts.selectExpr(
-        "url AS _key", f"{log.answered('status', 'error')} AS _answered", "error AS _error"
-    )
-    failed = "(NOT coalesce(_answered, false))"
-    first = starts.join(outcome.withColumnRenamed("_key", "url"), "url", "left").selectExpr(
-        "url",
-        f"{failed} AND {urls.scheme('url')} = 'https' AS _try_plain",
-        f"if({failed}, coalesce(nullif(_error, ''), '{fixed.ERROR_NO_RESPONSE}'), '')"
-        " AS _start_error",
-    )
-    # a site that needs no second look keeps a key of its own
-    second = first.withColumn(
-        "_key", F.expr(f"if(_try_plain, {https.plain_url('url')}, url)")
-    ).join(outcome, "_key", "left")
-    fell_back = "(_try_plain AND coalesce(_answered, false))"
-    chosen = second.selectExpr(
-        "url",
-        f"if({fell_back}, _key, url) AS _key",
-        f"if({fell_back}, _start_error, '') AS https_error",
+    columns = ("home_url", "status", "error", "load_time_ms", *kept)
+    answer = facts.selectExpr("url AS _key", "final_url AS home_url", *columns[1:])
+    # both addresses of a start are looked up in one pass over the log, then one of them is chosen
+    asked = starts.selectExpr(
+        "url", f"""inline(array_compact(array(struct(0 AS _rank, url AS _key),
+            if({urls.scheme('url')} = 'https', struct(1 AS _rank, {https.plain_url('url')} AS _key), NULL))))"""
     )
-    answer = facts.selectExpr(
-        "url AS _key", "final_url AS home_url", "status", "error", "load_time_ms",
-        *_HOME_FACTS, *_PAGE_FACTS,
-    )
-    return chosen.join(answer, "_key", "left").selectExpr(
-        "* EXCEPT (_key, home_url, status, error, load_time_ms)",
+    packed = F.struct(*columns, F.expr(f"coalesce({log.answered('status', 'error')}, false) AS answered"))
+    one, other = (F.first(F.when(F.col("_rank") == rank, packed), ignorenulls=True) for rank in (0, 1))
+    both = asked.join(answer, "_key", "left").groupBy("url").agg(one.alias("_one"), other.alias("_other"))
+    failure = f"coalesce(nullif(_one.error, ''), '{fixed.ERROR_NO_RESPONSE}')"
+    fell_back = "(NOT _one.answered AND coalesce(_other.answered, false))"
+    chosen = both.selectExpr("url", f"if({fell_back}, _other, _one) AS _answer", f"if({fell_back}, {failure}, '') AS https_error")
+    return chosen.selectExpr("url", "https_error", "_answer.*").selectExpr(
+        "* EXCEPT (home_url, status, error, load_time_ms, answered)",
         "coalesce(home_url, url) AS home_url",
         "coalesce(status, 0) AS status",
-        f"if({log.answered('status', 'error')}, '',"
-        f" coalesce(nullif(error, ''), '{fixed.ERROR_NO_RESPONSE}')) AS error",
+        f"if(answered, '', coalesce(nullif(error, ''), '{fixed.ERROR_NO_RESPONSE}')) AS error",
         "coalesce(load_time_ms, 0D) AS load_time_ms",
         f"{urls.origin('url')} AS start_origin",
         f"{urls.origin('coalesce(home_url, url)')} AS home_origin",
@@ -113,7 +104,6 @@ def known_sites(homes: DataFrame, origins: DataFrame, min_hot_rows: int = 1_000_
         f"""{https.redirects('url', 'home_url', 'https_error', 'probe_answered',
                              'probe_final_url')} AS http_redirects_to_https""",
         f"{https.error('home_url', 'https_error', 'probe_answered', 'probe_error')} AS https_error",
-        "coalesce(parked OR maintenance OR status >= 400, false) AS broken",
     )
 
 
@@ -121,7 +111,9 @@ def plan_pages(
     homes: DataFrame, origins: DataFrame, options: AuditOptions, min_hot_rows: int = 1_000_000
 ) -> DataFrame:
     """Sites with their state, HTTPS answers, sitemap findings and the inner pages to look at."""
-    known = known_sites(homes, origins, min_hot_rows)
+    known = known_sites(homes, origins, min_hot_rows).withColumn(
+        "broken", F.expr("coalesce(parked OR maintenance OR status >= 400, false)")
+    )
     use_sitemap = f"({str(options.check_sitemap).lower()} AND NOT broken AND state = 'audited')"
     nothing = f"cast(array() AS array<{crawl.CANDIDATE}>)"
     candidates = f"""concat(coalesce(candidates, {nothing}),
@@ -282,10 +274,10 @@ def answers(
     starts: DataFrame, fetches: DataFrame, options: AuditOptions = AuditOptions()
 ) -> DataFrame:
     """How every start URL answers: its state and the three HTTPS questions, without a look at
-    sitemaps or inner pages."""
-    facts = stage(fetch_facts(fetches), "facts")
+    sitemaps, inner pages, or any body but those of robots files."""
+    facts = stage(fetch_facts(fetches).select(*ANSWER_FACTS), "facts")
     log.require_distinct(facts)
-    homes = stage(home_answers(start_urls(starts), facts), "homes")
+    homes = stage(home_answers(start_urls(starts), facts, kept=()), "homes")
     known = with_probe(with_robots(_origins(homes), facts, options.user_agent), facts)
     return known_sites(homes, stage(known, "origins")).selectExpr(*_ANSWERS)
 

@@ -15,7 +15,7 @@ from shopfront.functions.text import decode_entities, fold_case, quoted
 from shopfront.operators import crawl_plan as plans
 from shopfront.operators import origins as origin_ops
 from shopfront.operators import osm, site_pages
-from shopfront.operators.fetch_facts import fetch_facts
+from shopfront.operators.fetch_facts import ORIGIN_FACTS, fetch_facts
 from shopfront.operators.lookup import lookup
 from shopfront.plans import site_audit
 from shopfront.plans.lead_audit import audit_leads
@@ -230,7 +230,6 @@ def robots_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def robots_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every URL of the log against the robots.txt of its origin."""
     pages = snapshot(spark, sf_dir).selectExpr("url", f"{urls.origin('url')} AS origin")
-    pages = stage(pages, "urls")
     rules = _robots_files(spark, sf_dir).selectExpr(
         "origin", f"{robots.rules_for(robots.groups('text'), AGENT)} AS rules"
     )
@@ -251,7 +250,7 @@ def sitemap_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(fetch_facts(snapshot(spark, sf_dir)), "facts")
+    return stage(fetch_facts(snapshot(spark, sf_dir)).select(*ORIGIN_FACTS), "facts")
 
 
 def sitemap_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
