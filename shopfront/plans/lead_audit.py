@@ -39,47 +39,53 @@ def free_name(columns: list[str], name: str = "lead_no") -> str:
     return name
 
 
+def with_site(leads: DataFrame, site: str) -> DataFrame:
+    """Add the address that a lead's website is audited under, null without one."""
+    url = lead_url(leads.columns)
+    return leads.withColumn(site, F.expr(f"if({url} = '', NULL, {urls.with_default_scheme(url)})"))
+
+
 def merge_audits(
-    leads: DataFrame, audits: DataFrame, min_hot_rows: int = 1_000_000, order: str = "lead_no"
+    leads: DataFrame, audits: DataFrame, min_hot_rows: int = 1_000_000, order: str = "lead_no", site: str | None = None
 ) -> DataFrame:
     """Leads joined to flat audits, ``order`` (their column that gives the order) first. On a name
     clash the audit value wins; names that differ by case are different columns.
 
-    Leads without a website take no part in the join, and a website that many leads share
-    does not gather them in one task.
+    Leads without a website match nothing, and a website that many leads share does not gather them in one
+    task. Staged leads that have their address already name its column as ``site``.
     """
-    columns = [c for c in leads.columns if c != order]
-    url = lead_url(columns)
-    keyed = stage(
-        leads.selectExpr(
-            "*", f"if({url} = '', NULL, {urls.with_default_scheme(url)}) AS _site"
-        ),
-        "leads",
-    )
-    renamed = audits.selectExpr("url AS _site", *(f"{f} AS _audit_{f}" for f in fixed.AUDIT_FIELDS))
-    joined = lookup(keyed, renamed, "_site", min_hot_rows, some_keys_null=True)
+    columns = [c for c in leads.columns if c not in (order, site)]
+    if site is None:
+        site = free_name(leads.columns, "_site")
+        leads = stage(with_site(leads, site), "leads")
+    renamed = audits.selectExpr(f"url AS `{site}`", *(f"{f} AS _audit_{f}" for f in fixed.AUDIT_FIELDS))
+    joined = lookup(leads, renamed, site, min_hot_rows, some_keys_null=True)
     merged = [
         f"coalesce(_audit_{c}, {quoted(NO_SITE[c])}) AS `{c}`"
         if c in fixed.AUDIT_FIELDS
         else f"`{c}`"
         for c in sinks.merged_fields(columns)
     ]
-    return joined.selectExpr(order, *merged)
+    return joined.selectExpr(f"`{order}`", *merged)
 
 
 def audit_leads(
-    leads: DataFrame, fetches: DataFrame, options: AuditOptions = AuditOptions()
+    leads: DataFrame, fetches: DataFrame, options: AuditOptions = AuditOptions(), order: str | None = None
 ) -> DataFrame:
-    """Every lead with the audit columns added. The first column numbers the leads in the order of
-    the input: ``lead_no``, or that with underscores if the leads have such a column themselves.
+    """Every lead with the audit columns added. The first column gives the order of the input: the leads' own column
+    ``order``, as ``leads.load`` adds it, or else ``lead_no`` (with underscores if the leads have such a
+    column themselves), which numbers the rows as Spark reads them.
 
-    A website that occurs in many leads is audited once.
+    A website that occurs in many leads is audited once. The leads are written once.
     """
-    order = free_name(leads.columns)
-    numbered = stage(leads.withColumn(order, F.monotonically_increasing_id()), "numbered")
-    sites = numbered.selectExpr(f"{lead_url(leads.columns)} AS url")
+    if order is None:
+        order = free_name(leads.columns)
+        leads = leads.withColumn(order, F.monotonically_increasing_id())
+    site = free_name(leads.columns, "_site")
+    numbered = stage(with_site(leads, site), "numbered")
+    sites = numbered.where(F.col(site).isNotNull()).select(F.col(site).alias("url"))
     audits = stage(sinks.flat_audits(audit(sites, fetches, options)), "audits")
-    return merge_audits(numbered, audits, order=order)
+    return merge_audits(numbered, audits, order=order, site=site)
 
 
 def write_audited(audited: DataFrame, path: str) -> None:

@@ -420,7 +420,9 @@ _ANSWERED = "({0}.status <> 0 AND {0}.error IS NULL)"
 _PAGES_KEPT = fixed.MAX_PAGES - 1
 
 
-def _audit_ctes() -> str:
+def _audit_ctes(pages_kept: int = _PAGES_KEPT, check_sitemap: bool = True) -> str:
+    """``check_sitemap`` false: no addresses, no finding and no problem from sitemaps."""
+    sitemaps_count = str(check_sitemap).lower()
     ok = lambda alias: f"coalesce({_ANSWERED.format(alias)}, false)"
     path_of = path_query("home_url")
     checks = ", ".join(fixed.CHECKS)
@@ -459,14 +461,14 @@ def _audit_ctes() -> str:
         LEFT JOIN log p ON p.url = concat(CASE WHEN {scheme('h.home_url')} = 'https' THEN 'http' ELSE 'https' END,
              '://', {authority('h.home_url')}, '/')),
     secured AS MATERIALIZED (
-        SELECT s.*, m.has_sitemap AND state = 'audited' AND NOT broken AS has_sitemap,
+        SELECT s.*, {sitemaps_count} AND m.has_sitemap AND state = 'audited' AND NOT broken AS has_sitemap,
           home_scheme = 'https' OR (fall_error = '' AND probed) AS https,
           CASE WHEN home_scheme = 'https' AND {scheme('start_url')} = 'http' THEN true
                WHEN home_scheme = 'https' AND probed THEN {scheme('probe_final')} = 'https'
                WHEN home_scheme = 'http' AND fall_error = '' AND probed THEN false END AS redirects,
           CASE WHEN home_scheme = 'http' AND fall_error = '' AND NOT probed THEN probe_error
                ELSE fall_error END AS https_error,
-          points_to_http AND state = 'audited' AND NOT broken
+          {sitemaps_count} AND points_to_http AND state = 'audited' AND NOT broken
             AND (home_scheme = 'https' OR (fall_error = '' AND probed)) AS sitemap_robots_http
         FROM states s JOIN sitemap_found m ON m.origin = {origin('s.home_url')}
         JOIN sitemap_http t ON t.origin = m.origin),
@@ -474,8 +476,8 @@ def _audit_ctes() -> str:
         SELECT start_url, home_url, a.ord AS ord, a.a.href AS href, a.a.text AS label
         FROM secured, unnest(anchors) WITH ORDINALITY AS a(a, ord) WHERE state = 'audited' AND NOT broken
         UNION ALL SELECT start_url, home_url, 1000000000 + l.place, l.loc, ''
-        FROM secured JOIN sitemap_locs l ON l.origin = {origin('home_url')} WHERE state = 'audited' AND NOT broken),
-    {_plan_ctes('audit_links', 'start_url', _PAGES_KEPT)},
+        FROM secured JOIN sitemap_locs l ON l.origin = {origin('home_url')} WHERE {sitemaps_count} AND state = 'audited' AND NOT broken),
+    {_plan_ctes('audit_links', 'start_url', pages_kept)},
     {allowed('plan', 'page_url', 'plan_allowed', 'page_url')},
     looked AS MATERIALIZED (
         SELECT p.start_url, p.slot, p.page_url, f.*,
@@ -520,7 +522,7 @@ def _audit_ctes() -> str:
           coalesce(string_agg(concat('No ', label, ' on the home page, but found on ', shown, '.'), '; ' ORDER BY no)
             FILTER (n_found > 0 AND NOT at_home), '') AS notes
         FROM checks GROUP BY url),
-    problems AS MATERIALIZED ({_problem_rows()})"""
+    problems AS MATERIALIZED (SELECT * FROM ({_problem_rows()}) WHERE {sitemaps_count} OR code <> 'no_sitemap')"""
 
 
 def _site_top(source: str, key: str, page: str, column: str, name: str) -> str:
@@ -644,8 +646,9 @@ _FLAT_SOURCE = """audits LEFT JOIN check_lists USING (url) LEFT JOIN (
     SELECT url, string_agg(problem, '; ' ORDER BY no) AS problem_text FROM problems GROUP BY url) USING (url)"""
 
 
-def _audit_rows_sql() -> str:
-    return _audit(", ".join(f"{_FLAT[f]} AS {f}" for f in fixed.AUDIT_FIELDS), _FLAT_SOURCE)
+def _audit_rows_sql(condition: str = "true", **options) -> str:
+    fields = ", ".join(f"{_FLAT[f]} AS {f}" for f in fixed.AUDIT_FIELDS)
+    return f"WITH {_audit_ctes(**options)} SELECT {fields} FROM {_FLAT_SOURCE} WHERE {condition}"
 
 
 # --- leads and OSM ----------------------------------------------------------------------
@@ -870,6 +873,10 @@ ORACLE_SQL = {
           WITH ORDINALITY AS l(loc, place)), {_plan_ctes('links', 'home_url', _PAGES_KEPT)}
         SELECT home_url AS url, CAST(slot AS BIGINT) AS slot, CAST(rank AS BIGINT) AS rank,
         CAST(depth AS BIGINT) AS depth, page_url FROM plan""",
+    "audit_home_only": _audit_rows_sql(pages_kept=0),
+    "audit_three_pages": _audit_rows_sql(pages_kept=2),
+    "audit_without_sitemaps": _audit_rows_sql(check_sitemap=False),
+    "audit_one_site": _audit_rows_sql("url = (SELECT min(url) FROM audits)"),
     "https_status": _audit(
         """url, state, home_url, CAST(CASE WHEN state = 'robots_start' THEN 0 ELSE status END AS BIGINT) AS status,
         known AND https AS https, CASE WHEN known THEN redirects END AS http_redirects_to_https,

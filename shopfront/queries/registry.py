@@ -6,6 +6,7 @@ Lists come out joined to text, in their defined order, so that results compare b
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -335,6 +336,23 @@ def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.flat_audits(_audits(spark, sf_dir))
 
 
+def _limited(**options) -> Callable[[SparkSession, str], DataFrame]:
+    """The audit's rows under other options."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        limits = site_audit.AuditOptions(user_agent=AGENT, **options)
+        return sinks.flat_audits(site_audit.audit(starts(spark, sf_dir), snapshot(spark, sf_dir), limits))
+
+    return run
+
+
+def audit_one_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file of one site's audit: that of the alphabetically first start."""
+    audits = stage(_audits(spark, sf_dir), "audits")
+    path = _scratch(spark, "one-site")
+    sinks.write_audit(audits, audits.agg(F.min("url")).first()[0], path)
+    return lead_files.read_csv_records(spark, path)
+
+
 # --- leads ------------------------------------------------------------------------------
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation").selectExpr("n_nationkey", "n_name")
@@ -598,6 +616,10 @@ QUERIES = {
     "site_missing": site_missing,
     "site_problems": site_problems,
     "audit_rows": audit_rows,
+    "audit_home_only": _limited(max_pages=1),
+    "audit_three_pages": _limited(max_pages=3),
+    "audit_without_sitemaps": _limited(check_sitemap=False),
+    "audit_one_site": audit_one_site,
     "leads_table": leads_table,
     "leads_json": leads_json,
     "leads_json_lines": leads_json_lines,

@@ -104,7 +104,7 @@ def cells(text: str, width: int) -> str:
 
 
 def tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``file, names`` of each file's header, and ``file, values`` of all further records."""
+    """``file, names`` of each file's header, and ``file, place, values`` of all further records."""
     found = records(spark, path)
     headers = found.groupBy("file").agg(F.min_by("text", "place").alias("header"), F.min("place").alias("first"))
     headers = stage(headers, "csv-headers")
@@ -112,4 +112,4 @@ def tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     names = headers.select("file", "first", F.expr(cells("header", widest)).alias("names"))
     # one row a file, as in Spark's own file listing
     body = found.join(F.broadcast(names.select("file", "first")), "file").where("place > first")
-    return names.select("file", "names"), body.select("file", F.expr(cells("text", widest)).alias("values"))
+    return names.select("file", "names"), body.select("file", "place", F.expr(cells("text", widest)).alias("values"))

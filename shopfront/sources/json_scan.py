@@ -175,7 +175,8 @@ def _place() -> F.Column:
 
 
 def records(spark: SparkSession, path: str, member: str | None = None) -> DataFrame:
-    """``file, text``: one row for each object of each document's list of objects.
+    """``file, place, text``: one row for each object of each document's list of objects; ``place`` orders those
+    of a file.
 
     With ``member``, that member's list (no rows where there is none); else the whole document if it is a
     list, or the first member that is a list starting with an object. Of members with one name the
@@ -222,5 +223,6 @@ def records(spark: SparkSession, path: str, member: str | None = None) -> DataFr
     mine = found.join(F.broadcast(documents.where("all OR list IS NOT NULL")), "file").where(
         "all OR (list.kind = 'records' AND place > list.place AND (list.to IS NULL OR place < list.to))"
     )
-    wrong = documents.where("NOT right").select("file", F.expr(f"raise_error('{PROBLEM}')").cast("string").alias("text"))
-    return mine.select("file", F.expr("make_valid_utf8(cast(text AS string))").alias("text")).unionByName(wrong)
+    nowhere = F.lit(None).cast("struct<block:bigint,part:int,at:int>").alias("place")
+    wrong = documents.where("NOT right").select("file", nowhere, F.expr(f"raise_error('{PROBLEM}')").cast("string").alias("text"))
+    return mine.select("file", "place", F.expr("make_valid_utf8(cast(text AS string))").alias("text")).unionByName(wrong)

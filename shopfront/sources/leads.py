@@ -52,9 +52,14 @@ def resolve_mapping(keys: list[str], overrides: dict[str, str] | None = None) ->
     return found
 
 
-def _named_only(leads: DataFrame) -> DataFrame:
+def _named_only(leads: DataFrame, *kept: str) -> DataFrame:
     """Leads without a name are dropped; a blank one counts as a name."""
-    return leads.where("name <> ''").select(*fixed.LEAD_FIELDS)
+    return leads.where("name <> ''").select(*fixed.LEAD_FIELDS, *kept)
+
+
+#: Where a record stands in the input: rows sort by it as the files have them.
+_PLACE = "struct(file, place.block AS block, place.part AS part, place.at AS at)"
+_READ_AT = "struct(_metadata.file_path AS file, _metadata.file_block_start AS block, 0 AS part, monotonically_increasing_id() AS at)"
 
 
 # --- tables and CSV ---------------------------------------------------------------------
@@ -127,8 +132,10 @@ def read_csv_records(
     return reader.csv(path).na.fill("")
 
 
-def from_rows(headers: DataFrame, rows: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
-    """Leads from ``file, values`` by the ``file, names`` of each file's header, so files of one folder may
+def from_rows(
+    headers: DataFrame, rows: DataFrame, mapping: dict[str, str] | None = None, order: str | None = None
+) -> DataFrame:
+    """Leads from ``file, place, values`` by the ``file, names`` of each file's header, so files of one folder may
     have their columns in any order. The rules are those of ``resolve_mapping``, applied to each header.
     """
     overrides = mapping or {}
@@ -150,17 +157,21 @@ def from_rows(headers: DataFrame, rows: DataFrame, mapping: dict[str, str] | Non
     columns = named.selectExpr("file", *(f"{sql} AS _{f}" for f, sql in places.items()))
     fields = {f: f"coalesce(get(values, int(_{f})), '')" for f in places} | {"source": "'local'"}
     joined = rows.join(F.broadcast(columns), "file")  # one row a file, as in Spark's own file listing
-    return _named_only(joined.selectExpr(*(f"{sql} AS {f}" for f, sql in fields.items())))
+    kept = [order] if order else []
+    placed = [f"{_PLACE} AS `{order}`"] if order else []
+    return _named_only(joined.selectExpr(*(f"{sql} AS {f}" for f, sql in fields.items()), *placed), *kept)
 
 
 def load_csv(
-    spark: SparkSession, path: str, mapping: dict[str, str] | None = None, multi_line: bool = True
+    spark: SparkSession, path: str, mapping: dict[str, str] | None = None, multi_line: bool = True, order: str | None = None
 ) -> DataFrame:
     """Leads of CSV files. Large files are read by many tasks, also where quoted cells hold line breaks;
     ``multi_line=False`` spares looking for such cells, and takes all columns by the first file's header.
     """
     if multi_line:
-        return from_rows(*csv_scan.tables(spark, path), mapping)
+        return from_rows(*csv_scan.tables(spark, path), mapping, order)
+    if order:
+        raise ValueError("the order of a file is known where all of its lines are read as records: multi_line=True")
     names = csv_header(spark, path, multi_line)
     if not names:
         return from_table(spark.createDataFrame([], "name string"), mapping)
@@ -183,19 +194,21 @@ def repeated_keys(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if earlier is None else spark.conf.set(name, earlier)
 
 
-def _parsed(texts: DataFrame, column: str) -> DataFrame:
+def _parsed(texts: DataFrame, column: str, order: str | None = None, place: str = _PLACE) -> DataFrame:
     problem = f"raise_error({quoted(json_scan.PROBLEM)})"
+    placed = [f"{place} AS `{order}`"] if order else []
     with repeated_keys(texts.sparkSession):
-        return texts.selectExpr(f"coalesce(try_parse_json({column}), {problem}) AS record")
+        return texts.selectExpr(f"coalesce(try_parse_json({column}), {problem}) AS record", *placed)
 
 
-def read_json_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of JSON documents of any size, one VARIANT column ``record`` per object.
+def read_json_records(spark: SparkSession, path: str, order: str | None = None) -> DataFrame:
+    """Records of JSON documents of any size, one VARIANT column ``record`` per object, and where each stands in the
+    input in a column ``order``.
 
     A document is a list of objects, or an object holding one non-empty list of objects (the
     first such in document order). Anything else is an error. Of repeated keys the last counts.
     """
-    return _parsed(json_scan.records(spark, path), "text")
+    return _parsed(json_scan.records(spark, path), "text", order)
 
 
 def records_of_documents(documents: DataFrame, column: str) -> DataFrame:
@@ -215,9 +228,9 @@ def records_of_documents(documents: DataFrame, column: str) -> DataFrame:
     return _parsed(items.selectExpr(f"{unmark_json_texts('item')} AS text"), "text")
 
 
-def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_json_lines(spark: SparkSession, path: str, order: str | None = None) -> DataFrame:
     """Records of JSON Lines files, which Spark can split: the form for large lists."""
-    return _parsed(spark.read.text(path).where("value RLIKE r'\\S'"), "value")
+    return _parsed(spark.read.text(path).where("value RLIKE r'\\S'"), "value", order, _READ_AT)
 
 
 def _usable_keys(records: DataFrame) -> list[str]:
@@ -284,7 +297,7 @@ def from_json_records(
     records: DataFrame, mapping: dict[str, str] | None = None, contact_from: str | None = None
 ) -> DataFrame:
     """Leads from VARIANT records. ``contact_from`` names a nested contact object, which
-    fills an empty e-mail or phone.
+    fills an empty e-mail or phone. Columns beside ``record`` stay.
     """
     overrides = mapping or {}
     resolved = resolve_mapping(_usable_keys(records), overrides)
@@ -300,7 +313,8 @@ def from_json_records(
         "lat": _field("lat"),
         "lon": _field("lon"),
     }
-    return _named_only(records.selectExpr(*(f"{sql} AS {f}" for f, sql in fields.items())))
+    kept = [f"`{c}`" for c in records.columns if c != "record"]
+    return _named_only(records.selectExpr(*(f"{sql} AS {f}" for f, sql in fields.items()), *kept), *kept)
 
 
 def load_json(
@@ -308,8 +322,9 @@ def load_json(
     path: str,
     mapping: dict[str, str] | None = None,
     contact_from: str | None = None,
+    order: str | None = None,
 ) -> DataFrame:
-    return from_json_records(read_json_records(spark, path), mapping, contact_from)
+    return from_json_records(read_json_records(spark, path, order), mapping, contact_from)
 
 
 def load(
@@ -319,16 +334,20 @@ def load(
     mapping: dict[str, str] | None = None,
     contact_from: str | None = None,
     multi_line: bool = True,
+    order: str | None = None,
 ) -> DataFrame:
-    """Leads from a file: ``json``, ``csv`` or ``jsonl``, by suffix if not given. A CSV without line
-    breaks inside cells is read by many tasks with ``multi_line=False``."""
+    """Leads from files: ``json``, ``csv`` or ``jsonl``, by suffix if not given; all are read by many tasks.
+
+    Rows come in no order. ``order`` names a further column by which they sort as in the files, the
+    files by their names. A CSV without line breaks inside cells needs less work with ``multi_line=False``.
+    """
     by_suffix = {".json": "json", ".jsonl": "jsonl"}
     guessed = next((f for s, f in by_suffix.items() if path.lower().endswith(s)), "csv")
     fmt = fmt or guessed
     if fmt == "json":
-        return load_json(spark, path, mapping, contact_from)
+        return load_json(spark, path, mapping, contact_from, order)
     if fmt == "jsonl":
-        return from_json_records(read_json_lines(spark, path), mapping, contact_from)
+        return from_json_records(read_json_lines(spark, path, order), mapping, contact_from)
     if fmt == "csv":
-        return load_csv(spark, path, mapping, multi_line)
+        return load_csv(spark, path, mapping, multi_line, order)
     raise ValueError(f"lead files are csv, json or jsonl, not {fmt!r}")

@@ -5,7 +5,9 @@ import pytest
 from shopfront.functions import crawl, fixed, robots, sitemaps
 from shopfront.operators import crawl_plan as plans
 from shopfront.operators import site_pages
-from shopfront.operators.lookup import hot_keys, lookup
+from pyspark.sql import functions as F
+
+from shopfront.operators.lookup import frequent, hot_keys, lookup
 from shopfront.plans.lead_audit import audit_leads, write_audited
 from shopfront.sources import fetches as log
 from shopfront.sources.fetches import FETCH_SCHEMA
@@ -153,6 +155,27 @@ def test_lookup_keeps_every_row_and_splits_hot_keys(spark):
     assert answer(lookup(left, right, "key", 5000, some_keys_null=True)) == plain
 
 
+def test_thousands_of_hot_keys_are_dealt_out(spark):
+    left = spark.range(200_000).selectExpr(
+        "id", "CASE WHEN id % 4 < 2 THEN 'hot' WHEN id % 4 = 2 THEN concat('k', id % 5000) WHEN id % 20 = 3 THEN NULL ELSE concat('r', id) END AS key"
+    )
+    right = spark.range(6_000).selectExpr("concat('k', id) AS key", "array_repeat(id, 50) AS v").union(spark.sql("SELECT 'hot', array(-1L)"))
+    assert len(frequent(left, "key", 20)) == 1251 and frequent(left, "key", 20)[0] == ("hot", 100_000)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for some_null in (False, True):
+            joined = lookup(left, right, "key", 20, some_keys_null=some_null)
+            sizes = sorted(r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect())
+            if some_null:
+                assert len(sizes) == 8 and sizes[-1] <= 1.5 * sizes[4]
+            plain = left.join(right, "key", "left")
+            assert joined.count() == 200_000 and joined.exceptAll(plain).isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_fetch_log_columns(spark):
     rows = [
         ("u", "u", 200, {"Content-Type": "Text/HTML"}, bytearray(b"a\xff"), 1.0, None),

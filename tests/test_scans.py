@@ -6,6 +6,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from shopfront.sources import csv_scan, json_scan, leads, osm, ranges
 
@@ -176,3 +177,32 @@ def test_files_of_a_folder_have_columns_of_their_own(tiny, tmp_path):
     assert got["E\nS"].address == "x, y"
     whole = leads.load(tiny, str(tmp_path / "b.csv"), multi_line=False).collect()
     assert [(r.name, r.source_id) for r in whole] == [("no", "7")]
+
+
+def test_rows_sort_as_in_the_files(tiny, tmp_path):
+    names = [f"N{n} " + "x" * (n % 90) for n in range(300)]
+    (tmp_path / "a.json").write_text(json.dumps({"places": [{"name": n} for n in names[:150]]}, indent=1))
+    (tmp_path / "b.json").write_text(json.dumps([{"name": n} for n in names[150:]]))
+    (tmp_path / "a.csv").write_text("name,city\n" + "".join(f'{n},"a\nb"\n' for n in names))
+    (tmp_path / "a.jsonl").write_text("".join(json.dumps({"name": n}) + "\n" for n in names))
+    for path in ("*.json", "a.csv", "a.jsonl"):
+        found = leads.load(tiny, str(tmp_path / path), order="at", fmt="json" if path == "*.json" else None)
+        assert found.columns[-1] == "at" and [r.name for r in found.orderBy("at").collect()] == names, path
+    with pytest.raises(ValueError):
+        leads.load(tiny, str(tmp_path / "a.csv"), multi_line=False, order="at")
+
+
+def test_audited_files_keep_the_order_and_clashing_columns(tiny, tmp_path):
+    from shopfront.plans import lead_audit
+    from shopfront.sources.fetches import FETCH_SCHEMA
+
+    (tmp_path / "a.json").write_text(json.dumps([{"name": f"N{n}", "site": "" if n % 3 else f"s{n}.test", "id": n} for n in range(60)]))
+    found = leads.load(tiny, str(tmp_path / "a.json"), order="lead_no").withColumns({"_site": F.lit("own"), "title": F.lit("own")})
+    audited = lead_audit.audit_leads(found, tiny.createDataFrame([], FETCH_SCHEMA), order="lead_no")
+    assert audited.columns[0] == "lead_no" and "_site" in audited.columns and "_site_" not in audited.columns
+    lead_audit.write_audited(audited, str(tmp_path / "out"))
+    rows = leads.read_csv_records(tiny, str(tmp_path / "out")).collect()
+    assert [r.name for r in rows] == [f"N{n}" for n in range(60)]
+    assert {r._site for r in rows} == {"own"} and {r.title for r in rows} == {""}
+    assert all("respond" in r.problems for r in rows if r.website)
+    assert {r.error for r in rows if not r.website} == {"no url given"}
