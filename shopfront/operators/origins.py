@@ -10,48 +10,48 @@ from pyspark.sql import functions as F
 
 from shopfront.functions import crawl, fixed, https, robots, sitemaps
 from shopfront.sources import fetches as log
-from shopfront.staging import stage
+from shopfront.staging import lay_out
 
 _NO_STRINGS = "cast(array() AS array<string>)"
 
 
-def with_robots(origins: DataFrame, facts: DataFrame, user_agent: str) -> DataFrame:
-    """Add ``rules`` for the agent and the ``declared`` sitemaps; empty without a robots.txt."""
-    files = facts.where("robots_groups IS NOT NULL").selectExpr(
-        "url AS _robots_url",
-        f"{robots.rules_for('robots_groups', user_agent)} AS _rules",
-        "robots_sitemaps AS _declared",
+def origin_answers(origins: DataFrame, facts: DataFrame, user_agent: str, sitemaps_too: bool = True) -> DataFrame:
+    """How each origin answers: ``rules`` for the agent and ``declared`` sitemaps (empty without a robots.txt), the host's
+    root over the other scheme, and with ``sitemaps_too`` what lies at /sitemap.xml.
+
+    All of an origin's addresses are looked up in one pass over the log.
+    """
+    asked = [("robots", "origin || '/robots.txt'"), ("probe", https.probe_url("origin"))]
+    told = {
+        "robots": "if(robots_groups IS NULL, NULL, struct(robots_groups AS groups, robots_sitemaps AS sitemaps))",
+        "probe": f"struct({log.answered('status', 'error')} AS answered, final_url, error)",
+    }
+    if sitemaps_too:
+        asked.append(("sitemap", f"origin || '{_SITEMAP}'"))
+        told["sitemap"] = f"if({_THERE}, {_FILE}, NULL)"
+    addresses = ", ".join(f"struct('{what}' AS _what, {url} AS _url)" for what, url in asked)
+    known = origins.selectExpr("origin", f"inline(array({addresses}))").join(
+        facts.selectExpr("url AS _url", *(f"{sql} AS _{what}" for what, sql in told.items())), "_url", "left"
     )
-    return (
-        origins.withColumn("_robots_url", F.expr("origin || '/robots.txt'"))
-        .join(files, "_robots_url", "left")
-        .selectExpr(
-            "* EXCEPT (_robots_url, _rules, _declared)",
-            "coalesce(_rules, cast(array() AS array<struct<allow:boolean,path:string>>)) AS rules",
-            f"coalesce(_declared, {_NO_STRINGS}) AS declared",
-        )
+    gathered = known.groupBy("origin").agg(
+        *(F.first(F.when(F.col("_what") == what, F.col(f"_{what}")), ignorenulls=True).alias(f"_{what}") for what in told)
+    )
+    return gathered.selectExpr(
+        "origin",
+        f"coalesce({robots.rules_for('_robots.groups', user_agent)}, cast(array() AS array<struct<allow:boolean,path:string>>)) AS rules",
+        f"coalesce(_robots.sitemaps, {_NO_STRINGS}) AS declared",
+        "coalesce(_probe.answered, false) AS probe_answered", "_probe.final_url AS probe_final_url", "_probe.error AS probe_error",
+        *(["_sitemap AS first_sitemap"] if sitemaps_too else []),
     )
 
 
-def with_probe(origins: DataFrame, facts: DataFrame) -> DataFrame:
-    """Add how the host's root answers over the other scheme."""
-    answers = facts.selectExpr(
-        "url AS _probe_url",
-        f"{log.answered('status', 'error')} AS _answered",
-        "final_url AS probe_final_url",
-        "error AS probe_error",
-    )
-    return (
-        origins.withColumn("_probe_url", F.expr(https.probe_url("origin")))
-        .join(answers, "_probe_url", "left")
-        .selectExpr(
-            "* EXCEPT (_probe_url, _answered)", "coalesce(_answered, false) AS probe_answered"
-        )
-    )
+_SITEMAP = "/sitemap.xml"
+_THERE = "(status = 200 AND is_markup)"
+_FILE = f"struct(is_index, if(is_index, {sitemaps.children('locs')}, NULL) AS children)"
 
 
 def with_sitemaps(origins: DataFrame, facts: DataFrame) -> DataFrame:
-    """Add ``has_sitemap`` and ``locs`` by reading the first few sitemap files of each origin.
+    """Replace ``first_sitemap`` by ``has_sitemap`` and ``locs``, from the first few sitemap files of each origin.
 
     Breadth first from /sitemap.xml and the ``declared`` files. Each round reads the first
     file of the queue not read yet; a failed read counts, a repeated address does not.
@@ -60,35 +60,36 @@ def with_sitemaps(origins: DataFrame, facts: DataFrame) -> DataFrame:
     queues and meet narrow rows; the addresses in the files, which are the bulk, are fetched once at the end,
     for the files that were read.
     """
-    there = facts.where("status = 200 AND is_markup")
-    files = there.selectExpr(
-        "url AS _key", "is_index AS _is_index", f"if(is_index, {sitemaps.children('locs')}, NULL) AS _children"
+    there = facts.where(_THERE)
+    files = there.selectExpr("url AS _key", f"{_FILE} AS _file")
+    turn = origins.selectExpr(
+        "origin", f"concat(array(origin || '{_SITEMAP}'), declared) AS _queue", f"{_NO_STRINGS} AS _done", f"{_NO_STRINGS} AS _read",
+        "false AS has_sitemap", f"origin || '{_SITEMAP}' AS _next", "first_sitemap AS _file",
     )
-    queues = origins.selectExpr(
-        "origin", "concat(array(origin || '/sitemap.xml'), declared) AS _queue", f"{_NO_STRINGS} AS _done", f"{_NO_STRINGS} AS _read"
-    )
-    queues = queues.withColumn("has_sitemap", F.lit(False))
-    for _ in range(fixed.SITEMAP_FILES):
-        # an origin with nothing left keeps a key of its own, so spent rows do not pile up
-        turn = queues.selectExpr(
-            "*",
-            "get(array_except(_queue, _done), 0) AS _next",
-            "coalesce(get(array_except(_queue, _done), 0), origin) AS _key",
-        ).join(files, "_key", "left")
-        found = "(_next IS NOT NULL AND _is_index IS NOT NULL)"
+    for left in reversed(range(fixed.SITEMAP_FILES)):
+        found = "(_next IS NOT NULL AND _file IS NOT NULL)"
         queues = turn.selectExpr(
             "origin",
-            f"if({found} AND _is_index, concat(_queue, _children), _queue) AS _queue",
+            f"if({found} AND _file.is_index, concat(_queue, _file.children), _queue) AS _queue",
             "if(_next IS NULL, _done, array_append(_done, _next)) AS _done",
-            f"if({found} AND NOT _is_index, array_append(_read, _next), _read) AS _read",
+            f"if({found} AND NOT _file.is_index, array_append(_read, _next), _read) AS _read",
             f"(has_sitemap OR {found}) AS has_sitemap",
         )
-    queues = stage(queues.select("origin", "has_sitemap", "_read"), "sitemaps")
-    wanted = queues.selectExpr("origin", "posexplode(_read) AS (_at, _url)")
-    listed = wanted.join(there.selectExpr("url AS _url", "locs AS _locs"), "_url").groupBy("origin").agg(
-        F.array_sort(F.collect_list(F.struct("_at", "_locs"))).alias("_files")  # as many as a round each
+        if left:
+            # an origin with nothing left keeps a key of its own, so spent rows do not pile up
+            turn = queues.selectExpr(
+                "*",
+                "get(array_except(_queue, _done), 0) AS _next",
+                "coalesce(get(array_except(_queue, _done), 0), origin) AS _key",
+            ).join(files, "_key", "left").drop("_key")
+    wanted = queues.selectExpr("origin", "has_sitemap", "posexplode_outer(_read) AS (_at, _url)").withColumn(
+        "_key", F.coalesce("_url", "origin")
+    )
+    listed = wanted.join(there.selectExpr("url AS _key", "locs AS _locs"), "_key", "left").groupBy("origin").agg(
+        F.first("has_sitemap").alias("has_sitemap"),
+        F.array_sort(F.collect_list(F.when(F.col("_at").isNotNull(), F.struct("_at", "_locs")))).alias("_files"),  # one a round at most
     )
-    return origins.join(queues.select("origin", "has_sitemap"), "origin").join(listed, "origin", "left").selectExpr(
+    return origins.drop("first_sitemap").join(listed, "origin").selectExpr(
         "* EXCEPT (_files)", f"coalesce(flatten(transform(_files, f -> f._locs)), {_NO_STRINGS}) AS locs"
     )
 
@@ -117,5 +118,5 @@ def origin_facts(
     origins: DataFrame, facts: DataFrame, user_agent: str, max_pages: int
 ) -> DataFrame:
     """One row per origin with everything its sites share."""
-    known = with_probe(with_robots(origins, facts, user_agent), facts)
+    known = lay_out(origin_answers(origins, facts, user_agent), "known", "origin", dealt=True)
     return with_sitemap_findings(with_sitemaps(known, facts), max_pages)

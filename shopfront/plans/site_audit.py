@@ -2,7 +2,8 @@
 
 Stages, each written once to the shared folder because later steps read it more than once:
 
-1. ``facts``: one narrow row per fetch (a single pass over the bodies, no shuffle);
+1. ``facts``: one narrow row per fetch (a single pass over the bodies), laid out by URL, as every
+   later join needs it;
 2. ``homes``: which answer is the site's home page, with its facts;
 3. ``origins``: robots rules, sitemaps and probes, once per scheme and host;
 4. ``planned``: sites with their origin's data and their crawl plan.
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 from shopfront.functions import crawl, findings, fixed, https, robots, urls
 from shopfront.operators.fetch_facts import ANSWER_FACTS, fetch_facts
 from shopfront.operators.lookup import lookup
-from shopfront.operators.origins import origin_facts, with_probe, with_robots
+from shopfront.operators.origins import origin_answers, origin_facts
 from shopfront.sources import fetches as log
-from shopfront.staging import stage
+from shopfront.staging import lay_out, stage
 
 _NO_STRINGS = "cast(array() AS array<string>)"
 _HOME_FACTS = (
@@ -265,7 +266,7 @@ def audit(
 
     The log has one row per URL; one that has more is refused.
     """
-    facts = stage(fetch_facts(fetches), "facts")
+    facts = lay_out(fetch_facts(fetches), "facts", "url")
     log.require_distinct(facts)
     return audit_facts(starts, facts, options)
 
@@ -275,10 +276,10 @@ def answers(
 ) -> DataFrame:
     """How every start URL answers: its state and the three HTTPS questions, without a look at
     sitemaps, inner pages, or any body but those of robots files."""
-    facts = stage(fetch_facts(fetches).select(*ANSWER_FACTS), "facts")
+    facts = lay_out(fetch_facts(fetches).select(*ANSWER_FACTS), "facts", "url")
     log.require_distinct(facts)
     homes = stage(home_answers(start_urls(starts), facts, kept=()), "homes")
-    known = with_probe(with_robots(_origins(homes), facts, options.user_agent), facts)
+    known = origin_answers(_origins(homes), facts, options.user_agent, sitemaps_too=False)
     return known_sites(homes, stage(known, "origins")).selectExpr(*_ANSWERS)
 
 
@@ -287,8 +288,8 @@ def audit_facts(
 ) -> DataFrame:
     """The audit from staged fetch facts, for logs that are already reduced."""
     homes = stage(home_answers(start_urls(starts), facts), "homes")
-    origins = stage(
-        origin_facts(_origins(homes), facts, options.user_agent, options.max_pages), "origins"
+    origins = lay_out(
+        origin_facts(_origins(homes), facts, options.user_agent, options.max_pages), "origins", "origin", dealt=True
     )
     planned = stage(plan_pages(homes, origins, options), "planned")
     return gather(planned, visited_pages(planned, facts), options)

@@ -26,7 +26,7 @@ from shopfront.sources import fetches as log
 from shopfront.sources import leads as lead_files
 from shopfront.sources import osm as osm_files
 from shopfront.sources import sinks
-from shopfront.staging import shared_folder, spread, stage
+from shopfront.staging import lay_out, shared_folder, spread, stage
 
 AGENT = "shopfront/0.1 (+contact)"
 OPTIONS = site_audit.AuditOptions(user_agent=AGENT)
@@ -251,14 +251,15 @@ def sitemap_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(fetch_facts(snapshot(spark, sf_dir)).select(*ORIGIN_FACTS), "facts")
+    return lay_out(fetch_facts(snapshot(spark, sf_dir)).select(*ORIGIN_FACTS), "facts", "url")
 
 
 def sitemap_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every origin of the log: its sitemap files read, addresses found and the http finding."""
     facts = _facts(spark, sf_dir)
     origins = facts.selectExpr(f"{urls.origin('url')} AS origin").distinct()
-    read = origin_ops.with_sitemaps(origin_ops.with_robots(origins, facts, AGENT), facts)
+    known = lay_out(origin_ops.origin_answers(origins, facts, AGENT), "known", "origin", dealt=True)
+    read = origin_ops.with_sitemaps(known, facts)
     sample = f"concat(declared, slice(locs, 1, {fixed.SITEMAP_HTTP_SAMPLE}))"
     return read.selectExpr(
         "origin", "has_sitemap", f"{_joined('locs')} AS locs",

@@ -36,6 +36,22 @@ def stage(table: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(table.schema).parquet(path)
 
 
+def lay_out(table: DataFrame, name: str, key: str, dealt: bool = False) -> DataFrame:
+    """Write ``table`` once in buckets by ``key`` and return it read back.
+
+    Joins and groupings on the key, whatever columns they take, then find it laid out as they need it: the
+    table is dealt out once and never again, only what meets it is. With ``dealt`` it is known to lie by the key
+    already, as the result of a grouping by it does.
+    """
+    spark = table.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    named = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/shopfront/{named}"
+    rows = table if dealt else table.repartition(buckets, key)
+    rows.write.format("parquet").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(named)
+    return spark.table(named)
+
+
 def release(table: DataFrame) -> None:
     """Delete a staged table that nothing reads any more; other tables are left alone."""
     spark = table.sparkSession

@@ -302,3 +302,35 @@ def test_flat_rows_and_single_site_file(audits, tmp_path):
     lines = [x for p in out.glob("part-*") for x in p.read_text().splitlines()]
     assert lines[0] == ",".join(fixed.AUDIT_FIELDS)
     assert len([x for x in lines if x.startswith("https://form.test/")]) == 1
+
+
+def test_the_log_is_dealt_out_once(spark, sf_dir, monkeypatch):
+    """Every plan of the audit: how often rows are dealt out anew, and that the log's never are."""
+    from shopfront.operators import origins
+    from shopfront.plans import site_audit
+    from shopfront.queries import registry
+
+    plans = []
+
+    def seen(function):
+        def run(table, *args, **options):
+            plans.append(table._jdf.queryExecution().executedPlan().toString())
+            return function(table, *args, **options)
+
+        return run
+
+    for module in (site_audit, origins):
+        monkeypatch.setattr(module, "lay_out", seen(module.lay_out))
+    monkeypatch.setattr(site_audit, "stage", seen(site_audit.stage))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        result = site_audit.audit(registry.starts(spark, sf_dir), registry.snapshot(spark, sf_dir), registry.OPTIONS)
+        plans.append(result._jdf.queryExecution().executedPlan().toString())
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert sum(plan.count("Exchange hashpartitioning") for plan in plans) <= 15
+    scans = [line for plan in plans for line in plan.splitlines() if "facts_" in line and "FileScan" in line]
+    assert len(scans) >= 5 and all("Bucketed: true" in line for line in scans)
