@@ -7,7 +7,6 @@ identifier is ever put out. A piece of n bytes takes O(n log n), whatever its le
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 import re
@@ -16,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopfront.llm.common import by_batch, documents
+from shopfront.llm.common import by_batch, documents, held
 from shopfront.llm.pretokens import BYTE_LEVEL, is_common
 
 #: The same pattern with full Unicode classes, for texts with rarer characters.
@@ -125,10 +124,9 @@ class MergeCounter:
         return len(found) + sum(map(self.stretch, self.special.split(text)))
 
 
-@functools.cache
 def counter(path: str) -> MergeCounter:
     """One a Python worker, so pieces counted in one task are known in the next."""
-    return MergeCounter(path)
+    return held(("merge counter", path), lambda: MergeCounter(path))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +50,44 @@ def position(table: DataFrame, name: str) -> int:
     return names.index(name) if name in names else [n.lower() for n in names].index(name.lower())
 
 
+SLICE_ROWS, SLICE_BYTES = 1000, 4 << 20
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch cut into parts of at most so many rows, and so many bytes of texts unless one row has more:
+    what a part becomes in Python does not grow with the length of texts."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    at = 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(ends, ends[at] + SLICE_BYTES, side="right")) - 1
+        to = min(max(to, at + 1), at + SLICE_ROWS, batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
+_held: list[Any] = [None, None]
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept by this Python worker for as long as it is asked for the same key.
+
+    A worker serves one operator after another. It keeps the helper of one at a time, with all that it
+    has learned; the one before is given up, and its memory given back.
+    """
+    if _held[0] != key:
+        _held[:] = [None, None]
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim is not None:
+            trim(0)
+        _held[:] = [key, make()]
+    return _held[1]
+
+
 def by_batch(
     table: DataFrame, schema: str, work: Callable[[dict[str, list]], dict[str, list]]
 ) -> DataFrame:
@@ -56,8 +99,7 @@ def by_batch(
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                columns = work(batch.slice(at, 1000).to_pydict())
-                yield pa.RecordBatch.from_pydict(columns, schema=arrow)
+            for part in slices(batch):
+                yield pa.RecordBatch.from_pydict(work(part.to_pydict()), schema=arrow)
 
     return table.mapInArrow(walk, schema)

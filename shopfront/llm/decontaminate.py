@@ -10,7 +10,6 @@ item, slots must agree: the same item value always stands for the same document
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 
@@ -19,14 +18,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopfront.llm.common import by_batch, documents, pick, position
+from shopfront.llm.common import by_batch, documents, held, pick, position
 from shopfront.staging import stage
 
 WINDOW = 8  # words a window
 LITERAL = 4  # of these at least so many are words, not placeholders
 SHARE = 0.4  # an item is found when so much of its windows are, or
 WINDOWS = 6  # this many: a run of 13 words
-KEPT_CHUNKS = 1_000_000
+KEPT_CHUNKS = 500_000
 #: Bits of the filter for each window of the benchmark, and its largest size, 8 MB. Beyond it the
 #: filter lets more windows through to the join, and the result stays the same.
 BITS_A_WINDOW, MOST_BITS = 128, 1 << 26
@@ -176,9 +175,8 @@ def windows(hashes: np.ndarray, starts: np.ndarray, wide: int) -> tuple[np.ndarr
     return made[fit], fit, text[fit]
 
 
-@functools.cache
 def canonical() -> Canonical:
-    return Canonical()
+    return held("canonical", Canonical)
 
 
 SCHEMA = "{id} bigint, view int, wide int, key bigint, at int, slots array<string>"

@@ -17,6 +17,9 @@ WINDOW, STRIDE = 24, 20  # words a window, and from one start to the next
 GRAMS = (2, 4, 5)  # lengths of character sequences, the word's ends included
 BUCKETS = 1 << 16  # vectors for character sequences
 HIDDEN, WORD, CHAR, ATTENTION = 12, 12, 12, 8
+#: What learning is bounded by, beside the sample of rows: words with a vector of their own, and windows of
+#: a row that each of the two first passes takes at random. The passes after them choose among all.
+VOCABULARY, FIRST_WINDOWS = 20_000, 4
 KEPT_CHUNKS = 150_000  # chunks whose inputs a Python worker keeps; beyond it, it starts anew
 _CORE = re.compile(r"\w(?:.*\w)?", re.S)
 
@@ -264,7 +267,7 @@ def train(documents: list[tuple[list[list[str]], int]], seed: int = 7) -> Networ
     """
     rng = np.random.default_rng(seed)
     seen = Counter(w for windows, _ in documents for w in {w for words in windows for w in words})
-    frequent = [w for w, n in seen.most_common(20_000) if n >= 3]
+    frequent = [w for w, n in seen.most_common(VOCABULARY) if n >= 3]
     network = Network({w: at for at, w in enumerate(frequent, 1)}, seed)
     if len({label for _, label in documents}) < 2:  # nothing to tell apart
         share = float(np.mean([label for _, label in documents])) if documents else 0.0
@@ -289,7 +292,7 @@ def train(documents: list[tuple[list[list[str]], int]], seed: int = 7) -> Networ
 
     for _ in range(2):
         fit([(windows[i], label) for windows, label in learn
-             for i in rng.permutation(len(windows))[:4]])
+             for i in rng.permutation(len(windows))[:FIRST_WINDOWS]])
     for turn in range(4):
         steps.rate = 0.01 / (turn + 1)
         scored = document_logits(network, [windows for windows, _ in learn])

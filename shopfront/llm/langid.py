@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopfront.llm.common import by_batch, pick
+from shopfront.llm.common import by_batch, held, pick
 from shopfront.llm.gru import core, grams
 from shopfront.operators.lookup import lookup
 from shopfront.staging import stage
@@ -130,14 +130,8 @@ class Reader:
         return out
 
 
-_readers: dict[str, Reader] = {}
-
-
 def reader(model: TextModel) -> Reader:
-    if model.name not in _readers:
-        _readers.clear()
-        _readers[model.name] = Reader(model)
-    return _readers[model.name]
+    return held(("language reader", model.name), lambda: Reader(model))
 
 
 def fit(labelled: DataFrame) -> TextModel:

@@ -14,7 +14,6 @@ that may reach the threshold is verified.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -24,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopfront.llm.common import by_batch, documents, position
+from shopfront.llm.common import by_batch, documents, held, position
 from shopfront.llm.graph import components
 from shopfront.staging import release, stage
 
@@ -91,9 +90,8 @@ class Hashes:
         return np.unique(found)
 
 
-@functools.cache
 def hashes(width: int) -> Hashes:
-    return Hashes(width)
+    return held(("shingle hashes", width), lambda: Hashes(width))
 
 
 def sketch(found: np.ndarray) -> np.ndarray:

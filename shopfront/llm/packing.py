@@ -9,7 +9,6 @@ the pieces of their length.
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections import defaultdict
 
@@ -17,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopfront.llm.common import by_batch, documents
+from shopfront.llm.common import by_batch, documents, held
 from shopfront.llm.pretokens import WORD_LEVEL, is_common
 from shopfront.staging import stage
 
@@ -68,9 +67,8 @@ class WordIds:
         return b"".join(map(self.known.__getitem__, chunks))
 
 
-@functools.cache
 def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    return held(("word ids", path), lambda: WordIds(path))
 
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopfront.llm import boosting
-from shopfront.llm.common import by_batch, by_row, documents, position
+from shopfront.llm.common import by_batch, by_row, documents, position, slices
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("iban", "number", "secret", "spelled")
@@ -229,9 +229,9 @@ def training_spans(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         out = {"doc_id": [], "x": [], "y": []}
         for doc, text in zip(rows["doc_id"], rows["text"]):
             base = base_spans(text)
-            free = [s for s in candidates(text)[:50] if not any(_touches(s, b) for b in base)]
+            free = [s for s in candidates(text) if not any(_touches(s, b) for b in base)]
             known = [(text, span, told(text, span)) for span in free]
-            known += [(around, span, True) for around, span in masked(text, base[:50])]
+            known += [(around, span, True) for around, span in masked(text, base)]
             for around, span, right in known:
                 out["doc_id"].append(doc)
                 out["x"].append(features(around, span))
@@ -296,8 +296,7 @@ def redact(docs: DataFrame, model: boosting.Boosted) -> DataFrame:
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 1000):
-                part = batch.slice(first, 1000)
+            for part in slices(batch):
                 texts = part.column(at).to_pylist()
                 full = [t or "" for t in texts]
                 base = [base_spans(t) for t in full]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopfront.llm import gru
-from shopfront.llm.common import by_batch, by_row, documents, pick, position
+from shopfront.llm.common import by_batch, by_row, documents, held, pick, position, slices
 
 #: The rows of either label that the network learns from, each of them whole, as the highest of all
 #: windows counts when texts are scored. Only fitting is bounded; every text is scored whole.
@@ -56,15 +56,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> gru.Network:
     return gru.train(training_rows(docs, labels))
 
 
-_scorers: dict[str, gru.Scorer] = {}
-
-
 def scorer(network: gru.Network) -> gru.Scorer:
-    """The Python worker's scorer for a network; it keeps the latest."""
-    if network.name not in _scorers:
-        _scorers.clear()
-        _scorers[network.name] = gru.Scorer(network)
-    return _scorers[network.name]
+    return held(("scorer", network.name), lambda: gru.Scorer(network))
 
 
 def score(docs: DataFrame, network: gru.Network) -> DataFrame:
@@ -90,10 +83,8 @@ def keep_clean(docs: DataFrame, network: gru.Network, threshold: float = 0.5) ->
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            keep = []
-            for start in range(0, len(texts), 1000):
-                keep += [s < threshold for s in scorer(network).scores(texts[start : start + 1000])]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for part in slices(batch):
+                scores = scorer(network).scores([t or "" for t in part.column(at).to_pylist()])
+                yield part.filter(pa.array([s < threshold for s in scores], pa.bool_()))
 
     return by_row(docs, walk)
