@@ -25,6 +25,9 @@ WINDOW = 8  # words a window
 LITERAL = 4  # of these at least so many are words, not placeholders
 SHARE = 0.4  # an item is found when so much of its windows are, or
 WINDOWS = 6  # this many: a run of 13 words
+#: Places that a document may gain or lose against the item, by words put in or left out, within what counts as
+#: one alignment.
+DRIFT = 4
 KEPT_CHUNKS = 500_000
 #: Bits of the filter for each window of the benchmark, and its largest size, 8 MB. Beyond it the
 #: filter lets more windows through to the join, and the result stays the same.
@@ -266,16 +269,16 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, n_windows, n_item_windows, n_changed`` for every benchmark item found in a
     document.
 
-    ``n_windows`` counts the item's windows on the best alignment: at least ``WINDOWS``, or a share
-    of ``SHARE`` of ``n_item_windows``. ``n_changed`` counts item values that the document replaces, 0
+    ``n_windows`` counts the item's windows on the best alignment, which may drift by ``DRIFT`` places: at least
+    ``WINDOWS``, or a share of ``SHARE`` of ``n_item_windows``. ``n_changed`` counts item values that the document replaces, 0
     for a verbatim copy. An alignment whose slots disagree counts only its windows with equal slots.
 
     Null and empty texts have no windows; rows without ``doc_id`` or ``item_id`` are not reported.
-    Items of equal text count as the one with the smallest ``item_id``. Repeated rows change
-    nothing. An empty table on either side gives no rows; other columns are not read.
+    Items of equal text are looked for once and all reported. Repeated rows change nothing. An empty table on either side gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     items = pick(benchmark, item_id="bigint", text="string").where("item_id IS NOT NULL AND text IS NOT NULL")
+    named = items.distinct()
     items = items.groupBy("text").agg(F.min("item_id").alias("item_id"))
     wanted = stage(item_windows(items), "benchmark-windows")
     sizes = wanted.agg(F.count(F.lit(1)).alias("n"), F.collect_set("wide").alias("wide")).first()
@@ -289,7 +292,12 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item_side = wanted.join(totals, ["item_id", "view"]).withColumnsRenamed({"at": "item_at", "slots": "item_slots"})
     met = found.join(item_side, ["view", "wide", "key"])
     pairs = F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc"))
-    aligned = met.groupBy("doc_id", "item_id", "view", "n_item_windows", (F.col("at") - F.col("item_at")).alias("shift")).agg(
+    # two rows of stretches, shifted against each other: any two shifts that are near share a stretch
+    stretches = F.array(*(
+        F.struct(F.lit(half).alias("half"), F.floor((F.col("at") - F.col("item_at") + half * DRIFT) / (2 * DRIFT)).alias("nth")) for half in (0, 1)
+    ))
+    met = met.withColumn("stretch", F.explode(stretches))
+    aligned = met.groupBy("doc_id", "item_id", "view", "n_item_windows", "stretch").agg(
         F.size(F.collect_set("item_at")).alias("n_all"),
         F.size(F.collect_set(F.when(F.col("slots") == F.col("item_slots"), F.col("item_at")))).alias("n_equal"),
         F.array_distinct(F.flatten(F.collect_set(pairs))).alias("values"),
@@ -302,9 +310,11 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.when(consistent, changed).otherwise(0).cast("bigint").alias("n_changed"),
     ).where((F.col("n_windows") >= WINDOWS) | (F.col("n_windows") >= F.ceil(SHARE * F.col("n_item_windows"))))
     best = F.min(F.struct(-F.col("n_windows"), "n_changed", "n_item_windows"))
-    return judged.groupBy("doc_id", "item_id").agg(best.alias("best")).select(
-        "doc_id", "item_id", (-F.col("best.col1")).alias("n_windows"), "best.n_item_windows", "best.n_changed"
+    one = judged.groupBy("doc_id", "item_id").agg(best.alias("best")).select(
+        "doc_id", F.col("item_id").alias("_item"), (-F.col("best.col1")).alias("n_windows"), "best.n_item_windows", "best.n_changed"
     )
+    alike = named.join(items.withColumnRenamed("item_id", "_item"), "text").select("_item", "item_id")
+    return one.join(alike, "_item").select("doc_id", "item_id", "n_windows", "n_item_windows", "n_changed")
 
 
 def without_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

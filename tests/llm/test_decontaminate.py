@@ -35,7 +35,17 @@ def test_clean_and_partial_texts(spark, make):
         (1, " ".join(f"other{n}y" for n in range(300))), (2, " ".join(words[:10])), (3, " ".join(["p"] * 50 + words[20:40])),
         (4, " ".join(words[:9] + ["z"] + words[10:19])),
     ], [(1, item), (2, item), (3, "12 13 14 15"), (4, None)])
-    assert set(got) == {(3, 1)}  # equal items count once
+    assert set(got) == {(3, 1), (3, 2)}  # equal items are all reported
+
+
+def test_words_put_in_or_left_out_do_not_split_an_item(spark, make):
+    item = "Anna carries four wooden crates of ripe pears up the steep stone steps while her brother counts every single pear twice"
+    got = found(spark, make, [
+        (1, item.replace("Anna", "Mary Ann")), (2, item.replace("stone steps", "old grey stone steps")), (3, item.replace("steep ", "")),
+        (5, " ".join(reversed(item.split()))),
+    ], [(7, item)])
+    assert set(got) == {(n, 7) for n in (1, 2, 3)}
+    assert got[2, 7].n_windows == 7  # those that do not hold the new words
 
 
 def test_short_items(spark, make):
