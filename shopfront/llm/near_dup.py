@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopfront.llm.common import by_batch, documents, held, position
+from shopfront.llm.decontaminate import MOST_BITS, filter_bits, passing
 from shopfront.llm.graph import components
-from shopfront.staging import release, stage
+from shopfront.staging import lay_out, release, stage
 
 #: 64 bands of 8 rows: two sets of similarity 0.8 share no band in 1 of 130,000 cases, of 0.85 in
 #: 1 of 10^8; two of similarity 0.3 are candidates in 1 of 240 cases.
@@ -128,6 +129,23 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return by_batch(docs, "doc_id bigint, n_shingles bigint, set_id binary, sketch binary", work)
 
 
+def possible(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` may be among the ``wanted``, by a filter of at most ``MOST_BITS``: texts of
+    the others need not be shuffled to find that out. Beyond that size it lets more of them through."""
+    n = wanted.count()
+    bits = min(1 << max(16, (16 * n - 1).bit_length()), MOST_BITS) if n else 1 << 16
+    marks = filter_bits(wanted.select(F.xxhash64("doc_id").alias("key")), bits)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(2).to_numpy().astype(np.uint64)
+            hit = passing(keys, np.frombuffer(marks, np.uint64))
+            yield batch.take(pa.array(np.sort(hit)))
+
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("_key"))
+    return keyed.mapInArrow(walk, "doc_id bigint, text string, _key bigint").drop("_key")
+
+
 def buckets(classes: DataFrame) -> DataFrame:
     """``key, node, size, n_shingles`` for the bands that more than one class has."""
     width = 2 * ROWS
@@ -270,8 +288,10 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     shared = stage(buckets(classes), "near-buckets")
 
     nodes = classes.join(shared.select("node").distinct(), "node")
-    wanted = nodes.select(F.col("first_id").alias("doc_id")).distinct()
-    active = stage(_with_text(nodes, docs.join(wanted, "doc_id", "left_semi"), width), "near-active")
+    wanted = stage(nodes.select(F.col("first_id").alias("doc_id")).distinct(), "near-wanted")
+    texts = possible(docs, wanted).join(wanted, "doc_id", "left_semi")
+    # sketches and texts are looked up by node turn after turn, and lie by node for that
+    active = lay_out(_with_text(nodes, texts, width), "near_active", "node")
 
     component = active.select("node", F.col("node").alias("component"))
     for turn in range(STAR_TURNS + 1):
