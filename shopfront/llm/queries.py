@@ -20,8 +20,21 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.count_tokens(read(spark, sf_dir, "documents"), vocabulary, limit=1024)
 
 
+def quoting(conversations: DataFrame) -> DataFrame:
+    """The conversations as people write them by mail: of three messages one quotes the message before it, and one
+    the two before it, on two levels. The table itself holds no quotes."""
+    said = conversations.groupBy("conv_id", "turn").agg(F.min("text").alias("said"))
+    marked = "regexp_replace(said, '(?m)^', '{} ')"
+    one, two = (
+        said.select("conv_id", (F.col("turn") + back).alias("turn"), F.expr(marked.format(">" * back)).alias(f"_{back}")) for back in (1, 2)
+    )
+    quoted = F.concat_ws("\n", F.when(F.col("turn") % 3 == 2, F.col("_2")), F.when(F.col("turn") % 3 > 0, F.col("_1")), "text")
+    joined = conversations.join(one, ["conv_id", "turn"], "left").join(two, ["conv_id", "turn"], "left")
+    return joined.withColumn("text", F.when(F.col("text").isNotNull(), quoted)).select(*conversations.columns)
+
+
 def op3_quoted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.link(read(spark, sf_dir, "conversations"))
+    return quotes.link(quoting(read(spark, sf_dir, "conversations")))
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,3 +128,33 @@ def test_long_thread(spark):
     rows = [(1, 0, "u", "line 0")] + [(1, n, "u", f"> line {n - 1}\nline {n}\nok") for n in range(1, 120)]
     got = {r.turn: r for r in quotes.link(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert all(got[n].depth == n and got[n].root_turn == 0 and got[n].position == n for n in got)
+
+
+def test_derived_quotes_lead_to_the_messages_before(spark, sf_check):
+    from shopfront.llm import queries
+
+    table = spark.read.parquet(f"{sf_check}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    texts = {}
+    for r in table.collect():
+        texts.setdefault((r.conv_id, r.turn), []).append(r.text)
+    got = quotes.link(queries.quoting(table)).collect()
+    assert len(got) == sum(map(len, texts.values()))
+    linked = 0
+    for r in got:
+        before = [t for t in texts.get((r.conv_id, r.turn - 1), []) if t and t.strip()]
+        if r.turn % 3 and before and min(texts[r.conv_id, r.turn - 1]).strip() and r.reply:
+            assert r.parent_turn == r.turn - 1 and r.depth == r.turn % 3, r
+            linked += 1
+        elif not r.turn % 3:
+            assert r.n_passages == 0 and r.parent_turn is None
+        assert r.reply == "\n".join(texts[r.conv_id, r.turn][0].split("\n")).strip("\n") or len(texts[r.conv_id, r.turn]) > 1
+    assert linked > 200
+
+
+def test_quotes_in_awkward_rows(spark):
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    rows = [(1, 0, "u", "w" * 50_000 + " " + "é日 " * 9000, "x", 9), (1, 1, "a", "> " + "w" * 50_000 + " " + "é日 " * 9000 + "\nyes", "x", 9)]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, TEXT string, position int")
+    got = {r.turn: r for r in quotes.link(table).collect()}
+    spark.conf.set("spark.sql.caseSensitive", "false")
+    assert (got[1].parent_turn, got[1].reply, got[1].position) == (0, "yes", 1)
