@@ -851,6 +851,16 @@ ORACLE_SQL = {
         "origin, CAST(seq AS BIGINT) AS seq, sitemap FROM robots_sitemaps", f", {_robots_ctes()}"),
     "robots_allowed": _log(
         "url, allowed FROM decided", f", {_robots_ctes()}, {allowed('log', 'url', 'decided', 'url')}"),
+    "robots_many_rules": f"""WITH listed AS (
+          SELECT url, {origin('url')} AS origin, regexp_extract(url, '^[a-z]+://[^/?#]*(.*)$', 1) AS target FROM pages),
+        rules AS (
+          SELECT seq, CASE WHEN seq = 599 THEN '/fr' ELSE concat('/', ['en', 'fr', 'de', 'es'][seq % 4 + 1], '/',
+            CASE WHEN seq % 5 = 0 THEN '' ELSE CAST(seq * 7 % 300 AS VARCHAR) END,
+            CASE WHEN seq % 5 = 0 AND seq < 550 THEN CAST(seq * 13 % 97 AS VARCHAR) ELSE '' END) END AS path
+          FROM range(600) AS r(seq)),
+        first AS (
+          SELECT url, origin, min(seq) AS seq FROM (SELECT DISTINCT * FROM listed) JOIN rules ON starts_with(target, path) GROUP BY ALL)
+        SELECT l.url, l.origin, coalesce((f.seq + length(l.origin)) % 3 = 0, true) AS allowed FROM listed l LEFT JOIN first f USING (url, origin)""",
     "sitemap_locations": _log(
         f"""url, contains(substr(body, 1, {fixed.SITEMAP_HEAD_BYTES}), '<') AS is_markup,
         contains(lower(body), '<sitemapindex') AS is_index, {joined(_locs('body'))} AS locs,

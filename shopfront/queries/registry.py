@@ -15,7 +15,7 @@ from shopfront.functions import contacts, crawl, detect, fixed, html, robots, si
 from shopfront.functions.text import decode_entities, fold_case, quoted
 from shopfront.operators import crawl_plan as plans
 from shopfront.operators import origins as origin_ops
-from shopfront.operators import osm, site_pages
+from shopfront.operators import osm, rule_index, site_pages
 from shopfront.operators.fetch_facts import ORIGIN_FACTS, fetch_facts
 from shopfront.operators.lookup import lookup
 from shopfront.plans import site_audit
@@ -239,6 +239,17 @@ def robots_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def robots_many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against 600 rules of its origin, of which many share a path."""
+    pages = table(spark, sf_dir, "pages").selectExpr("url", f"{urls.origin('url')} AS origin")
+    rules = pages.select("origin").distinct().selectExpr("origin", "explode(sequence(0L, 599L)) AS seq").selectExpr(
+        "origin", "seq", "(seq + length(origin)) % 3 = 0 AS allow",
+        """CASE WHEN seq = 599 THEN '/fr' ELSE concat('/', element_at(array('en', 'fr', 'de', 'es'), int(seq % 4 + 1)), '/',
+            if(seq % 5 = 0, '', string(seq * 7 % 300)), if(seq % 5 = 0 AND seq < 550, string(seq * 13 % 97), '')) END AS path""",
+    )
+    return rule_index.decide(pages, rules)
+
+
 def sitemap_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = snapshot(spark, sf_dir).where("url LIKE '%.xml'").selectExpr(
         "url", f"{sitemaps.is_markup('body')} AS is_markup", f"{log.text('body')} AS text"
@@ -607,6 +618,7 @@ QUERIES = {
     "robots_rules": robots_rules,
     "robots_sitemaps": robots_sitemaps,
     "robots_allowed": robots_allowed,
+    "robots_many_rules": robots_many_rules,
     "sitemap_locations": sitemap_locations,
     "sitemap_expansion": sitemap_expansion,
     "crawl_candidates": crawl_candidates,

@@ -7,6 +7,7 @@ from shopfront.operators import crawl_plan as plans
 from shopfront.operators import site_pages
 from pyspark.sql import functions as F
 
+from shopfront.operators import rule_index
 from shopfront.operators.lookup import frequent, hot_keys, lookup
 from shopfront.plans.lead_audit import audit_leads, write_audited
 from shopfront.sources import fetches as log
@@ -47,6 +48,23 @@ def test_robots_decisions_agree_with_the_standard_library(spark):
         assert row["ok"] == parser.can_fetch(agent, row["url"]), (ROBOTS[row["f"]], row["url"])
 
 
+def test_rules_by_prefix_decide_as_a_look_at_each(spark):
+    rules = spark.range(30_000).selectExpr(
+        "if(id % 3 = 0, 'http://hot.test', 'http://b.test') AS origin", "id AS seq", "id % 4 = 1 AS allow",
+        "CASE WHEN id % 5000 = 0 THEN '' WHEN id > 29000 THEN concat('/', id % 7) ELSE concat('/', id % 11, '/', id * 31 % 9000, if(id % 2 = 0, '/', 'é')) END AS path",
+    ).where("path <> '' OR seq > 20000")
+    pages = spark.range(900).selectExpr(
+        "element_at(array('http://hot.test', 'http://hot.test', 'http://b.test', 'http://none.test'), int(id % 4 + 1)) AS origin", "id"
+    ).selectExpr("origin", "concat(origin, CASE WHEN id % 50 = 0 THEN '' WHEN id % 50 = 1 THEN '/' ELSE concat('/', id % 11, '/', id * 31 % 9000, '%C3%A9/x?', id % 3) END) AS url")
+    pages = pages.union(pages.limit(20))
+    listed = rules.groupBy("origin").agg(F.expr("transform(array_sort(collect_list(struct(seq, allow, path))), r -> struct(r.allow AS allow, r.path AS path))").alias("rules"))
+    plain = pages.join(listed, "origin", "left").selectExpr("url", "origin", f"{robots.allows('rules', 'url')} AS allowed")
+    for hot in (50, 10**6):
+        got = rule_index.decide(pages, rules, min_hot_rows=hot)
+        assert sorted(got.collect()) == sorted(plain.collect())
+    assert 100 < got.where("NOT allowed").count() < 800
+
+
 def test_robots_tables(spark):
     text = "User-agent: a\nUser-agent: b\nDisallow: /x\nAllow: /y\nSITEMAP:  u1 \nsitemap:u2\n\nUser-agent: *\nDisallow:\n"
     files = spark.createDataFrame([("o", text)], "origin string, text string")
