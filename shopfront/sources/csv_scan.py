@@ -49,28 +49,36 @@ def states(chunked: DataFrame) -> DataFrame:
     return inside.select("file", "block", "part", "inside", ranges.before(cut).alias("run"))
 
 
-CUTS = "file string, kind string, block bigint, part int, at int, run bigint, text binary"
-
-
 def cut(row: dict) -> list[tuple]:
     """Whole records of a chunk, and the parts of records that cross its borders."""
     text, at = row["text"], 0
     file, block, part, run = row["file"], row["block"], row["part"], row["run"]
     out: list[tuple] = []
+    ats: list[int] = []
+    texts: list[bytes] = []
+
+    def add(kind: str, at: int, run: int, text: bytes | None, ats: list[int] | None = None, texts: list[bytes] | None = None) -> None:
+        out.append((file, kind, block, part, at, run, text, ats, texts))
+
     if row["inside"]:
         rest = _REST.match(text)
         if rest is None:
-            return [(file, "middle", block, part, 0, run, text)]
+            add("middle", 0, run, text)
+            return out
         at = rest.end()
-        out.append((file, "last", block, part, 0, run, text[:at]))
+        add("last", 0, run, text[:at])
     while at < len(text):
         whole = _RECORD.match(text, at)
         if whole is None:
-            out.append((file, "first", block, part, at, run + 1, text[at:]))
+            add("first", at, run + 1, text[at:])
             break
-        if whole.end() - at > 1 and text[at : whole.end()] != b"\r\n":  # empty lines are none
-            out.append((file, "record", block, part, at, 0, whole[0]))
+        record = whole[0]
+        if record != b"\n" and record != b"\r\n":  # empty lines are none
+            ats.append(at)
+            texts.append(record)
         at = whole.end()
+    if ats:
+        add("records", 0, 0, None, ats, texts)
     return out
 
 
@@ -82,15 +90,9 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     """
     chunked = ranges.chunks(spark, path, "\n", SUMMARY, summary)
     known = stage(states(chunked), "chunk-states")
-    cuts = ranges.apply(chunked, known, CUTS, cut)
+    cuts = ranges.apply(chunked, known, ranges.CUTS, cut)
     release(chunked)
-    place = F.struct("block", "part", "at").alias("place")
-    crossing = cuts.where("kind <> 'record'").groupBy("file", "run").agg(
-        F.min(F.when(F.col("kind") == "first", F.struct("block", "part", "at"))).alias("place"),
-        F.array_sort(F.collect_list(F.struct("block", "part", "text"))).alias("parts"),
-    )
-    joined = F.expr("aggregate(parts, cast('' AS binary), (all, p) -> concat(all, p.text))").alias("text")
-    found = cuts.where("kind = 'record'").select("file", place, "text").unionByName(crossing.select("file", "place", joined))
+    found = ranges.put_together(cuts, closed=False)
     text = "make_valid_utf8(cast(text AS string))"
     return found.select("file", "place", F.expr(f"regexp_replace({text}, r'\\r?\\n\\z', '')").alias("text"))
 

@@ -89,7 +89,7 @@ def states(chunked: DataFrame) -> DataFrame:
     )
 
 
-CUTS = "file string, kind string, block bigint, part int, at int, run bigint, text binary, value string"
+CUTS = f"{ranges.CUTS}, value string"
 
 
 def _name(text: bytes, quotes: np.ndarray, colon: int, ahead: bytes | None) -> str:
@@ -116,14 +116,14 @@ def _members(text: bytes, quotes: np.ndarray, row: dict, places: np.ndarray, dep
         kind = "other"
         if value[:1] == b"[":
             item = value[1:].lstrip(_SPACE) or text[text.index(b"[", colon) + 1 :].lstrip(_SPACE)
-            kind = "records" if item[:1] == b"{" else "list"
+            kind = "objects" if item[:1] == b"{" else "list"
         out.append((colon, kind, _name(text, quotes, colon, row["ahead"])))
     return out
 
 
 def cut(row: dict) -> list[tuple]:
-    """Rows of ``CUTS`` from one chunk: whole records, parts of records that cross its borders, members of
-    the document's object, and ``bad`` where the text is no such document."""
+    """Rows of ``CUTS`` from one chunk: its whole records, parts of records that cross its borders, members of
+    the document's object by the kind of their value, and ``bad`` where the text is no such document."""
     text, level = row["text"], row["level"]
     quotes, places, steps, odd = _brackets(text)
     real = odd == row["inside"]
@@ -132,8 +132,12 @@ def cut(row: dict) -> list[tuple]:
     head = (row["file"], row["block"], row["part"], row["run"])
     out: list[tuple] = []
 
+    ats: list[int] = []
+    texts: list[bytes] = []
+
     def add(kind: str, at: int, run: int, part: bytes | None, value: str | None = None) -> None:
-        out.append((head[0], kind, head[1], head[2], at, run, part, value))
+        whole = (ats, texts) if kind == "records" else (None, None)
+        out.append((head[0], kind, head[1], head[2], at, run, part, *whole, value))
 
     values = np.frombuffer(text, np.uint8)[places]
     starts = np.flatnonzero((values == ord("{")) & (depth - steps == level))
@@ -149,12 +153,15 @@ def cut(row: dict) -> list[tuple]:
     last_end = -1
     for start, place in zip(starts[closed].tolist(), ends[after[closed]].tolist()):
         here, to = int(places[start]), int(places[place])
-        add("record", here, 0, text[here : to + 1])
+        ats.append(here)
+        texts.append(text[here : to + 1])
         if last_end >= 0 and start == last_end + 1:
             between = text[places[last_end] + 1 : here]
             if between.strip(_SPACE) != b"," and not _BETWEEN.fullmatch(between) and not (level == 2 and _NAMED.fullmatch(between)):
                 add("bad", here, 0, None)
         last_end = place
+    if ats:
+        add("records", 0, 0, None)
     for start in starts[~closed].tolist():
         add("first", int(places[start]), row["run"] + 1, text[places[start] :])
     # nothing but space stands around the document, and it is one
@@ -189,22 +196,15 @@ def records(spark: SparkSession, path: str, member: str | None = None) -> DataFr
     cuts = ranges.apply(chunked, known.drop("size", "length", "gain", "quotes", "top"), CUTS, cut)
     release(chunked)
 
-    crossing = cuts.where("kind IN ('first', 'middle', 'last')").groupBy("file", "run").agg(
-        F.min(F.when(F.col("kind") == "first", _place())).alias("place"), F.bool_or(F.col("kind") == "last").alias("closed"),
-        F.array_sort(F.collect_list(F.struct("block", "part", "text"))).alias("parts"),
-    ).where("place IS NOT NULL AND closed")
-    joined = F.expr("aggregate(parts, cast('' AS binary), (all, p) -> concat(all, p.text))")
-    found = cuts.where("kind = 'record'").select("file", _place().alias("place"), "text").unionByName(
-        crossing.select("file", "place", joined.alias("text"))
-    )
+    found = ranges.put_together(cuts, closed=True)
 
     # of each file: its end, its list, and what is wrong with it; one row, as in Spark's own file listing
-    named = cuts.where("kind IN ('records', 'list', 'other')").select("file", "value", "kind", _place().alias("place"))
+    named = cuts.where("kind IN ('objects', 'list', 'other')").select("file", "value", "kind", _place().alias("place"))
     following = F.lead("place").over(Window.partitionBy("file").orderBy("place"))
     latest = named.withColumn("to", following).groupBy("file", "value").agg(
         F.min("place").alias("seen"), F.max_by(F.struct("kind", "place", "to"), "place").alias("last")
     )
-    wanted = F.col("value") == member if member is not None else F.col("last.kind") == "records"
+    wanted = F.col("value") == member if member is not None else F.col("last.kind") == "objects"
     chosen = latest.where(wanted).groupBy("file").agg(F.min_by("last", "seen").alias("list"))
     ended = known.groupBy("file").agg(
         F.max("top").alias("top"), F.max("size").alias("size"), F.sum("gain").alias("depth"),
@@ -221,7 +221,7 @@ def records(spark: SparkSession, path: str, member: str | None = None) -> DataFr
     documents = stage(documents.select("file", listed.alias("all"), "list", F.coalesce(right, F.lit(False)).alias("right")), "documents")
 
     mine = found.join(F.broadcast(documents.where("all OR list IS NOT NULL")), "file").where(
-        "all OR (list.kind = 'records' AND place > list.place AND (list.to IS NULL OR place < list.to))"
+        "all OR (list.kind = 'objects' AND place > list.place AND (list.to IS NULL OR place < list.to))"
     )
     nowhere = F.lit(None).cast("struct<block:bigint,part:int,at:int>").alias("place")
     wrong = documents.where("NOT right").select("file", nowhere, F.expr(f"raise_error('{PROBLEM}')").cast("string").alias("text"))

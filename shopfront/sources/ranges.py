@@ -92,6 +92,10 @@ def before(value: Column | str) -> Column:
     return F.coalesce(F.sum(value).over(rows), F.lit(0))
 
 
+#: What cuts chunks: ``kind`` says what a row holds; ``ats`` and ``texts`` are a chunk's whole records, in one row.
+CUTS = "file string, kind string, block bigint, part int, at int, run bigint, text binary, ats array<int>, texts array<binary>"
+
+
 def apply(
     chunked: DataFrame, states: DataFrame, columns: str, cut: Callable[[dict], list[tuple]]
 ) -> DataFrame:
@@ -113,3 +117,16 @@ def apply(
                     )
 
     return stage(joined.mapInArrow(work, columns), "cuts")
+
+
+def put_together(cuts: DataFrame, closed: bool) -> DataFrame:
+    """``file, place, text`` of all records: those inside chunks, and those of which the parts ``first``, ``middle`` and ``last``
+    lie in several. With ``closed`` only those that have an end."""
+    inside = cuts.where("kind = 'records'").selectExpr("file", "block", "part", "inline(arrays_zip(ats, texts)) AS (at, text)")
+    place = F.struct("block", "part", "at")
+    parts = cuts.where("kind IN ('first', 'middle', 'last')").groupBy("file", "run").agg(
+        F.min(F.when(F.col("kind") == "first", place)).alias("place"), F.bool_or(F.col("kind") == "last").alias("ended"),
+        F.array_sort(F.collect_list(F.struct("block", "part", "text"))).alias("parts"),
+    ).where(F.col("place").isNotNull() & (F.col("ended") | F.lit(not closed)))
+    joined = F.expr("aggregate(parts, cast('' AS binary), (all, p) -> concat(all, p.text))").alias("text")
+    return inside.select("file", place.alias("place"), "text").unionByName(parts.select("file", "place", joined))
