@@ -93,3 +93,21 @@ def test_awkward_rows(awkward, empty, spark):
     back = toxicity.keep_clean(awkward, network)
     assert back.columns == awkward.columns and back.count() == awkward.count()
     assert toxicity.score(empty, network).count() == 0 and toxicity.fit(empty, none) is not None
+
+
+def test_scores_are_the_highest_of_all_windows_by_the_plain_way():
+    rng = random.Random(2)
+    net = gru.Network({"a": 1, "bad": 2, "word3": 3}, seed=4)
+    net.scale, net.shift = 3.0, -0.5
+    texts = ["", " \n", "a", "Bad, a!", *(" ".join(rng.choice(["a", "BAD", "other", "é日", "x1", "(a)", "word3"]) for _ in range(n)) for n in (3, 24, 25, 44, 200, 1500))]
+    expected = []
+    for text in texts:
+        words = [gru.core(c) for c in text.split()] or [""]
+        windows = [words[s : s + gru.WINDOW] for s in gru.starts(len(words))]
+        logits = [float(net.forward(net.project(w), index, real)[0][0]) for w, index, real in (gru.layout([window]) for window in windows)]
+        expected.append(1 / (1 + np.exp(-(net.scale * max(logits) + net.shift))))
+    scorer = gru.Scorer(net)
+    assert np.allclose(scorer.scores(texts), expected, atol=2e-5)
+    assert np.allclose([scorer.scores([t])[0] for t in texts[::-1]], expected[::-1], atol=2e-5)
+    assert np.allclose([x.max() for x in gru.document_logits(net, [[["a", "bad"], ["a"]], [["q"] * 24]])],
+                       [max(float(net.forward(net.project(w), i, r)[0][0]) for w, i, r in (gru.layout([win]) for win in d)) for d in ([["a", "bad"], ["a"]], [["q"] * 24])], atol=2e-5)
