@@ -46,8 +46,11 @@ def lookup(
     salts = F.broadcast(left.sparkSession.createDataFrame(copies, f"`{key}` {kind}, _copies bigint"))
     drawn = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_copies", F.lit(1)))
     none = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(_NULL_SALTS))
-    dealt = left.join(salts, key, "left").withColumn("_salt", F.when(F.col(key).isNull(), none).otherwise(drawn)).drop("_copies")
-    copied = right.join(salts, key, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_copies", F.lit(1)) - 1))
-    ).drop("_copies")
-    return dealt.join(copied, [key, "_salt"], "left").drop("_salt")
+    salt = F.when(F.col(key).isNull(), none).otherwise(drawn)
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_copies", F.lit(1)) - 1))
+    # key and salt as one value: a side that already lies by the key alone must not decide how rows are dealt
+    dealt = left.join(salts, key, "left").withColumn("_salted", F.struct(F.col(key).alias("k"), salt.alias("s"))).drop("_copies")
+    copied = right.where(F.col(key).isNotNull()).join(salts, key, "left").withColumn("_s", every).select(
+        F.struct(F.col(key).alias("k"), F.col("_s").alias("s")).alias("_salted"), *(f"`{c}`" for c in right.columns if c != key)
+    )
+    return dealt.join(copied, "_salted", "left").drop("_salted")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shopfront.operators import rule_index
 from shopfront.operators.lookup import frequent, hot_keys, lookup
+from shopfront.staging import lay_out
 from shopfront.plans.lead_audit import audit_leads, write_audited
 from shopfront.sources import fetches as log
 from shopfront.sources.fetches import FETCH_SCHEMA
@@ -182,8 +183,9 @@ def test_thousands_of_hot_keys_are_dealt_out(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        for some_null in (False, True):
-            joined = lookup(left, right, "key", 20, some_keys_null=some_null)
+        laid = lay_out(right.union(spark.sql("SELECT NULL, array(5L)")), "laid", "key")
+        for some_null, other in ((False, right), (True, right), (True, laid)):
+            joined = lookup(left, other, "key", 20, some_keys_null=some_null)
             sizes = sorted(r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect())
             if some_null:
                 assert len(sizes) == 8 and sizes[-1] <= 1.5 * sizes[4]
