@@ -158,3 +158,41 @@ def test_quotes_in_awkward_rows(spark):
     got = {r.turn: r for r in quotes.link(table).collect()}
     spark.conf.set("spark.sql.caseSensitive", "false")
     assert (got[1].parent_turn, got[1].reply, got[1].position) == (0, "yes", 1)
+
+
+def test_inheritance_in_a_tree_equals_a_walk_up(spark):
+    import random
+
+    rng = random.Random(9)
+    statements = {"MIT": "Licensed under the MIT License", "Apache-2.0": "Licensed under the Apache License, Version 2.0", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3."}
+    folders = [""]
+    for _ in range(120):
+        folders.append(f"{rng.choice(folders)}{rng.choice('abc')}{rng.randrange(9)}/")
+    folders = sorted(set(folders))
+    rows, speaks = [], {}
+    for folder in folders:
+        if rng.random() < 0.15:
+            name = rng.choice(sorted(statements))
+            speaks[folder] = name
+            rows.append((len(rows), statements[name], folder + "LICENSE"))
+        for n in range(rng.randrange(3)):
+            rows.append((len(rows), "plain words of a file " * rng.randrange(2), f"{folder}f{n}.c"))
+    rows.append((len(rows), "mot " * 60_000 + statements["MIT"], "long/x.c"))
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    table = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "doc_id bigint, text string, path string, PATH string, cosine double")
+    got = {r.doc_id: r for r in licenses.scan(table).collect()}
+    spark.conf.set("spark.sql.caseSensitive", "false")
+    for number, text, path in rows:
+        own = next((k for k, s in statements.items() if s in text), None)
+        expected = (own, None)
+        if own is None:
+            at = path.rpartition("/")[0]
+            while True:
+                folder = f"{at}/" if at else ""
+                if folder in speaks:
+                    expected = (speaks[folder], at or ".")
+                    break
+                if not at:
+                    break
+                at = at.rpartition("/")[0]
+        assert (got[number].license, got[number].inherited_from) == expected, path
