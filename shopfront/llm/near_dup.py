@@ -37,7 +37,7 @@ BINS = BANDS * ROWS
 SLACK = 0.08
 STAR_TURNS = 4
 BLOCK = 1500  # members of a bucket that one task compares with as many others
-KEPT_WORDS = 500_000
+KEPT_WORDS = 300_000
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -129,23 +129,6 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return by_batch(docs, "doc_id bigint, n_shingles bigint, set_id binary, sketch binary", work)
 
 
-def possible(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` may be among the ``wanted``, by a filter of at most ``MOST_BITS``: texts of
-    the others need not be shuffled to find that out. Beyond that size it lets more of them through."""
-    n = wanted.count()
-    bits = min(1 << max(16, (16 * n - 1).bit_length()), MOST_BITS) if n else 1 << 16
-    marks = filter_bits(wanted.select(F.xxhash64("doc_id").alias("key")), bits)
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(2).to_numpy().astype(np.uint64)
-            hit = passing(keys, np.frombuffer(marks, np.uint64))
-            yield batch.take(pa.array(np.sort(hit)))
-
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("_key"))
-    return keyed.mapInArrow(walk, "doc_id bigint, text string, _key bigint").drop("_key")
-
-
 def buckets(classes: DataFrame) -> DataFrame:
     """``key, node, size, n_shingles`` for the bands that more than one class has."""
     width = 2 * ROWS
@@ -288,16 +271,14 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     shared = stage(buckets(classes), "near-buckets")
 
     nodes = classes.join(shared.select("node").distinct(), "node")
-    wanted = stage(nodes.select(F.col("first_id").alias("doc_id")).distinct(), "near-wanted")
-    texts = possible(docs, wanted).join(wanted, "doc_id", "left_semi")
     # sketches and texts are looked up by node turn after turn, and lie by node for that
-    active = lay_out(_with_text(nodes, texts, width), "near_active", "node")
+    active = lay_out(_with_text(nodes, docs, width), "near_active", "node")
 
     component = active.select("node", F.col("node").alias("component"))
     for turn in range(STAR_TURNS + 1):
         inside = _open_buckets(shared.join(component, "node"), turn)
         if turn < STAR_TURNS:
-            pairs = estimated(_stars(inside), active, least)
+            pairs = stage(estimated(_stars(inside), active, least), "near-pairs")
         else:
             pairs = across(inside, active, percent)
         links = stage(verified(pairs, active, width, percent), "near-links")
@@ -334,18 +315,28 @@ def _stars(inside: DataFrame) -> DataFrame:
     return best.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
 
 
-def _with_text(nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """For each class a text whose shingle set is the class's, and the set's short hashes."""
+def _with_text(nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """For each class a text whose shingle set is the class's, and the set's short hashes.
+
+    A filter of at most ``MOST_BITS`` tells which documents may be the first of such a class, so the texts of the others are
+    not shuffled. Beyond that size it lets more of them through, and they find no class.
+    """
+    firsts = stage(nodes.select(F.xxhash64("first_id").alias("key")), "near-firsts")
+    n = firsts.count()
+    marks = filter_bits(firsts, min(1 << max(16, (16 * n).bit_length()), MOST_BITS))
 
     def work(rows: dict[str, list]) -> dict[str, list]:
-        out = {"set_id": [], "text": rows["text"], "hashes": []}
-        for text in rows["text"]:
-            found = hashes(width).text(text)
+        out: dict[str, list] = {"set_id": [], "text": [], "hashes": []}
+        keys = np.array(rows["key"], np.int64).astype(np.uint64)
+        for at in passing(keys, np.frombuffer(marks, np.uint64)).tolist():
+            found = hashes(width).text(rows["text"][at])
             out["set_id"].append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+            out["text"].append(rows["text"][at])
             out["hashes"].append((found >> np.uint64(32)).astype("<u4").tobytes())
         return out
 
-    found = by_batch(texts, "set_id binary, text string, hashes binary", work).groupBy("set_id").agg(
+    keyed = docs.where("doc_id IS NOT NULL").select(F.xxhash64("doc_id").alias("key"), "text")
+    found = by_batch(keyed, "set_id binary, text string, hashes binary", work).groupBy("set_id").agg(
         F.min("text").alias("text"), F.any_value("hashes").alias("hashes")
     )
     return nodes.join(found, "set_id").select("node", "n_shingles", "sketch", "text", "hashes")
