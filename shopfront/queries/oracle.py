@@ -708,7 +708,12 @@ _PLACES = """places AS (
       n_nationkey + 5 AS north, n_nationkey * 4 - 20 AS east, n_nationkey AS rank FROM nation)"""
 
 
-def _shapes_sql(select: str) -> str:
+_SHAPE_AREAS = """SELECT r_name AS area, r_regionkey * 10 - 30 AS south, r_regionkey * 10 - 15 AS north,
+          unnest(CASE WHEN r_regionkey = 0 THEN [170, -180] ELSE [r_regionkey * 60 - 150] END) AS west,
+          unnest(CASE WHEN r_regionkey = 0 THEN [180, -170] ELSE [r_regionkey * 60 - 120] END) AS east FROM region"""
+
+
+def _shapes_sql(select: str, boxes: str = _SHAPE_AREAS) -> str:
     """Pairs of nodes by element, the short way round; a box meets a line that enters it before leaving."""
     def enters(sign: str) -> str:
         pick, other = ("least", "greatest") if sign == "in" else ("greatest", "least")
@@ -733,9 +738,7 @@ def _shapes_sql(select: str) -> str:
     lines AS (
         SELECT type, id, lat1, lat2, lon1 + turn AS lon1, CASE WHEN far - lon1 > 180 THEN far - 360 WHEN far - lon1 < -180 THEN far + 360 ELSE far END + turn AS lon2
         FROM ends, (VALUES (-360), (0), (360)) AS v(turn)),
-    boxes AS (
-        SELECT r_name AS area, r_regionkey * 10 - 30 AS south, r_regionkey * 10 - 15 AS north, unnest(CASE WHEN r_regionkey = 0 THEN [170, -180] ELSE [r_regionkey * 60 - 150] END) AS west,
-          unnest(CASE WHEN r_regionkey = 0 THEN [180, -170] ELSE [r_regionkey * 60 - 120] END) AS east FROM region),
+    boxes AS ({boxes}),
     found AS MATERIALIZED (SELECT DISTINCT area, type, id FROM lines, boxes WHERE {enters('in')} <= {enters('out')})
     SELECT {select}"""
 
@@ -920,7 +923,8 @@ ORACLE_SQL = {
     "osm_documents": f"WITH {_element_ctes()} SELECT {_OSM_LEAD} FROM element_copies WHERE name <> ''",
     "osm_shapes_in_areas": _shapes_sql("area, type, id FROM found"),
     "osm_shapes_selected": _shapes_sql(
-        "concat(type, '/', id) AS source_id, concat(type, ' ', id) AS name FROM found WHERE area = (SELECT r_name FROM region WHERE r_regionkey = 0)"),
+        "concat(type, '/', id) AS source_id, concat(type, ' ', id) AS name FROM found",
+        "SELECT '' AS area, -60 AS south, 20 AS north, unnest([120, -180]) AS west, unnest([180, -120]) AS east"),
     "osm_area_leads": f"""WITH {_element_ctes()}, {_PLACES} SELECT {_OSM_LEAD} FROM elements, places
         WHERE area = 'area 2' AND rank = (SELECT min(rank) FROM places WHERE area = 'area 2') AND name <> '' AND type <> 'area'
           AND (amenity IS NOT NULL OR shop IS NOT NULL OR office = 'machinery')

@@ -538,7 +538,7 @@ def osm_shapes_in_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def osm_shapes_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leads whose lines touch a box over the date line."""
-    return osm.find(_shapes(spark, sf_dir), ["shop=x"], bbox="-30,170,-15,-170").select("source_id", "name")
+    return osm.find(_shapes(spark, sf_dir), ["shop=x"], bbox="-60,120,20,-120").select("source_id", "name")
 
 
 def osm_area_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
