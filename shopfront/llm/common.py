@@ -50,6 +50,16 @@ def position(table: DataFrame, name: str) -> int:
     return names.index(name) if name in names else [n.lower() for n in names].index(name.lower())
 
 
+#: Ids up to here, some 100 MB as a hash table, are broadcast; more of them meet their rows by a shuffle.
+MOST_IDS = 2_000_000
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """A staged table of ids and little else, marked for broadcast if it has at most ``MOST_IDS`` rows, so that
+    whole texts need not be shuffled to meet a few of them."""
+    return F.broadcast(ids) if ids.limit(MOST_IDS + 1).count() <= MOST_IDS else ids
+
+
 SLICE_ROWS, SLICE_BYTES = 1000, 4 << 20
 
 

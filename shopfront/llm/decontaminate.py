@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopfront.llm.common import by_batch, documents, held, pick, position
+from shopfront.llm.common import by_batch, documents, held, pick, position, small
 from shopfront.staging import stage
 
 WINDOW = 8  # words a window
@@ -321,6 +321,6 @@ def without_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all their columns as they are, in which no item is found."""
     names = docs.columns
     at = position(docs, "doc_id")
-    found = matches(docs, benchmark).select(F.col("doc_id").alias("_found_id")).distinct()
+    found = small(stage(matches(docs, benchmark).select(F.col("doc_id").alias("_found_id")).distinct(), "benchmark-found"))
     flat = docs.toDF(*(f"_{i}" for i in range(len(names))))
     return flat.join(found, F.col(f"_{at}").cast("bigint") == F.col("_found_id"), "left_anti").toDF(*names)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopfront.llm.common import by_batch, documents, held, position
+from shopfront.llm.common import by_batch, documents, held, position, small
 from shopfront.llm.decontaminate import MOST_BITS, filter_bits, passing
 from shopfront.llm.graph import components
 from shopfront.staging import lay_out, release, stage
@@ -273,6 +273,8 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     nodes = classes.join(shared.select("node").distinct(), "node")
     # sketches and texts are looked up by node turn after turn, and lie by node for that
     active = lay_out(_with_text(nodes, docs, width), "near_active", "node")
+    named = stage(classes.select("set_id", "node", "first_id"), "near-named")
+    release(classes)
 
     component = active.select("node", F.col("node").alias("component"))
     for turn in range(STAR_TURNS + 1):
@@ -292,7 +294,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
                 "node", F.coalesce("_to", "component").alias("component")
             ), "near-components",
         )
-    return _labelled(rows, classes.drop("sketch"), component)
+    return _labelled(rows, named, component)
 
 
 def _open_buckets(within: DataFrame, turn: int) -> DataFrame:
@@ -371,7 +373,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     judged = labelled.groupBy(F.col("doc_id").alias("_id")).agg(
         F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")
     ).where("NOT kept OR rows > 1")
-    judged = judged.select("_id", F.col("kept").alias("_kept"))
+    judged = small(stage(judged.select("_id", F.col("kept").alias("_kept")), "near-judged"))
     marked = flat.join(judged, "_id", "left")  # judged: documents that go, and the rare repeated ids
     once = marked.where("_kept").dropDuplicates(["_id", f"_{text_at}"])
     columns = [f"_{i}" for i in range(len(names))]
