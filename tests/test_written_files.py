@@ -1,8 +1,9 @@
-"""What the queries write for themselves: documents in one file each."""
+"""What the queries write for themselves: documents in one file each, and rows dealt out over all cores."""
 
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from shopfront.queries import registry
 
@@ -28,3 +29,10 @@ def test_a_document_with_its_ends_is_one_file(small_partitions, tmp_path):
         first, *records, last = file.read_text().splitlines()
         numbers = [int(r.removeprefix(", ").split()[0]) for r in records]
         assert (first, last) == ("[", "]") and numbers == list(range(numbers[0], 4000, 10)) and len(numbers) == 400
+
+
+def test_customers_of_one_small_file_are_dealt_out(spark, sf_dir):
+    rows = registry._customer_records(spark, sf_dir)
+    tasks = rows.groupBy(F.spark_partition_id().alias("task")).count()
+    assert tasks.count() == spark.sparkContext.defaultParallelism
+    assert tasks.agg(F.sum("count")).first()[0] == registry.table(spark, sf_dir, "customer").count()
