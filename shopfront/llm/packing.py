@@ -10,61 +10,102 @@ the pieces of their length.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shopfront.llm.bpe_count import byte_symbols
 from shopfront.llm.common import by_batch, documents, held
 from shopfront.llm.pretokens import WORD_LEVEL, is_common
 from shopfront.staging import stage
 
-WORD_END = "</w>"  # how the vocabulary marks a symbol that ends a word
-KEPT_CHUNKS = 800_000  # chunks whose ids a Python worker keeps; beyond it, it starts anew
+KEPT_CHUNKS = 400_000  # chunks whose ids a Python worker keeps; beyond it, it starts anew
+ASKED_AT_ONCE = 20_000  # chunks that are learned together
+SYMBOLS = dict(enumerate(byte_symbols()))
 ROWS_A_BUCKET = 500_000  # ranks are counted in buckets of about so many pieces
 
 
+def gathered(values: np.ndarray, ends: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``values`` that ``order`` names, one after another, and their ends. Run ``n`` lies
+    from ``ends[n]`` to ``ends[n + 1]``."""
+    starts, sizes = ends[:-1][order], np.diff(ends)[order]
+    new_ends = np.concatenate(([0], np.cumsum(sizes)))
+    places = np.repeat(starts - new_ends[:-1], sizes)
+    places += np.arange(len(places))
+    return values[places], new_ends
+
+
 class WordIds:
-    """Ids of a text as the library gives them, as little-endian unsigned 32-bit numbers.
+    """Ids of texts as the library gives them, as little-endian unsigned 32-bit numbers.
 
     Texts of common characters are cut at white space, which no word crosses, and the library is
-    asked for each distinct chunk once; any other text, and one that may hold a special string, goes to it whole.
+    asked for a distinct chunk's words once; any other text, and one that may hold a special string,
+    goes to it whole. Chunks and their ids are kept as columns, not as objects: some 40 bytes a chunk.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        words = sorted(self.library.get_vocab(with_added_tokens=False).items(), key=lambda x: x[1])
-        self.ends_word = np.zeros(words[-1][1] + 1, dtype=bool)
-        self.ends_word[[at for symbol, at in words if symbol.endswith(WORD_END)]] = True
+        self.merge = self.library.model.tokenize  # for one word, in the symbols of its bytes
+        self.reset()
+
+    def reset(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.ids, self.ends = np.empty(0, "<u4"), np.zeros(1, np.int64)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def learn(self, chunks: list[str]) -> None:
-        """Asks for all chunks in one text. White space is dropped and parts words, and the last
-        symbol of every word, and no other, is one that ends words."""
-        ids = self.whole(" ".join(chunks))
-        ends = [0, *((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()]
-        data, word = ids.tobytes(), 0
-        for chunk in chunks:
-            start, word = word, word + len(WORD_LEVEL.findall(chunk))
-            self.known[chunk] = data[ends[start] : ends[word]]
-        assert word + 1 == len(ends)
+    def learn(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks, one after another, and their ends."""
+        cut = [WORD_LEVEL.findall(chunk) for chunk in chunks.to_numpy(zero_copy_only=False)]
+        words = pa.array([word for some in cut for word in some], pa.string()).dictionary_encode()
+        ids, ends, merge = array("I"), [0], self.merge
+        for word in words.dictionary.to_numpy(zero_copy_only=False):
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(SYMBOLS)
+            ids.extend([token.id for token in merge(word)])
+            ends.append(len(ids))
+        ids, ends = gathered(np.array(ids, "<u4"), np.array(ends), words.indices.to_numpy())
+        return ids, ends[np.concatenate(([0], np.cumsum([len(some) for some in cut])))]
+
+    def look_up(self, chunks: pa.Array) -> np.ndarray:
+        """Places of distinct chunks among the known ones, which the others join."""
+        if len(self.known) > KEPT_CHUNKS:
+            self.reset()
+        places = pc.index_in(chunks, value_set=self.known)
+        missing = places.is_null()
+        places = pc.fill_null(places, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if missing.true_count:
+            new = chunks.filter(missing)
+            places[missing.to_numpy(zero_copy_only=False)] = np.arange(len(self.known), len(self.known) + len(new))
+            ids, ends = [self.ids], [self.ends]
+            for at in range(0, len(new), ASKED_AT_ONCE):
+                more, its_ends = self.learn(new.slice(at, ASKED_AT_ONCE))
+                ids.append(more)
+                ends.append(its_ends[1:] + ends[-1][-1])
+            self.ids, self.ends = np.concatenate(ids), np.concatenate(ends)
+            self.known = pa.concat_arrays([self.known, new])
+        return places
+
+    def texts(self, texts: list[str]) -> list[np.ndarray]:
+        plain = ["<|" not in text and is_common(text) for text in texts]
+        column = pa.array([text for text, is_plain in zip(texts, plain) if is_plain], pa.string())
+        cut = pc.utf8_split_whitespace(pc.utf8_lower(column))
+        chunks = cut.flatten().dictionary_encode()
+        places = self.look_up(chunks.dictionary)[chunks.indices.to_numpy()]
+        ids, ends = gathered(self.ids, self.ends, places)
+        parts = iter(np.split(ids, ends[cut.offsets.to_numpy()[1:-1]]))
+        return [next(parts) if is_plain else self.whole(text) for text, is_plain in zip(texts, plain)]
 
     def text(self, text: str) -> bytes:
-        if "<|" in text or not is_common(text):
-            return self.whole(text).tobytes()
-        chunks = text.lower().split()
-        new = set(chunks).difference(self.known)
-        if new:
-            if len(self.known) > KEPT_CHUNKS:
-                self.known, new = {}, set(chunks)
-            self.learn(list(new))
-        return b"".join(map(self.known.__getitem__, chunks))
+        return self.texts([text])[0].tobytes()
 
 
 def word_ids(path: str) -> WordIds:
@@ -77,8 +118,8 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int) -> DataFram
 
     def work(rows: dict[str, list]) -> dict[str, list]:
         out = defaultdict(list)
-        for doc_id, text in zip(rows["doc_id"], rows["text"]):
-            ids = word_ids(vocabulary).text(text) + end
+        for doc_id, found in zip(rows["doc_id"], word_ids(vocabulary).texts(rows["text"])):
+            ids = found.tobytes() + end
             total = len(ids) // 4
             for start in range(0, total, size):
                 part = ids[4 * start : 4 * (start + size)]

@@ -112,3 +112,12 @@ def test_placements_hold_every_piece():
                 filled[sequence + rank // each] += length
             assert offset + each * length <= size
         assert ranks == histogram and max(filled.values()) <= size
+
+
+def test_chunks_take_few_bytes_each():
+    """What is kept for a chunk are columns; one object for its text and one for its ids took some 200 bytes."""
+    words, n = packing.WordIds(WORDS), 50_000
+    texts = [" ".join(f"w{i:x}." for i in range(at, at + 1000)) for at in range(0, n, 1000)]
+    found = words.texts([*texts, "", "<|endoftext|>", "ΑΣ", *texts])
+    assert [x.tolist() for x in found[: len(texts)]] == [x.tolist() for x in found[-len(texts) :]]
+    assert len(words.known) == n + 1 and words.known.nbytes + words.ids.nbytes + words.ends.nbytes < 60 * n
