@@ -377,8 +377,8 @@ class Scorer:
             self.reset()
         cut = [text.split() or [""] for text in texts]
         new = list(set().union(*cut).difference(self.number))
-        for at in range(0, len(new), 20_000):
-            self.learn(new[at : at + 20_000])
+        for at in range(0, len(new), 5000):  # character sequences of so many chunks at once
+            self.learn(new[at : at + 5000])
         ids, firsts, owners, total = [], [], [], 0
         for at, chunks in enumerate(cut):
             ids.append(np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks)))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopfront.llm.common import by_batch, documents, held, position, small
+from shopfront.llm.common import by_batch, documents, held, let_go, position, small
 from shopfront.llm.decontaminate import MOST_BITS, filter_bits, passing
 from shopfront.llm.graph import components
 from shopfront.staging import lay_out, release, stage
@@ -147,6 +147,7 @@ def estimated(pairs: DataFrame, active: DataFrame, least: float) -> DataFrame:
     left, right = (marks.select(F.col("node").alias(s), F.col("sketch").alias(f"sketch_{s}")) for s in "ab")
 
     def work(rows: dict[str, list]) -> dict[str, list]:
+        let_go()
         a, b = (np.frombuffer(b"".join(rows[f"sketch_{s}"]), "<u2").reshape(-1, BINS) for s in "ab")
         keep = np.flatnonzero((a == b).mean(axis=1) >= least).tolist()
         return {s: [rows[s][i] for i in keep] for s in "ab"}
@@ -160,6 +161,7 @@ def verified(pairs: DataFrame, active: DataFrame, width: int, percent: int) -> D
     left, right = (texts.select(F.col("node").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
 
     def work(rows: dict[str, list]) -> dict[str, list]:
+        let_go()
         out, last = {"a": [], "b": []}, (None, set())
         for a, b, text_a, text_b in zip(rows["a"], rows["b"], rows["text_a"], rows["text_b"]):
             if last[0] != a:
@@ -190,6 +192,7 @@ def across(open_buckets: DataFrame, active: DataFrame, percent: int) -> DataFram
     group = ("key", "low", "high")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         held: list[dict] = []  # the rows of the group at hand: at most those of two blocks
         for batch in batches:
             out = {"a": [], "b": []}

@@ -24,7 +24,7 @@ from shopfront.llm.common import by_batch, documents, held
 from shopfront.llm.pretokens import WORD_LEVEL, is_common
 from shopfront.staging import stage
 
-KEPT_CHUNKS = 400_000  # chunks whose ids a Python worker keeps; beyond it, it starts anew
+KEPT_CHUNKS = 200_000  # chunks whose ids a Python worker keeps; beyond it, it starts anew
 ASKED_AT_ONCE = 20_000  # chunks that are learned together
 SYMBOLS = dict(enumerate(byte_symbols()))
 ROWS_A_BUCKET = 500_000  # ranks are counted in buckets of about so many pieces

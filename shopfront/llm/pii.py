@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopfront.llm import boosting
-from shopfront.llm.common import by_batch, by_row, documents, position, slices
+from shopfront.llm.common import by_batch, by_row, documents, let_go, position, slices
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("iban", "number", "secret", "spelled")
@@ -226,6 +226,7 @@ def training_spans(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     have the smallest hashes, among the documents with any candidate."""
 
     def work(rows: dict[str, list]) -> dict[str, list]:
+        let_go()
         out = {"doc_id": [], "x": [], "y": []}
         for doc, text in zip(rows["doc_id"], rows["text"]):
             base = base_spans(text)
@@ -265,6 +266,7 @@ def find(docs: DataFrame, model: boosting.Boosted) -> DataFrame:
     """
 
     def work(rows: dict[str, list]) -> dict[str, list]:
+        let_go()
         base = [base_spans(text) for text in rows["text"]]
         added = added_spans(rows["text"], base, model)
         out = {"doc_id": rows["doc_id"]}
@@ -295,6 +297,7 @@ def redact(docs: DataFrame, model: boosting.Boosted) -> DataFrame:
     sized = names.index("n_chars") if "n_chars" in names else -1
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for part in slices(batch):
                 texts = part.column(at).to_pylist()

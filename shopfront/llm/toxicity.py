@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopfront.llm import gru
-from shopfront.llm.common import by_batch, by_row, documents, held, pick, position, slices
+from shopfront.llm.common import by_batch, by_row, documents, held, let_go, pick, position, slices
 
 #: The rows of either label that the network learns from, each of them whole, as the highest of all
 #: windows counts when texts are scored. Only fitting is bounded; every text is scored whole.
@@ -38,6 +38,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[list[list[st
     )
 
     def work(rows: dict[str, list]) -> dict[str, list]:
+        let_go()
         words = [" ".join(gru.core(c) for c in text.split()) for text in rows["text"]]
         return {"doc_id": rows["doc_id"], "toxic": rows["toxic"], "words": words}
 
